@@ -22,6 +22,8 @@ from strandloom.plans.shared import cut
 from strandloom.sources.tables import spread
 
 BLOCK, MAX_SHARDS, SHARD_BLOCKS, SEED = 512, 4096, 256, 20240229
+#: Blocks get shorter, down to MIN_BLOCK tokens, until the smallest source fills so many: its last block is not full.
+MIN_BLOCK, MIN_BLOCKS = 16, 64
 
 
 def source_key(col):
@@ -39,7 +41,7 @@ def permuted(k: np.ndarray, n: np.ndarray, salt: np.ndarray) -> np.ndarray:
         x, h, m, s = out[todo], half[todo], mask[todo], salt[todo]
         left, right = x >> h, x & m
         for r in range(4):
-            z = (right + s + np.uint64(r + 1) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+            z = (right + s + np.uint64((r + 1) * 0x9E3779B97F4A7C15 % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
             z = (z ^ (z >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
             left, right = right, left ^ ((z ^ (z >> np.uint64(29))) & m)
         out[todo] = (left << h) | right
@@ -109,6 +111,7 @@ def mix(documents: DataFrame, targets: DataFrame, block: int = BLOCK, total_toke
     listed = documents.select("doc_id", source_key("source").alias("source"), "text").where(F.col("source").isin(list(wanted)))
     counts = cut(count_tokens(spread(listed), ["doc_id", "source"]).where("n_tokens > 0"))
     tokens = {r[0]: r[1] for r in counts.groupBy("source").agg(F.sum("n_tokens")).collect()}
+    block = max(min(MIN_BLOCK, block), min([block, *(n // MIN_BLOCKS for n in tokens.values())]))
     rows = plan([(s, *wanted[s], tokens.get(s, 0)) for s in sorted(wanted)], block, total_tokens, seed)
     shards = spark.createDataFrame(rows, "shard int, source string, first long, n long, n_blocks long")
 
