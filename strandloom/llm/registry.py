@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandloom.llm import frequency, mixing, splitting, tokens
+from strandloom.llm import frequency, mixing, near, spans, splitting, tokens
 from strandloom.sources.tables import spread, table
 
 
@@ -28,6 +28,22 @@ def p2_found(spark, sf_dir):
     return p2_key_frequency(spark, sf_dir).where("mark IS NOT NULL").select("hash_key", "mark")
 
 
+def p3_found(spark, sf_dir):
+    return spans.shared_spans(spread(table(spark, sf_dir, "contigs")))
+
+
+def p3_shared_share(spark, sf_dir):
+    return spans.shared_share(table(spark, sf_dir, "contigs"), p3_found(spark, sf_dir))
+
+
+def p4_found(spark, sf_dir):
+    return near.pairs(*near.near_duplicates(spread(table(spark, sf_dir, "contigs"))))
+
+
+def p4_groups(spark, sf_dir):
+    return near.groups(*near.near_duplicates(spread(table(spark, sf_dir, "contigs"))))
+
+
 def p6_ids(spark, sf_dir):
     return tokens.encode(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -48,7 +64,7 @@ def p7_shares(spark, sf_dir):
     return mixing.shares(p7_mix(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_fragments, p1_bisected, p2_found, p2_key_frequency, p6_ids, p6_offsets, p6_decoded, p7_mix, p7_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_fragments, p1_bisected, p2_found, p2_key_frequency, p3_found, p3_shared_share, p4_found, p4_groups, p6_ids, p6_offsets, p6_decoded, p7_mix, p7_shares)}
 
 _USABLE = "(SELECT contig_id, pos_offset, min(hash_key) AS hash_key FROM kmer_index WHERE hash_key >= 0 AND contig_id <> 0 AND pos_offset IS NOT NULL GROUP BY 1, 2)"
 _FREQUENCY = f"""SELECT hash_key, count(*) AS n_postings, count(DISTINCT contig_id) AS n_contigs,
