@@ -2,9 +2,10 @@
 
 Words of WORD bases are hashed only at positions whose remainder modulo PERIOD lies in a difference cover: for any two
 positions i, j there is a shift below PERIOD that takes both into the cover. As WORD + PERIOD <= SPAN + 1, two equal stretches
-of SPAN bases always share an aligned anchor. Anchors found in one contig only are dropped by an aggregation; around the
-others the candidate stretches are extended to their full SPAN bases, and a stretch is shared if its 128-bit value occurs in
-two contigs. No step builds pairs: a stretch found in a third of all contigs costs one row per place.
+of SPAN bases always share an aligned anchor. Anchors found in one contig only are dropped by an aggregation. The places of an
+anchor that has few are extended against each other. An anchor of many places would need too many pairs: for those all
+stretches around it are valued (128 bits), and a stretch is shared if its value occurs in two contigs; such a stretch costs one
+row per place, however many contigs hold it. Each equal pair of stretches has an aligned anchor, so one of the two ways finds it.
 """
 
 from __future__ import annotations
@@ -23,7 +24,11 @@ SPAN = 100
 PERIOD = 73
 COVER = (1, 2, 4, 8, 16, 32, 37, 55, 64)
 WORD = SPAN - PERIOD + 1
-#: Stretches that start in one chunk of a contig are handled together; long contigs spread over tasks.
+#: Bases beside an anchor that a stretch around it can reach.
+AROUND = SPAN - WORD
+#: Anchors at up to so many places are extended in pairs; those at more places are resolved by values of whole stretches.
+RARE = 64
+#: The anchors in one chunk of a contig are handled together; long contigs spread over tasks.
 CHUNK = 16_384
 
 
@@ -49,7 +54,7 @@ def anchors(contigs: DataFrame) -> DataFrame:
 
 
 def chunks(contigs: DataFrame) -> DataFrame:
-    """The contigs' bases in chunks (`contig_id`, `chunk`, `bases`) that overlap by SPAN - 1, each chunk once."""
+    """The contigs' bases in chunks (`contig_id`, `chunk`, `bases`) with the surroundings of their positions, each chunk once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -57,21 +62,29 @@ def chunks(contigs: DataFrame) -> DataFrame:
                 s = "".join((seq.as_py() or "").split()).upper()
                 if cid is None or len(s) < SPAN:
                     continue
-                parts = [s[k : k + CHUNK + SPAN - 1] for k in range(0, len(s) - SPAN + 1, CHUNK)]
+                parts = [s[max(0, k - AROUND) : k + CHUNK + SPAN] for k in range(0, len(s), CHUNK)]
                 yield pa.RecordBatch.from_arrays([pa.array([cid] * len(parts), pa.int64()), pa.array(range(len(parts)), pa.int64()), pa.array(parts)], ["contig_id", "chunk", "bases"])
 
     return contigs.select("contig_id", "seq").mapInArrow(run, "contig_id long, chunk long, bases string")
 
 
+def _local(chunk: int, at: list[int]) -> tuple[int, np.ndarray]:
+    """The position of a chunk's text in its contig, and the anchors' places in the text."""
+    first = max(0, chunk * CHUNK - AROUND)
+    return first, np.sort(np.array(at, np.int64)) - first
+
+
 def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate stretches `h1`, `h2`, `contig_id`, `pos` of rows (contig_id, chunk, bases, positions of shared anchors)."""
+    """All stretches of SPAN bases around anchors: `h1`, `h2`, `contig_id`, `pos`, from (contig_id, chunk, bases, anchors)."""
     for batch in batches:
         for cid, chunk, bases, at in zip(*(batch.column(k).to_pylist() for k in range(4))):
             v = codes(bases)
             n = len(v) - SPAN + 1
+            if n <= 0:
+                continue
+            first, local = _local(chunk, at)
             wanted = np.zeros(n + 1, np.int64)
-            local = np.array(at, np.int64) - chunk * CHUNK
-            np.add.at(wanted, np.clip(local - (SPAN - WORD), 0, n), 1)
+            np.add.at(wanted, np.clip(local - AROUND, 0, n), 1)
             np.add.at(wanted, np.clip(local + 1, 0, n), -1)
             start = np.flatnonzero((np.cumsum(wanted)[:n] > 0) & clean(v, SPAN))
             quarter = words(v, 25)
@@ -79,7 +92,82 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for k in (0, 25, 50, 75):
                 w = quarter[start + k]
                 h1, h2 = mixed(h1 ^ w), mixed(h2 + (w << np.uint64(13)))
-            yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(np.full(len(start), cid, np.int64)), pa.array(start + chunk * CHUNK)], ["h1", "h2", "contig_id", "pos"])
+            yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(np.full(len(start), cid, np.int64)), pa.array(start + first)], ["h1", "h2", "contig_id", "pos"])
+
+
+_SIDES = [f"{s}{k}" for s in "lr" for k in range(3)]
+_CONTEXT = "code long, contig_id long, pos long, l0 long, l1 long, l2 long, r0 long, r1 long, r2 long, la int, ra int"
+
+
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Anchors with the AROUND bases on either side: three codes each, nearest base first, and how many are clean."""
+    third = AROUND // 3
+    for batch in batches:
+        for cid, chunk, bases, at in zip(*(batch.column(k).to_pylist() for k in range(4))):
+            first, p = _local(chunk, at)
+            pad = np.full(AROUND, 4, np.uint64)
+            v = np.concatenate([pad, codes(bases), pad])
+            p, n = p + AROUND, len(v)
+            bad = v == 4
+            place = np.arange(n)
+            before = np.maximum.accumulate(np.where(bad, place, -1))
+            after = np.minimum.accumulate(np.where(bad, place, n)[::-1])[::-1]
+            back, ahead = words(v[::-1], third), words(v, third)
+            cols = [words(v, WORD)[p].astype(np.int64), np.full(len(p), cid, np.int64), p - AROUND + first]
+            cols += [back[n - p + third * k].astype(np.int64) for k in range(3)]
+            cols += [ahead[p + WORD + third * k].astype(np.int64) for k in range(3)]
+            cols += [np.minimum(p - 1 - before[p - 1], AROUND).astype(np.int32), np.minimum(after[p + WORD] - p - WORD, AROUND).astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["code", "contig_id", "pos", *_SIDES, "la", "ra"])
+
+
+def _common(x: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """How many bases from the nearest on agree, by the three codes of one side."""
+    third = AROUND // 3
+    out, on = np.zeros(len(i), np.int64), np.ones(len(i), bool)
+    for c in x:
+        same = (2 * third - np.frexp((c[i] ^ c[j]).astype(float))[1]) // 2  # codes have less than 53 bits
+        out += np.where(on, same, 0)
+        on &= same == third
+    return out
+
+
+def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shared intervals of the anchors of each code (rows sorted by code, at most RARE of one), by extension in pairs."""
+
+    def intervals(rows: pa.Table) -> pa.RecordBatch:
+        c = {k: rows.column(k).to_numpy() for k in rows.column_names}
+        left, right = [c[k] for k in _SIDES[:3]], [c[k] for k in _SIDES[3:]]
+        n = rows.num_rows
+        lo, hi = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        for d in range(1, n):
+            i = np.flatnonzero(c["code"][d:] == c["code"][:-d])
+            if not len(i):
+                break
+            i = i[c["contig_id"][i] != c["contig_id"][i + d]]
+            j = i + d
+            a = np.minimum(_common(left, i, j), np.minimum(c["la"][i], c["la"][j]))
+            b = np.minimum(_common(right, i, j), np.minimum(c["ra"][i], c["ra"][j]))
+            ok = a + b + WORD >= SPAN
+            for t in (i[ok], j[ok]):
+                np.maximum.at(lo, t, a[ok])
+                np.maximum.at(hi, t, b[ok] + WORD)
+        t = np.flatnonzero(hi)
+        start, end, cid = c["pos"][t] - lo[t], c["pos"][t] + hi[t], c["contig_id"][t]
+        return pa.RecordBatch.from_arrays([pa.array(cid), pa.array(start), pa.array(end)], ["contig_id", "pos", "end"])
+
+    open_: pa.Table | None = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        rows = pa.concat_tables([open_, rows]).combine_chunks() if open_ is not None else rows
+        if not rows.num_rows:
+            continue
+        code = rows.column("code").to_numpy()
+        done = int(np.searchsorted(code, code[-1]))  # the last code may go on in the next batch
+        open_ = rows.slice(done)
+        if done:
+            yield intervals(rows.slice(0, done))
+    if open_ is not None:
+        yield intervals(open_)
 
 
 def shared_spans(contigs: DataFrame) -> DataFrame:
@@ -90,19 +178,20 @@ def shared_spans(contigs: DataFrame) -> DataFrame:
     Contigs need `contig_id` and `seq`; other columns are not read.
     """
     found = anchors(contigs)
-    in_two = found.groupBy("code").agg(F.min("contig_id").alias("_lo"), F.max("contig_id").alias("_hi")).where("_lo < _hi").select("code")
-    # A stretch may start in the chunk of its anchor or, if the anchor lies near the start, in the chunk before.
-    here = F.floor(F.col("pos") / CHUNK)
-    before = F.floor(F.greatest(F.col("pos") - (SPAN - WORD), F.lit(0)) / CHUNK)
-    near = found.join(in_two, "code", "left_semi").select("contig_id", "pos", F.explode(F.array_distinct(F.array(here, before))).alias("chunk"))
-    marks = near.groupBy("contig_id", "chunk").agg(F.collect_set("pos").alias("at"))  # at most a chunk's positions
-    texts = chunks(contigs).groupBy("contig_id", "chunk").agg(F.max("bases").alias("bases"))
-    rows = texts.join(marks, ["contig_id", "chunk"]).select("contig_id", "chunk", "bases", "at").mapInArrow(_stretches, "h1 long, h2 long, contig_id long, pos long")
+    by_code = found.groupBy("code").agg(F.count(F.lit(1)).alias("_n"), F.min("contig_id").alias("_lo"), F.max("contig_id").alias("_hi")).where("_lo < _hi")
+    near = found.join(by_code.select("code", (F.col("_n") > RARE).alias("hot")), "code").select("contig_id", F.floor(F.col("pos") / CHUNK).alias("chunk"), "hot", "pos")
+    marks = near.groupBy("contig_id", "chunk").agg(*[F.collect_set(F.when(F.col("hot") == hot, F.col("pos"))).alias(f"at_{hot}") for hot in (False, True)])  # at most a chunk's positions
+    texts = chunks(contigs).groupBy("contig_id", "chunk").agg(F.max("bases").alias("bases")).join(marks, ["contig_id", "chunk"])
+    at = lambda hot: texts.where(F.size(f"at_{hot}") > 0).select("contig_id", "chunk", "bases", f"at_{hot}")
+    # Anchors of few places: their surroundings meet by code and are extended.
+    extended = at(False).mapInArrow(_contexts, _CONTEXT).repartition("code").sortWithinPartitions("code").mapInArrow(_extend, "contig_id long, pos long, end long")
+    # Anchors of many places: every stretch around them is aggregated by its value.
+    rows = at(True).mapInArrow(_stretches, "h1 long, h2 long, contig_id long, pos long")
     twice = rows.groupBy("h1", "h2").agg(F.min("contig_id").alias("_lo"), F.max("contig_id").alias("_hi")).where("_lo < _hi").select("h1", "h2")
-    starts = rows.join(twice, ["h1", "h2"], "left_semi").select("contig_id", "pos", F.floor(F.col("pos") / CHUNK).alias("_chunk"))
+    matched = rows.join(twice, ["h1", "h2"], "left_semi").select("contig_id", "pos", (F.col("pos") + SPAN).alias("end"))
     # Runs are first closed within chunks, so that the windows over whole contigs see runs, not positions.
-    w = Window.partitionBy("contig_id", "_chunk").orderBy("pos")
-    runs = _islands(starts.select("contig_id", "_chunk", "pos", (F.col("pos") + SPAN).alias("end")), w, ["contig_id", "_chunk"])
+    runs = extended.unionByName(matched).withColumn("_chunk", F.floor(F.col("pos") / CHUNK))
+    runs = _islands(runs, Window.partitionBy("contig_id", "_chunk").orderBy("pos"), ["contig_id", "_chunk"])
     return _islands(runs, Window.partitionBy("contig_id").orderBy("pos"), ["contig_id"]).select("contig_id", F.col("pos").alias("span_start"), F.col("end").alias("span_end"))
 
 

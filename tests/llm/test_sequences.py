@@ -75,7 +75,9 @@ def test_spans_whole_table(spark, contigs):
     assert sum(r.shared_bases for r in share.values()) == sum(e - s for _, s, e in got)
 
 
-def test_spans_long_contigs_repeats_and_dirt(spark, monkeypatch):
+@pytest.mark.parametrize("rare", [1, 5, 64])
+def test_spans_long_contigs_repeats_and_dirt(spark, monkeypatch, rare):
+    monkeypatch.setattr(spans, "RARE", rare)
     rnd = random.Random(3)
     new = lambda n: "".join(rnd.choices("ACGT", k=n))
     core, hot = new(40_000), "TTAGGG" * 40
