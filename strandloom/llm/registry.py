@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandloom.llm import frequency, mixing, near, spans, splitting, tokens
+from strandloom.llm import frequency, mixing, near, personal, spans, splitting, tokens
 from strandloom.sources.tables import spread, table
 
 
@@ -64,7 +64,17 @@ def p7_shares(spark, sf_dir):
     return mixing.shares(p7_mix(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_fragments, p1_bisected, p2_found, p2_key_frequency, p3_found, p3_shared_share, p4_found, p4_groups, p6_ids, p6_offsets, p6_decoded, p7_mix, p7_shares)}
+def p8_found(spark, sf_dir):
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return personal.detect(docs, table(spark, sf_dir, "person_names")).select("doc_id", "kind", "start_pos")
+
+
+def p8_redacted(spark, sf_dir):
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return personal.detect(docs, table(spark, sf_dir, "person_names"), redact=True)
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_fragments, p1_bisected, p2_found, p2_key_frequency, p3_found, p3_shared_share, p4_found, p4_groups, p6_ids, p6_offsets, p6_decoded, p7_mix, p7_shares, p8_found, p8_redacted)}
 
 _USABLE = "(SELECT contig_id, pos_offset, min(hash_key) AS hash_key FROM kmer_index WHERE hash_key >= 0 AND contig_id <> 0 AND pos_offset IS NOT NULL GROUP BY 1, 2)"
 _FREQUENCY = f"""SELECT hash_key, count(*) AS n_postings, count(DISTINCT contig_id) AS n_contigs,
