@@ -40,10 +40,10 @@ NO_STREET = ("at", "in", "to", "the", "of", "on", "near", "from", "by", "and", "
 NO_CALLE = ("desde", "depuis", "avait", "avaient", "tenía", "fut", "fue", "est", "es", "en", "que", "con", "dit", "dite", "llamado", "llamada", "hacia", "vers", "et", "y", "compte", "longe", "domine", "abrite")
 PARTICLES = ("van", "von", "de", "der", "den", "del", "della", "di", "da", "du", "le", "la", "ter", "zu", "dos", "af", "av")
 
-_NUM = r"(?:(?:no|nr|n[º°o]|num)\.?[ \u00a0]?)?(?<![\w.,-])\d{1,4}[ ]?(?:bis|ter|[a-z](?![\w]))?(?:[-–/]\d{1,4}[a-z]?)?(?![\d])"
+_NUM = r"(?:(?:no|nr|n\.?[º°o]|núm|num)\.?[ \u00a0]?)?(?<![\w.,-])\d{1,4}[ ]?(?:bis|ter|[a-z](?![\w]))?(?:[-–/]\d{1,4}[a-z]?)?(?![\d])"
 #: Wide patterns of numbers: what may be a telephone or identity number, each with the formats it is held against.
 NUMBER = re.compile(
-    r"(?:\+[ ]?|\(\+?)?(?<![\w])\d(?:[ \u00a0().\-–/]{0,3}\d){6,17}(?:[ ]?[-.]?[ ]?[a-z]\b)?(?![\w])|\b[a-z]{2}[ ]?(?:\d\d[ ]?){3}[a-d]\b|\b[a-z]\d\d[ ]?[a-z]\d\d[ ]?\d{4}\b|\b[a-z][ ]?\d{7,8}[ ]?[a-z]?\b", re.I
+    r"(?:\+[ ]?|\(\+?)?(?<![\w])\d(?:[ \u00a0().\-–/]{0,3}\d){6,17}(?:[ ]?[-.]?[ ]?[a-z]\b)?(?![\w])|\b[a-z]{2}[ ]?(?:\d\d[ ]?){3}[a-d]\b|\b[a-z]\d\d[ ]?[a-z]\d\d[ ]?\d{3,4}\b|\b[a-z][ ]?\d{7,8}[ ]?[a-z]?\b", re.I
 )
 PHONES = {
     "us": r"(?:\+1|001|1)?[ .\-–]?\(?\d{3}\)?[ .\-–]?555[ .\-–]?\d{4}",
@@ -61,7 +61,7 @@ IDS = {
     "insurance": r"[a-z]{2}[ ]?\d\d[ ]?\d\d[ ]?\d\d[ ]?[a-d]",
     "dni": r"\d{2}\.?\d{3}\.?\d{3}[ \-]?[a-z]|[xyz][ \-]?\d{7}[ \-]?[a-z]",
     "secu": r"[12378][ ]?\d\d[ ]?\d\d[ ]?\d[\dab][ ]?\d{3}[ ]?\d{3}(?:[ /]?\d\d)?",
-    "card": r"[a-z]\d\d[ ]?[a-z]\d\d[ ]?\d{4}",
+    "card": r"[a-z]\d\d[ ]?[a-z]\d\d[ ]?\d{3,4}",
 }
 #: Every number worth a look has six digits in a row but for separators and single letters; this finds them fast.
 DIGIT, LONG_NUMBER = re.compile(r"\d"), re.compile(r"\d(?:[ \u00a0().\-–/]{0,3}[A-Za-z]?\d){5}")
@@ -74,7 +74,7 @@ EMAIL_LEFT = re.compile(r"[\w.+\-%]*\w[ ]?$")
 _alternatives = lambda words: "(?:" + "|".join(re.escape(w) for w in sorted(words, key=len, reverse=True)) + ")"
 _WORD = rf"(?!(?:{'|'.join(NO_STREET)})(?![\w]))(?:[^\W\d_]{{1,3}}\.|[^\W\d_][\w'’\-]*)[ \u00a0]"
 _STREET = _alternatives(STREETS) + r"(?![\w])"
-_OF = r"(?:del?[ \u00a0]|des[ \u00a0]|du[ \u00a0]|de la[ \u00a0]|de las[ \u00a0]|de los[ \u00a0]|de l['’]|d['’]|las?[ \u00a0]|los[ \u00a0])?"
+_OF = r"(?:de l[ao]s?[ \u00a0]|de l['’]|del?[ \u00a0]|des[ \u00a0]|du[ \u00a0]|d['’]|l[ao]s?[ \u00a0])?"
 _NOT = rf"(?!(?:{'|'.join(NO_CALLE)})(?![\w]))"
 _SHORT = _NUM.replace(r"\d{1,4}[ ]?(?:bis", r"\d{1,3}(?!\d)[ ]?(?:bis")
 #: Address forms: number before or after an English street, German, and French or Spanish ones.
@@ -82,7 +82,7 @@ ADDRESSES = {
     "before": re.compile(rf"{_NUM},?[ \u00a0](?:{_WORD}){{1,3}}{_STREET}", re.I),
     "after": re.compile(rf"(?<![\w])(?:{_WORD}){{1,3}}{_STREET},?[ \u00a0]{_NUM}(?![\w])", re.I),
     "german": re.compile(rf"(?<![\w\-])[^\W\d_][\w\-]*[ \u00a0]?{_alternatives(STREET_ENDS)},?[ \u00a0]{_SHORT}(?![\w])", re.I),
-    "french": re.compile(rf"{_SHORT},?[ \u00a0]{_alternatives(STREET_STARTS)}[ \u00a0]{_OF}{_NOT}[^\W\d_][\w'’\-]*", re.I),
+    "french": re.compile(rf"{_SHORT},?[ \u00a0]{_alternatives(STREET_STARTS)}[ \u00a0]{_OF}{_NOT}[^\W\d_][\w'’\-]*(?-i:[ \u00a0][A-ZÀ-Þ][\w'’\-]*)?", re.I),
     "behind": re.compile(rf"(?<![\w]){_alternatives(STREET_STARTS)}[ \u00a0]{_OF}{_NOT}[^\W\d_][\w'’\-]*,[ \u00a0]{_SHORT}(?![\w])", re.I),
     "spanish": re.compile(rf"(?<![\w]){_alternatives(CALLES)}[ \u00a0]?{_OF}{_NOT}[^\W\d_][\w'’\-]*(?:[ \u00a0]{_OF}{_NOT}[^\W\d_][\w'’\-]*)?,?[ \u00a0]{_SHORT}(?![\w])", re.I),
 }
@@ -180,48 +180,43 @@ class Finder:
 
     @staticmethod
     def numbers(text: str) -> list[tuple[int, int, str, str]]:
-        out = []
-        done, hits = 0, []
+        out, done = [], 0
         while near := LONG_NUMBER.search(text, done):
-            lo, hi = max(done, near.start() - 8), near.end()
-            m = None
+            lo, hi, m = max(done, near.start() - 8), near.end(), None
             while hi < len(text) and (m is None or m.end() == hi):  # until the number ends before the part looked at does
                 hi = min(len(text), hi + 32)
-                m = NUMBER.search(text, lo, hi)
-                if m is None:
+                if (m := NUMBER.search(text, lo, hi)) is None:
                     break
             m = m or NUMBER.search(text, lo, hi)
-            if m:
-                hits.append(m)
-            done = max(near.end(), m.end() if m and m.start() < near.end() else 0)
-        for m in hits:
-            a, b = m.span()
+            if m is None or m.start() >= near.end():
+                done = near.end()
+                continue
+            a = m.start()
             s = m[0].rstrip(" .-–/(").replace("\u00a0", " ")
             if s[0] == "(" and ")" not in s:
                 a, s = a + 1, s[1:]
-            digits = re.sub(r"\D", "", s)
-            plain = "".join(str(int(c)) if c.isdecimal() else c for c in s)
-            ids = [k for k, p in ID_RE.items() if p.fullmatch(plain)]
-            tel = [k for k, p in PHONE_RE.items() if p.fullmatch(plain)]
-            if not tel and not ids:  # the pattern may have run on into another number
-                tel_m = [(k, t) for k, p in PHONE_RE.items() if (t := p.match(plain)) and t.end() >= 9 and not plain[t.end() : t.end() + 1].isdigit()]
-                id_m = [(k, t) for k, p in ID_RE.items() if (t := p.match(plain)) and t.end() >= 9 and not plain[t.end() : t.end() + 1].isalnum()]
-                if tel_m:
-                    k, t = max(tel_m, key=lambda x: x[1].end())
-                    out.append((a, a + t.end(), "phone", k))
-                    continue
-                if id_m:
-                    k, t = max(id_m, key=lambda x: x[1].end())
-                    out.append((a, a + t.end(), "id_number", k))
-                    continue
-            if ids and not (tel and plain[0] in "+("):
-                out.append((a, a + len(s), "id_number", ids[0] + "?" * bool(tel)))
-            elif tel and len(digits) >= 9:
-                out.append((a, a + len(s), "phone", tel[0]))
-            elif len(digits) >= 7:
-                out.append((a, a + len(s), "phone" if plain[0] in "+(0" else "id_number", "loose"))
+            kind, form, n = Finder.number("".join(str(int(c)) if c.isdecimal() else c for c in s))
+            if kind:
+                out.append((a, a + n, kind, form))
+            done = max(near.start() + 1, a + n)
         return out
 
+    @staticmethod
+    def number(s: str) -> tuple[str, str, int]:
+        """Kind, form and length of the number that `s` is or, if it ran on into another number, begins with."""
+        ids = [k for k, p in ID_RE.items() if p.fullmatch(s)]
+        tel = [k for k, p in PHONE_RE.items() if p.fullmatch(s)]
+        if ids and not (tel and s[0] in "+("):
+            return "id_number", ids[0] + "?" * bool(tel), len(s)
+        digits = sum(c.isdigit() for c in s)
+        if tel and digits >= 9:
+            return "phone", tel[0], len(s)
+        begins = [(t.end(), kind, k) for kind, forms in (("phone", PHONE_RE), ("id_number", ID_RE)) for k, p in forms.items() if (t := p.match(s)) and sum(c.isdigit() for c in t[0]) >= 9 and t.end() < len(s) and not s[t.end()].isalnum()]
+        if begins:
+            n, kind, k = max(begins)
+            return kind, k, n
+        return ("phone" if s[0] in "+(0" else "id_number", "loose", len(s)) if digits >= 7 else ("", "", len(s))
+
     @staticmethod
     def addresses(text: str, streets: list[tuple[int, int]]) -> list[tuple[int, int, str, str]]:
         out, done = [], -1
