@@ -1,7 +1,7 @@
 """All queries of the core."""
 
-from strandloom import queries_skew
+from strandloom import queries_assembly, queries_skew
 
-MODULES = (queries_skew,)
+MODULES = (queries_skew, queries_assembly)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLE = {name: sql for m in MODULES for name, sql in m.ORACLE.items()}
