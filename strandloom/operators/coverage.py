@@ -122,3 +122,16 @@ def end_scores(pairs: DataFrame, contigs: DataFrame, reach: int = 500) -> DataFr
     pick = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
     value = (1 - F.col("d1") / reach) * (1 - F.col("d2") / reach)
     return rows.groupBy(pick("c1", "c2").alias("a"), pick("c2", "c1").alias("b"), pick("s1", "s2").alias("side_a"), pick("s2", "s1").alias("side_b")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(value), 6).alias("score"))
+
+
+def contact_boundaries(contacts: DataFrame, reach: int = 3) -> DataFrame:
+    """Per boundary between bins, contacts of up to `reach` bins apart that cross it and such contacts that end on either side of it.
+
+    `boundary` is the lower bin's number plus one; `separation` = inside / (inside + crossing), 6 digits: near 1 where the map falls
+    into two blocks. Every cell of the map meets at most 2 reach + 2 boundaries.
+    """
+    cells = contacts.where(F.col("j") - F.col("i") <= reach)
+    at = cells.select("scaffold_id", "i", "j", "n", F.explode(F.sequence(F.greatest(F.col("j") - reach + 1, F.lit(1)), F.col("i") + reach)).alias("boundary"))
+    cross = (F.col("i") < F.col("boundary")) & (F.col("j") >= F.col("boundary"))
+    got = at.groupBy("scaffold_id", "boundary").agg(F.sum(F.when(cross, F.col("n")).otherwise(0)).alias("crossing"), F.sum(F.when(cross, 0).otherwise(F.col("n"))).alias("inside"))
+    return got.withColumn("separation", F.round(F.col("inside") / (F.col("inside") + F.col("crossing")), 6))

@@ -69,22 +69,29 @@ def reciprocal(edge_rows: DataFrame) -> DataFrame:
 
 
 def components(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """`node`, `component` (its lowest node) of the graph of `pairs`, by label spreading with pointer jumping.
+    """`node`, `component` (its lowest node) of the graph of `pairs`, by alternating large and small stars.
 
-    Each round a node takes the lowest label of its neighbours, then that label's label; rounds end when none changes. The
-    lineage of every round is cut in the shared folder. Null ends are left out; no pairs give no rows.
+    Every node ties its higher neighbours, then its lower ones, to the lowest node it knows, until only stars are left; the
+    number of rounds grows with the logarithm of the longest path. Rows never exceed the edges; each round is cut in the
+    shared folder. Null ends are left out; a pair of one node with itself gives that node; no pairs give no rows.
     """
-    one = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    both = cut(one.select(F.col(a).alias("n"), F.col(b).alias("m")).unionByName(one.select(F.col(b).alias("n"), F.col(a).alias("m"))).distinct())
-    labels = cut(both.groupBy("n").agg(F.least(F.col("n"), F.min("m")).alias("label")))
+    one = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo"))
+    one = cut(one.distinct())
+    links, seen = one.where("hi > lo"), None
     while True:
-        low = both.join(labels.select(F.col("n").alias("m"), F.col("label").alias("_l")), "m").groupBy("n").agg(F.min("_l").alias("_l"))
-        moved = labels.join(low, "n").select("n", F.col("label").alias("_old"), F.least("label", "_l").alias("label"))
-        jump = labels.select(F.col("n").alias("label"), F.col("label").alias("_to"))
-        new = cut(moved.join(jump, "label", "left").select("n", "_old", F.least("label", F.coalesce("_to", "label")).alias("label")))
-        labels = new.select("n", "label")
-        if new.where("label <> _old").isEmpty():
-            return labels.select(F.col("n").alias("node"), F.col("label").alias("component"))
+        both = links.select(F.col("hi").alias("n"), F.col("lo").alias("m")).unionByName(links.select(F.col("lo").alias("n"), F.col("hi").alias("m")))
+        low = both.groupBy("n").agg(F.least(F.col("n"), F.min("m")).alias("_l"))
+        large = both.where("m > n").join(low, "n").select(F.col("m").alias("hi"), F.col("_l").alias("lo")).distinct()
+        least = large.groupBy("hi").agg(F.min("lo").alias("_l"))
+        small = large.join(least, "hi").where("lo > _l").select(F.col("lo").alias("hi"), F.col("_l").alias("lo"))
+        links = cut(small.unionByName(least.select("hi", F.col("_l").alias("lo"))).distinct())
+        now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
+        if now == seen:
+            break
+        seen = now
+    return links.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(
+        links.select(F.col("lo").alias("node"), F.col("lo").alias("component")).unionByName(one.where("hi = lo").select(F.col("hi").alias("node"), F.col("hi").alias("component")))
+    ).groupBy("node").agg(F.min("component").alias("component"))
 
 
 def chains(joins: DataFrame) -> DataFrame:
@@ -164,3 +171,76 @@ def cross_support(edge_rows: DataFrame, evidence: DataFrame, ratio: float = 0.25
     got = rows.groupBy("src", "l1", "l2", "r1", "r2").agg(total(0).alias("parallel"), total(1).alias("crossed"))
     weak, strong = F.least("parallel", "crossed"), F.greatest("parallel", "crossed")
     return got.withColumn("accepted", F.when((strong > 0) & (weak <= ratio * strong), F.when(F.col("parallel") > F.col("crossed"), "parallel").otherwise("crossed")))
+
+
+def greedy_joins(edge_rows: DataFrame) -> DataFrame:
+    """Joins accepted in order of links (then nearer, then lower ids), each side of a node used once: `id1`, `id2` signed, `num_link`, `gap`.
+
+    In every round the edges that come first on both their sides are accepted and the edges of used sides dropped, which
+    gives the same joins as one pass in that order. Rings of joins are left as they are; `chains` opens them.
+    """
+    seen = edge_rows.where("src < dst").select(
+        (F.col("src") * F.col("direction")).alias("id1"), (F.col("dst") * F.col("direction") * F.col("orient")).alias("id2"), "num_link", "gap"
+    )
+    # The side of a node that a join occupies: its own signed end.
+    left = cut(seen.select("id1", "id2", "num_link", "gap", F.col("id1").alias("s1"), (-F.col("id2")).alias("s2"), F.struct((-F.col("num_link")).alias("a"), F.abs("gap").alias("b"), "gap", "id1", "id2").alias("rank")))
+    taken = None
+    while not left.isEmpty():
+        sides = left.select(F.col("s1").alias("side"), "rank").unionByName(left.select(F.col("s2").alias("side"), "rank"))
+        first = sides.groupBy("side").agg(F.min("rank").alias("best"))
+        best = left.join(first.select(F.col("side").alias("s1"), F.col("best").alias("b1")), "s1").join(first.select(F.col("side").alias("s2"), F.col("best").alias("b2")), "s2")
+        now = cut(best.where("rank = b1 AND rank = b2").select("id1", "id2", "num_link", "gap", "s1", "s2"))
+        taken = now if taken is None else taken.unionByName(now)
+        used = now.select(F.explode(F.array("s1", "s2")).alias("side"))
+        left = cut(left.join(used.select(F.col("side").alias("s1")), "s1", "left_anti").join(used.select(F.col("side").alias("s2")), "s2", "left_anti").select(left.columns))
+    return (left if taken is None else taken).select("id1", "id2", "num_link", "gap")
+
+
+def chain_offsets(chain_rows: DataFrame, joins: DataFrame, lengths: DataFrame) -> DataFrame:
+    """Start and end of every node on its chain, from the lengths of the nodes and the gaps of the joins; gaps may be negative."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("chain").orderBy("place")
+    rows = chain_rows.join(lengths.select(F.col("contig_id").alias("node"), "len"), "node").withColumn("signed", F.col("node") * F.col("sign")).withColumn("before", F.lag("signed").over(w))
+    both = joins.select(F.col("id1").alias("before"), F.col("id2").alias("signed"), "gap").unionByName(joins.select((-F.col("id2")).alias("before"), (-F.col("id1")).alias("signed"), "gap"))
+    rows = rows.join(both, ["before", "signed"], "left").withColumn("end", F.sum(F.col("len") + F.coalesce("gap", F.lit(0))).over(w))
+    return rows.select("chain", "place", "node", "sign", (F.col("end") - F.col("len")).alias("start"), "end")
+
+
+def phase_blocks(evidence: DataFrame) -> DataFrame:
+    """Haplotype parity of blocks from evidence between them: `block`, `phase_set` (its lowest block), `parity` (0 or 1).
+
+    `evidence` has `x` < `y`, `parallel`, `crossed`. The sets are joined along the evidence with the largest difference (ties: lower
+    ids), crossed evidence turning one side: a maximum spanning forest with parity, built in rounds in which every set picks its
+    best link. Pointer doubling carries parity along the picks. Equal evidence joins nothing.
+    """
+    links = evidence.where("parallel <> crossed").select("x", "y", F.abs(F.col("parallel") - F.col("crossed")).alias("w"), (F.col("crossed") > F.col("parallel")).cast("int").alias("turn"))
+    links = cut(links)
+    sets = cut(evidence.select(F.explode(F.array("x", "y")).alias("block")).distinct().select("block", F.col("block").alias("s"), F.lit(0).alias("p")))
+    while True:
+        a, b = sets.select(F.col("block").alias("x"), F.col("s").alias("sx"), F.col("p").alias("px")), sets.select(F.col("block").alias("y"), F.col("s").alias("sy"), F.col("p").alias("py"))
+        out = links.join(a, "x").join(b, "y").where("sx <> sy").select("sx", "sy", "w", "x", "y", F.expr("(turn + px + py) % 2").alias("t"))
+        both = out.unionByName(out.select(F.col("sy").alias("sx"), F.col("sx").alias("sy"), "w", "x", "y", "t"))
+        pick = cut(both.groupBy("sx").agg(F.min(F.struct((-F.col("w")).alias("k"), "x", "y", "sy", "t")).alias("m")).select(F.col("sx").alias("s"), F.col("m.sy").alias("to"), F.col("m.t").alias("t")))
+        if pick.isEmpty():
+            break
+        mutual = pick.select(F.col("to").alias("s"), F.col("s").alias("to"), F.lit(True).alias("_m"))
+        ptr = pick.join(mutual, ["s", "to"], "left").withColumn("_root", F.col("_m").isNotNull() & (F.col("s") < F.col("to")))
+        ptr = cut(ptr.select("s", F.when(F.col("_root"), F.col("s")).otherwise(F.col("to")).alias("to"), F.when(F.col("_root"), 0).otherwise(F.col("t")).alias("t")))
+        while True:
+            nxt = ptr.select(F.col("s").alias("to"), F.col("to").alias("_to"), F.col("t").alias("_t"))
+            new = cut(ptr.join(nxt, "to").select("s", F.col("_to").alias("to"), F.expr("(t + _t) % 2").alias("t"), (F.col("_to") != F.col("to")).alias("_moved")))
+            ptr = new.select("s", "to", "t")
+            if new.where("_moved").isEmpty():
+                break
+        sets = cut(sets.join(ptr, "s", "left").select("block", F.coalesce("to", "s").alias("s"), F.expr("(p + coalesce(t, 0)) % 2").alias("p")))
+    low = sets.groupBy("s").agg(F.min(F.struct("block", "p")).alias("m"))
+    return sets.join(low, "s").select("block", F.col("m.block").alias("phase_set"), F.expr("(p + m.p) % 2").alias("parity"))
+
+
+def block_evidence(partners: DataFrame, shared: DataFrame) -> DataFrame:
+    """Evidence between allele pairs (named by their first member): links within (`parallel`) and across (`crossed`) haplotypes."""
+    side = partners.select(F.col("a").alias("block"), F.col("a").alias("contig"), F.lit(0).alias("h")).unionByName(partners.select(F.col("a").alias("block"), F.col("b").alias("contig"), F.lit(1).alias("h")))
+    one = lambda n: side.select(F.col("contig").alias(n), F.col("block").alias(f"b{n}"), F.col("h").alias(f"h{n}"))
+    rows = shared.join(one("a"), "a").join(one("b"), "b").where("ba <> bb")
+    return rows.groupBy(F.least("ba", "bb").alias("x"), F.greatest("ba", "bb").alias("y")).agg(F.sum(F.when(F.col("ha") == F.col("hb"), F.col("n")).otherwise(0)).alias("parallel"), F.sum(F.when(F.col("ha") != F.col("hb"), F.col("n")).otherwise(0)).alias("crossed"))

@@ -90,8 +90,8 @@ USABLE = "u AS (SELECT contig_id, pos_offset, min(hash_key) AS hash_key FROM kme
 INDEX = f"{USABLE}, ix AS (SELECT * FROM u WHERE hash_key IN (SELECT hash_key FROM u GROUP BY 1 HAVING count(*) <= 256))"
 KCODE = "CAST(list_sum(list_transform(range(0, 31), lambda i: CAST(strpos('ACGT', kmer[i + 1]) - 1 AS BIGINT) << (2 * (30 - i)))) AS BIGINT)"
 VOTES = f"""{READS}, {INDEX}, b AS (SELECT lib_no, pair_id, mate, 1 AS strand, bases AS b FROM r UNION ALL SELECT lib_no, pair_id, mate, -1, {RC('bases')} FROM r),
-    kw AS (SELECT lib_no, pair_id, mate, strand, at, substr(b, at + 1, 31) AS kmer FROM (SELECT *, unnest(range(0, length(b) - 30)) AS at FROM b)), dk AS (SELECT kmer, {KCODE} AS hash_key FROM (SELECT DISTINCT kmer FROM kw WHERE regexp_full_match(kmer, '[ACGT]+'))),
-    v AS (SELECT lib_no, pair_id, mate, strand * contig_id AS signed_id, CAST(pos_offset - at AS BIGINT) AS diagonal, count(*) AS votes FROM kw JOIN dk USING (kmer) JOIN ix USING (hash_key) GROUP BY 1, 2, 3, 4, 5)"""
+    kw AS (SELECT lib_no, pair_id, mate, strand, ofs, substr(b, ofs + 1, 31) AS kmer FROM (SELECT *, unnest(range(0, length(b) - 30)) AS ofs FROM b)), dk AS (SELECT kmer, {KCODE} AS hash_key FROM (SELECT DISTINCT kmer FROM kw WHERE regexp_full_match(kmer, '[ACGT]+'))),
+    v AS (SELECT lib_no, pair_id, mate, strand * contig_id AS signed_id, CAST(pos_offset - ofs AS BIGINT) AS diagonal, count(*) AS votes FROM kw JOIN dk USING (kmer) JOIN ix USING (hash_key) GROUP BY 1, 2, 3, 4, 5)"""
 MAPPED = f"{VOTES}, m AS (SELECT lib_no, pair_id, mate, votes, min(signed_id) AS signed_id, min(diagonal) AS diagonal FROM (SELECT *, max(votes) OVER (PARTITION BY lib_no, pair_id, mate) AS best FROM v) WHERE votes = best GROUP BY 1, 2, 3, 4 HAVING count(*) = 1)"
 PAIRS = f"""{MAPPED}, pl AS (SELECT lib_no, pair_id, mate, signed_id, CASE WHEN signed_id > 0 THEN diagonal ELSE diagonal + length(bases) - 1 END AS place FROM m JOIN r USING (lib_no, pair_id, mate)),
     q AS (SELECT x.lib_no, x.pair_id, x.signed_id AS id1, x.place AS place1, y.signed_id AS id2, y.place AS place2 FROM pl x JOIN pl y ON x.lib_no = y.lib_no AND x.pair_id = y.pair_id AND x.mate = 1 AND y.mate = 2)"""
@@ -170,8 +170,8 @@ def gap_table(spark, d):
     return layout.gap_table(scaffolds_of(spark, d)).select("scaffold_id", "gap_no", "gap_start", "gap_end", F.col("left_flank").cast("bigint").alias("left_flank"), F.col("right_flank").cast("bigint").alias("right_flank"))
 
 
-@query(f"""WITH {GAPS}, cut AS (SELECT scaffold_id, gap_no AS i, gap_start + (gap_end - gap_start) // 2 AS at FROM g UNION ALL SELECT scaffold_id, 0, 0 FROM s),
-    f AS (SELECT scaffold_id, s.name, row_number() OVER w AS fragment_no, at AS frag_start, coalesce(lead(at) OVER w, length(bases)) AS frag_end FROM cut JOIN s USING (scaffold_id) WINDOW w AS (PARTITION BY scaffold_id ORDER BY i))
+@query(f"""WITH {GAPS}, cut AS (SELECT scaffold_id, gap_no AS i, gap_start + (gap_end - gap_start) // 2 AS ofs FROM g UNION ALL SELECT scaffold_id, 0, 0 FROM s),
+    f AS (SELECT scaffold_id, s.name, row_number() OVER w AS fragment_no, ofs AS frag_start, coalesce(lead(ofs) OVER w, length(bases)) AS frag_end FROM cut JOIN s USING (scaffold_id) WINDOW w AS (PARTITION BY scaffold_id ORDER BY i))
     SELECT scaffold_id, name || ':::fragment_' || fragment_no AS fragment, fragment_no, row_number() OVER (ORDER BY scaffold_id, fragment_no) AS record_no, CAST(frag_start AS BIGINT) AS frag_start, CAST(frag_end AS BIGINT) AS frag_end FROM f""")
 def review_assembly(spark, d):
     s = scaffolds_of(spark, d)
@@ -273,8 +273,8 @@ def insert_peak(spark, d):
     return stats.peaks(insert_histogram(spark, d), "lib_no")
 
 
-@query(f"""WITH {PEAK}, b AS (SELECT * FROM hi JOIN pk USING (lib_no) WHERE value BETWEEN 0.25 * peak AND 1.75 * peak), mm AS (SELECT lib_no, CAST(sum(n) AS BIGINT) AS rws, sum(n * value) / sum(n) AS m FROM b GROUP BY 1)
-    SELECT lib_no, rws AS rows, round(max(m), 6) AS mean, CASE WHEN rws > 1 THEN round(sqrt(sum(n * pow(value - m, 2)) / (rws - 1)), 6) END AS deviation FROM b JOIN mm USING (lib_no) GROUP BY 1, 2""")
+@query(f"""WITH {PEAK}, bb AS (SELECT * FROM hi JOIN pk USING (lib_no) WHERE value BETWEEN 0.25 * peak AND 1.75 * peak), mm AS (SELECT lib_no, CAST(sum(n) AS BIGINT) AS rws, sum(n * value) / sum(n) AS m FROM bb GROUP BY 1)
+    SELECT lib_no, rws AS rows, round(max(m), 6) AS mean, CASE WHEN rws > 1 THEN round(sqrt(sum(n * pow(value - m, 2)) / (rws - 1)), 6) END AS deviation FROM bb JOIN mm USING (lib_no) GROUP BY 1, 2""")
 def insert_figures(spark, d):
     h = insert_histogram(spark, d)
     return stats.bounded_figures(h, stats.peaks(h, "lib_no"), "lib_no")
@@ -524,7 +524,7 @@ def allele_similarity(spark, d):
     return words.allele_similarity(words.end_partners(c, both=False), c)
 
 
-@query(f"""WITH {ENDS}, st AS (SELECT contig_id AS b, i - 1 AS at, substr(bases, i, 31) AS w FROM (SELECT contig_id, bases, unnest(range(1, least(length(bases), 1000) - 29)) AS i FROM c)), hh AS (SELECT en.contig_id AS a, b, at + 31 AS n FROM en JOIN st ON rw = w WHERE en.contig_id <> b)
+@query(f"""WITH {ENDS}, st AS (SELECT contig_id AS b, i - 1 AS ofs, substr(bases, i, 31) AS w FROM (SELECT contig_id, bases, unnest(range(1, least(length(bases), 1000) - 29)) AS i FROM c)), hh AS (SELECT en.contig_id AS a, b, ofs + 31 AS n FROM en JOIN st ON rw = w WHERE en.contig_id <> b)
     SELECT a, b, CAST(max(n) AS BIGINT) AS overlap FROM hh JOIN c x ON a = x.contig_id JOIN c y ON b = y.contig_id WHERE right(x.bases, CAST(n AS BIGINT)) = left(y.bases, CAST(n AS BIGINT)) GROUP BY 1, 2""")
 def end_overlaps(spark, d):
     return words.end_overlaps(contigs_of(spark, d))
@@ -558,7 +558,7 @@ def low_ends(spark, d):
 
 
 @query(f"""WITH {GAPS}, {READS}, fl AS (SELECT scaffold_id, gap_no, substr(bases, gap_start - 19, 20) AS lw, substr(bases, gap_end + 1, 20) AS rw FROM g JOIN s USING (scaffold_id) WHERE left_flank >= 20 AND right_flank >= 20),
-    bo AS (SELECT bases AS t FROM r UNION ALL SELECT {RC('bases')} FROM r), hh AS (SELECT scaffold_id, gap_no, rw, substr(t, at + 20) AS rest FROM (SELECT t, unnest(range(1, length(t) - 18)) AS at FROM bo) JOIN fl ON substr(t, at, 20) = lw),
+    bo AS (SELECT bases AS t FROM r UNION ALL SELECT {RC('bases')} FROM r), hh AS (SELECT scaffold_id, gap_no, rw, substr(t, ofs + 20) AS rest FROM (SELECT t, unnest(range(1, length(t) - 18)) AS ofs FROM bo) JOIN fl ON substr(t, ofs, 20) = lw),
     vt AS (SELECT scaffold_id, gap_no, substr(rest, 1, strpos(rest, rw) - 1) AS filling, count(*) AS n_reads FROM hh WHERE strpos(rest, rw) > 0 GROUP BY 1, 2, 3)
     SELECT scaffold_id, gap_no, filling, n_reads FROM (SELECT *, row_number() OVER (PARTITION BY scaffold_id, gap_no ORDER BY n_reads DESC, length(filling), filling) AS rk FROM vt) WHERE rk = 1""")
 def gap_fillings(spark, d):
@@ -570,3 +570,36 @@ def gap_fillings(spark, d):
 def read_text(spark, d):
     b = F.col("bases")
     return reads_of(spark, d).select("lib_no", "pair_id", "mate", revcomp(b).alias("reverse"), F.trim(b, F.lit("N")).alias("trimmed"), (F.length(b) - F.length(F.replace(b, F.lit("N"), F.lit("")))).cast("bigint").alias("n_unknown"))
+
+
+@query()
+def greedy_joins(spark, d):
+    return graph.greedy_joins(edges_of(spark, d))
+
+
+@query()
+def greedy_layout(spark, d):
+    joins = graph.greedy_joins(edges_of(spark, d))
+    return graph.chain_offsets(graph.chains(joins), joins, contigs_of(spark, d))
+
+
+EVIDENCE = f"""{ENDS}, {LONG.replace(CONTIGS + ', ', '')}, {SHARED}, pr AS (SELECT min(contig_id) AS a, max(contig_id) AS b FROM en GROUP BY lw HAVING count(*) = 2), sd AS (SELECT a AS block, a AS contig, 0 AS hp FROM pr UNION ALL SELECT a, b, 1 FROM pr),
+    be AS (SELECT least(u.block, w.block) AS x, greatest(u.block, w.block) AS y, CAST(sum(CASE WHEN u.hp = w.hp THEN n ELSE 0 END) AS BIGINT) AS parallel, CAST(sum(CASE WHEN u.hp <> w.hp THEN n ELSE 0 END) AS BIGINT) AS crossed
+    FROM sr JOIN sd u ON sr.a = u.contig JOIN sd w ON sr.b = w.contig AND u.block <> w.block GROUP BY 1, 2)"""
+
+
+@query(f"WITH {EVIDENCE} SELECT * FROM be")
+def block_evidence(spark, d):
+    return graph.block_evidence(words.end_partners(contigs_of(spark, d), both=False), shared_long_reads(spark, d))
+
+
+@query()
+def phased_blocks(spark, d):
+    return graph.phase_blocks(block_evidence(spark, d))
+
+
+@query(f"""WITH {LIFT}, cm AS (SELECT scaffold_id, low // 1000 AS i, high // 1000 AS j, count(*) AS n FROM li WHERE low >= 0 GROUP BY 1, 2, 3), z AS (SELECT *, unnest(range(greatest(j - 2, 1), i + 4)) AS boundary FROM cm WHERE j - i <= 3),
+    t AS (SELECT scaffold_id, boundary, CAST(sum(CASE WHEN i < boundary AND j >= boundary THEN n ELSE 0 END) AS BIGINT) AS crossing, CAST(sum(CASE WHEN i < boundary AND j >= boundary THEN 0 ELSE n END) AS BIGINT) AS inside FROM z GROUP BY 1, 2)
+    SELECT *, round(inside / (inside + crossing), 6) AS separation FROM t""")
+def contact_boundaries(spark, d):
+    return coverage.contact_boundaries(contact_map(spark, d))

@@ -94,16 +94,19 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """Four-line FASTQ files: `file`, `ordinal` from 0, `name`, `tag` (of BX:Z:), `bases`.
+    """Four-line FASTQ files (plain, gzip or bzip2): `file`, `ordinal` from 0, `name`, `tag` (of BX:Z:), `bases`.
 
-    A file is read as one text row (`wholetext`), as ordinals exist per file only; large inputs come as many files.
+    Files are split and read in parallel. A line's number is its place within its split plus the lines of the file's earlier
+    splits, which are counted first; four lines then make a record. Records that do not begin with '@' are left out.
     """
-    rows = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), F.split("value", "\r?\n").alias("l"))
-    n = F.floor(F.size("l") / 4)
-    at = rows.select("file", "l", F.explode(F.sequence(F.lit(0), n - 1)).alias("ordinal")).where("ordinal >= 0")
-    line = lambda k: F.get("l", (F.col("ordinal") * 4 + k).cast("int"))
-    return at.where(line(0).startswith("@")).select(
-        "file", "ordinal", F.regexp_extract(line(0), r"^@(\S+)", 1).alias("name"), F.nullif(F.regexp_extract(line(0), "BX:Z:([A-Za-z0-9-]+)", 1), F.lit("")).alias("tag"), plain(line(1)).alias("bases")
+    lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.input_file_block_start().alias("part"), F.monotonically_increasing_id().alias("id"), F.regexp_replace("value", "\r$", "").alias("line"))
+    parts = lines.groupBy("file", "part").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    at = lines.join(parts.select("file", "part", "first", before.alias("before")), ["file", "part"]).withColumn("no", F.col("before") + F.col("id") - F.col("first"))
+    pick = lambda k: F.max(F.when(F.col("no") % 4 == k, F.col("line")))
+    records = at.where("no % 4 < 2").groupBy("file", F.floor(F.col("no") / 4).alias("ordinal")).agg(pick(0).alias("head"), pick(1).alias("seq"))
+    return records.where("startswith(head, '@')").select(
+        "file", "ordinal", F.regexp_extract("head", r"^@(\S+)", 1).alias("name"), F.nullif(F.regexp_extract("head", "BX:Z:([A-Za-z0-9-]+)", 1), F.lit("")).alias("tag"), plain("seq").alias("bases")
     )
 
 
