@@ -23,10 +23,16 @@ def code(kmer: Column) -> Column:
     return F.conv(F.translate(kmer, "ACGT", "0123"), 4, 10).cast("bigint")
 
 
-def kmers(bases: Column, k: int = K) -> Column:
-    """All k-base words of a sequence, in order; an empty array if it is shorter."""
-    n = F.length(bases)
-    return F.when(n >= k, F.transform(F.sequence(F.lit(1), n - (k - 1)), lambda i: F.substring(bases, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+def kmers(bases: Column, k: int = K, block: int = 128) -> Column:
+    """All k-base words (k <= block) of a sequence, in order; an empty array if it is shorter.
+
+    A substring costs as much as its position, so that long sequences are first cut into blocks, in one pass.
+    """
+    parts = F.regexp_extract_all(bases, F.lit("(.{1,%d})" % block), F.lit(1))
+    after = F.concat(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), F.array(F.lit("")))
+    wide = F.zip_with(parts, after, lambda x, y: F.concat(x, F.coalesce(F.substring(y, 1, k - 1), F.lit(""))))
+    windows = lambda x: F.when(F.length(x) >= k, F.transform(F.sequence(F.lit(1), F.length(x) - (k - 1)), lambda i: F.substring(x, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    return F.when(F.length(bases) >= k, F.flatten(F.transform(wide, windows))).otherwise(F.array().cast("array<string>"))
 
 
 def canonical(kmer: Column) -> Column:

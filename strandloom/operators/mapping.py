@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions.seq import K, code, kmers, revcomp
 from strandloom.operators.skew import usable_postings
+from strandloom.sources.tables import fanned
 
 MAX_POSTINGS = 256
 
@@ -20,13 +21,13 @@ def capped_index(postings: DataFrame, most: int = MAX_POSTINGS) -> DataFrame:
 
 def contig_index(contigs: DataFrame, k: int = K) -> DataFrame:
     """The full index of contigs: `hash_key`, `contig_id`, `pos_offset` of every k-base word without N."""
-    at = contigs.select("contig_id", F.posexplode(kmers(F.col("bases"), k)).alias("pos_offset", "kmer")).where("NOT contains(kmer, 'N')")
+    at = fanned(contigs.select("contig_id", "bases"), "contig_id").select("contig_id", F.posexplode(kmers(F.col("bases"), k)).alias("pos_offset", "kmer")).where("NOT contains(kmer, 'N')")
     return at.select(code(F.col("kmer")).alias("hash_key"), "contig_id", "pos_offset")
 
 
 def read_words(read_set: DataFrame, k: int = K) -> DataFrame:
     """Words of both strands of every read: `hash_key`, `lib_no`, `pair_id`, `mate`, `strand` (1 or -1), `at`."""
-    both = read_set.select("lib_no", "pair_id", "mate", F.explode(F.array(F.struct(F.lit(1).alias("strand"), F.col("bases").alias("b")), F.struct(F.lit(-1).alias("strand"), revcomp(F.col("bases")).alias("b")))).alias("s"))
+    both = fanned(read_set, "pair_id", "mate").select("lib_no", "pair_id", "mate", F.explode(F.array(F.struct(F.lit(1).alias("strand"), F.col("bases").alias("b")), F.struct(F.lit(-1).alias("strand"), revcomp(F.col("bases")).alias("b")))).alias("s"))
     words = both.select("lib_no", "pair_id", "mate", "s.strand", F.posexplode(kmers(F.col("s.b"), k)).alias("at", "kmer")).where("kmer RLIKE '^[ACGT]+$'")
     return words.select(code(F.col("kmer")).alias("hash_key"), "lib_no", "pair_id", "mate", "strand", "at")
 

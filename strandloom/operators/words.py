@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions.seq import canonical, kmers, revcomp
+from strandloom.sources.tables import fanned
 
 MOST = 65534
 
 
 def word_counts(seqs: DataFrame, k: int = 21, least: int = 1) -> DataFrame:
     """Canonical k-base words (the lesser strand) without N and their occurrences, saturating at 65534, at least `least`."""
-    words = seqs.select(F.explode(kmers(F.col("bases"), k)).alias("w")).where("w RLIKE '^[ACGT]+$'")
+    words = fanned(seqs.select("bases")).select(F.explode(kmers(F.col("bases"), k)).alias("w")).where("w RLIKE '^[ACGT]+$'")
     return words.groupBy(canonical(F.col("w")).alias("kmer")).agg(F.least(F.count(F.lit(1)), F.lit(MOST)).cast("bigint").alias("n")).where(F.col("n") >= least)
 
 
@@ -80,7 +81,7 @@ def end_overlaps(contigs: DataFrame, k: int = 31) -> DataFrame:
     some contig's last word are looked at.
     """
     last = ends(contigs, k).select(F.col("contig_id").alias("a"), F.col("right").alias("w"))
-    starts = contigs.select(F.col("contig_id").alias("b"), F.posexplode(kmers(F.substring("bases", 1, 1000), k)).alias("at", "w"))
+    starts = fanned(contigs.select("contig_id", "bases"), "contig_id").select(F.col("contig_id").alias("b"), F.posexplode(kmers(F.substring("bases", 1, 1000), k)).alias("at", "w"))
     hits = last.join(starts, "w").where("a <> b").select("a", "b", (F.col("at") + k).alias("n"))
     text = contigs.select("contig_id", "bases")
     rows = hits.join(text.withColumnRenamed("contig_id", "a").withColumnRenamed("bases", "ta"), "a").join(text.withColumnRenamed("contig_id", "b").withColumnRenamed("bases", "tb"), "b")
@@ -94,7 +95,7 @@ def contained(contigs: DataFrame, k: int = 31) -> DataFrame:
     """
     first = ends(contigs, k).select("contig_id", F.col("left").alias("w"))
     text = contigs.select("contig_id", "bases").where("bases <> ''")
-    both = text.select("contig_id", F.explode(F.array("bases", revcomp(F.col("bases")))).alias("bases"))
+    both = fanned(text, "contig_id").select("contig_id", F.explode(F.array("bases", revcomp(F.col("bases")))).alias("bases"))
     words = both.select(F.col("contig_id").alias("host"), F.col("bases").alias("hb"), F.explode(F.array_distinct(kmers(F.col("bases"), k))).alias("w"))
     near = words.select("host", "w").distinct().join(first, "w").where("host <> contig_id").select("host", "contig_id").distinct()
     rows = near.join(text, "contig_id").join(both.select(F.col("contig_id").alias("host"), F.col("bases").alias("hb")), "host")
@@ -156,7 +157,7 @@ def gap_fillings(gaps: DataFrame, scaffolds: DataFrame, read_set: DataFrame, anc
     flank = gaps.where(f"left_flank >= {anchor} AND right_flank >= {anchor}").join(text, "scaffold_id").select(
         "scaffold_id", "gap_no", F.expr(f"substring(bases, cast(gap_start - {anchor} + 1 as int), {anchor})").alias("w"), F.expr(f"substring(bases, cast(gap_end + 1 as int), {anchor})").alias("right_anchor")
     )
-    both = read_set.select(F.explode(F.array("bases", revcomp(F.col("bases")))).alias("r"))
+    both = fanned(read_set.select("bases")).select(F.explode(F.array("bases", revcomp(F.col("bases")))).alias("r"))
     words = both.select("r", F.posexplode(kmers(F.col("r"), anchor)).alias("at", "w"))
     hits = flank.join(words, "w").withColumn("rest", F.expr(f"substring(r, at + {anchor} + 1)")).withColumn("p", F.instr("rest", F.col("right_anchor"))).where("p > 0")
     votes = hits.groupBy("scaffold_id", "gap_no", F.expr("substring(rest, 1, p - 1)").alias("filling")).agg(F.count(F.lit(1)).alias("n_reads")).where(F.col("n_reads") >= least)

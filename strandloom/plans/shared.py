@@ -4,16 +4,33 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@contextmanager
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Session settings (dots as two underscores) for eager work within the block; the former ones come back afterwards."""
+    keys = {k.replace("__", "."): v for k, v in values.items()}
+    was = {k: spark.conf.get(k, None) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in was.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: `spark.checkpoint.dir` of the session; a temporary one only where it is unset (tests)."""
+    """The folder all executors share: `spark.checkpoint.dir` of the session. Only a local session (tests) may leave it unset."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at is None:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = tempfile.mkdtemp(prefix="spark-shared-", dir=os.environ.get("TMPDIR", "/tmp"))
-        spark.conf.set("spark.checkpoint.dir", at)
     return at
 
 
@@ -26,10 +43,5 @@ def cut(df: DataFrame) -> DataFrame:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_dir(spark))
-    key = "spark.sql.constraintPropagation.enabled"
-    was = spark.conf.get(key)
-    spark.conf.set(key, "false")
-    try:
+    with settings(spark, spark__sql__constraintPropagation__enabled="false"):
         return df.checkpoint(eager=True)
-    finally:
-        spark.conf.set(key, was)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions.seq import revcomp
 from strandloom.operators import coverage, graph, layout, mapping, stats, words
+from strandloom.plans.shared import cut
 from strandloom.sources import assembly as src
 from strandloom.sources.tables import table
 
@@ -497,13 +498,13 @@ def word_left_minimum(spark, d):
 
 @query(f"WITH {BOTH}, ou AS (SELECT a AS kmer, count(*) AS n FROM l GROUP BY 1), nn AS (SELECT b AS kmer, count(*) AS n FROM l GROUP BY 1) SELECT kmer, k.n, coalesce(nn.n, 0) AS n_in, coalesce(ou.n, 0) AS n_out FROM k LEFT JOIN ou USING (kmer) LEFT JOIN nn USING (kmer) WHERE coalesce(nn.n, 0) <> 1 OR coalesce(ou.n, 0) <> 1")
 def word_junctions(spark, d):
-    k = words.word_counts(reads_of(spark, d))
-    return words.junctions(k, words.word_links(k))
+    k = cut(words.word_counts(reads_of(spark, d)))
+    return words.junctions(k, cut(words.word_links(k)))
 
 
 @query()
 def word_stretches(spark, d):
-    k = words.word_counts(reads_of(spark, d), least=2)
+    k = cut(words.word_counts(reads_of(spark, d), least=2))
     return words.stretches(k, words.straight_joins(words.word_links(k)))
 
 

@@ -18,3 +18,13 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def fanned(df: DataFrame, *keys: str) -> DataFrame:
+    """`df` on a fixed number of partitions by `keys`, for stages that make many rows of each row (words of sequences).
+
+    Adaptive execution would merge such small inputs into few partitions, before it can know what they grow to.
+    """
+    spark = df.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n, *keys)

@@ -140,6 +140,15 @@ def test_word_graph(spark):
     assert len(ends) == 2 and all(r.n_in + r.n_out == 1 for r in ends)
 
 
+def test_words_of_all_lengths(spark):
+    seqs = ["".join(random.Random(n).choices("ACGTN", k=n)) for n in (0, 1, 14, 15, 16, 127, 128, 129, 141, 142, 143, 256, 257, 1000)]
+    from strandloom.functions.seq import kmers
+
+    df = spark.createDataFrame([(s,) for s in seqs], "bases string")
+    for r in df.select("bases", kmers(F.col("bases"), 15).alias("w")).collect():
+        assert list(r.w) == [r.bases[i : i + 15] for i in range(len(r.bases) - 14)]
+
+
 def test_pile_up(spark):
     contig = "".join(random.Random(7).choices("ACGT", k=60))
     contigs = spark.createDataFrame([(1, contig, 60)], "contig_id long, bases string, len long")
