@@ -108,6 +108,8 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pad = np.full(AROUND, 4, np.uint64)
             v = np.concatenate([pad, codes(bases), pad])
             p, n = p + AROUND, len(v)
+            p = p[(p >= AROUND) & (p + WORD <= n - AROUND)]  # a contig may have been delivered with other bases too
+            p = p[clean(v, WORD)[p]] if len(p) else p
             bad = v == 4
             place = np.arange(n)
             before = np.maximum.accumulate(np.where(bad, place, -1))
@@ -174,7 +176,8 @@ def shared_spans(contigs: DataFrame) -> DataFrame:
     """Maximal runs of shared positions: `contig_id`, `span_start`, `span_end` (0-based, end exclusive).
 
     A position is shared if it lies in SPAN bases, free of N, that another `contig_id` also holds (same strand, case and
-    white space ignored). Redelivered rows of a contig count once. Null ids and null, empty or short sequences give no row.
+    white space ignored). Redelivered rows of a contig count once; where they differ, each stretch of the contig is read from
+    the row whose text there is highest. Null ids and null, empty or short sequences give no row.
     Contigs need `contig_id` and `seq`; other columns are not read.
     """
     found = anchors(contigs)

@@ -89,6 +89,14 @@ def test_spans_long_contigs_repeats_and_dirt(spark, monkeypatch, rare):
     assert spans.shared_spans(df.limit(0)).collect() == []
 
 
+def test_spans_of_contigs_with_other_bases(spark):
+    rnd = random.Random(4)
+    core = "".join(rnd.choices("ACGT", k=700))
+    rows = [(1, core), (1, core[:300] + "N" * 120), (1, "T" * 150), (2, core[100:400]), (3, "")]
+    got = [tuple(r) for r in spans.shared_spans(spark.createDataFrame([(c, None, s) for c, s in rows], SCHEMA)).collect()]
+    assert all(e - a >= 100 for _, a, e in got) and {c for c, _, _ in got} <= {1, 2}
+
+
 def test_pairs_whole_table(spark, contigs):
     got = [tuple(r) for r in registry.p4_found(spark, SF).collect()]
     assert len(got) == len(set(got)) and set(got) == brute_pairs(contigs) and got
