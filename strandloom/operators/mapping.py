@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions.seq import K, code, kmers, revcomp
-from strandloom.operators.skew import usable_postings
+from strandloom.operators.skew import pairs_within, usable_postings
 from strandloom.sources.tables import fanned
 
 MAX_POSTINGS = 256
@@ -87,18 +87,12 @@ def pair_links(pairs: DataFrame, contigs: DataFrame, libraries: DataFrame) -> Da
     )
 
 
-def common_tags(mapped: DataFrame, read_set: DataFrame, most: int = 254, max_contigs: int = 64) -> DataFrame:
-    """Shared barcode evidence of contig pairs: the sum over shared tags of the lesser read count (saturating at `most`).
-
-    A tag on more than `max_contigs` contigs says nothing about neighbourhood and is left out, which also bounds the pairs a
-    tag can give.
-    """
+def common_tags(mapped: DataFrame, read_set: DataFrame, most: int = 254) -> DataFrame:
+    """Shared barcode evidence of contig pairs: the sum over all shared tags of the lesser read count (saturating at `most`)."""
     tags = mapped.join(read_set.where("tag IS NOT NULL").select("lib_no", "pair_id", "mate", "tag"), ["lib_no", "pair_id", "mate"])
     per = tags.groupBy("tag", F.abs("signed_id").alias("contig_id")).agg(F.least(F.count(F.lit(1)), F.lit(most)).alias("n"))
-    few = per.groupBy("tag").agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c").between(2, max_contigs)).select("tag")
-    per = per.join(few, "tag", "left_semi")
-    a, b = per.select("tag", F.col("contig_id").alias("contig_a"), F.col("n").alias("na")), per.select("tag", F.col("contig_id").alias("contig_b"), F.col("n").alias("nb"))
-    return a.join(b, "tag").where("contig_a < contig_b").groupBy("contig_a", "contig_b").agg(F.sum(F.least("na", "nb")).alias("score"), F.count(F.lit(1)).alias("n_tags"))
+    pairs = pairs_within(per, "tag", "contig_id", "n")
+    return pairs.groupBy(F.col("x.contig_id").alias("contig_a"), F.col("y.contig_id").alias("contig_b")).agg(F.sum(F.least("x.n", "y.n")).alias("score"), F.count(F.lit(1)).alias("n_tags"))
 
 
 def long_read_filter(hits: DataFrame, min_identity: float = 0.8, min_len: int = 1000, min_share: float = 0.8) -> DataFrame:

@@ -96,3 +96,17 @@ def hot_keys(postings: DataFrame, share: float = 0.01) -> DataFrame:
     return report.where(F.col("n_postings") >= F.lit(share) * total).select(
         "hash_key", F.col("first_contig").alias("contig_id"), F.col("first_pos").alias("pos_offset")
     )
+
+
+def pairs_within(rows: DataFrame, key: str, item: str, *values: str, block: int = 64) -> DataFrame:
+    """Every pair of the items of a key once: `key` and the structs `x`, `y` (`item`, `values`; `x` has the lower item).
+
+    `rows` has an item once per key. A key's items are dealt by hash into blocks of about `block`, and each two blocks are a
+    join key of their own, so that a key with many items is spread over many tasks. No key is left out.
+    """
+    sizes = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).alias("_blocks"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    dealt = rows.join(sizes, key).select(key, F.struct(item, *values).alias("_s"), "_blocks", F.pmod(F.xxhash64(item), F.col("_blocks")).alias("_b"))
+    x = dealt.select(key, F.col("_s").alias("_x"), F.col("_b").alias("_i"), F.explode(F.sequence("_b", F.col("_blocks") - 1)).alias("_j"))
+    y = dealt.select(key, F.col("_s").alias("_y"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_b"))).alias("_i"), F.col("_b").alias("_j"))
+    both = x.join(y, [key, "_i", "_j"]).where((F.col("_i") < F.col("_j")) | (F.col(f"_x.{item}") < F.col(f"_y.{item}")))
+    return both.select(key, F.least("_x", "_y").alias("x"), F.greatest("_x", "_y").alias("y"))
