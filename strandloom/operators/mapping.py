@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.functions.seq import K, code, kmers, revcomp
@@ -129,18 +129,26 @@ def keep_best_hits(hits: DataFrame, tolerance: int = 32) -> DataFrame:
 
 
 def long_links(best: DataFrame, contigs: DataFrame) -> DataFrame:
-    """Links between contigs that follow each other on a long read: canonical signed ids and the gap.
+    """Links between all contigs of a long read that do not contain each other: canonical signed ids and the gap.
 
-    The gap is the distance of the projected contig ends on the read. `best` is joined to contigs by name.
+    `best` is joined to contigs by name; of several hits of a read on one signed contig the one of most matches gives its
+    place. The contig ends are projected onto the read; the gap is the distance from the right end of the contig that begins
+    first to the left end of the other, negative if they overlap. One that begins first and ends last contains the other.
     """
     ids = contigs.where("name IS NOT NULL").groupBy("name").agg(F.min("contig_id").alias("contig_id"))
+    turned = F.col("strand") == "-"
+    right_rest = F.when(turned, F.col("t_start")).otherwise(F.col("t_len") - F.col("t_end"))
+    left_rest = F.when(turned, F.col("t_len") - F.col("t_end")).otherwise(F.col("t_start"))
     rows = best.join(ids, best["t_name"] == ids["name"]).select(
-        "q_name", "q_start", "q_end", F.when(F.col("strand") == "-", -F.col("contig_id")).otherwise(F.col("contig_id")).alias("sid"),
-        F.when(F.col("strand") == "-", F.col("t_start")).otherwise(F.col("t_len") - F.col("t_end")).alias("right_rest"),
-        F.when(F.col("strand") == "-", F.col("t_len") - F.col("t_end")).otherwise(F.col("t_start")).alias("left_rest"),
+        "q_name", F.when(turned, -F.col("contig_id")).otherwise(F.col("contig_id")).alias("sid"),
+        F.struct("match_len", (F.col("q_end") - F.col("q_start")).alias("span"), (-F.col("q_start")).alias("at"), (F.col("q_start") - left_rest).alias("lo"), (F.col("q_end") + right_rest).alias("hi")).alias("hit"),
     )
-    w = Window.partitionBy("q_name").orderBy("q_start", "q_end", "sid")
-    nxt = rows.select("q_name", F.col("sid").alias("a"), F.lead("sid").over(w).alias("b"), (F.lead(F.col("q_start") - F.col("left_rest")).over(w) - (F.col("q_end") + F.col("right_rest"))).alias("gap"))
-    nxt = nxt.where("b IS NOT NULL AND abs(a) <> abs(b)")
+    one = rows.groupBy("q_name", "sid").agg(F.max("hit").alias("hit")).select("q_name", "sid", "hit.lo", "hit.hi")
+    pairs = pairs_within(one, "q_name", "sid", "lo", "hi").where("abs(x.sid) <> abs(y.sid)")
+    ahead = F.col("x.lo") <= F.col("y.lo")
+    pairs = pairs.where(F.when(ahead, F.col("x.hi") <= F.col("y.hi")).otherwise(F.col("y.hi") <= F.col("x.hi")))
+    gap = F.when(ahead, F.col("y.lo") - F.col("x.hi")).otherwise(F.col("x.lo") - F.col("y.hi"))
+    before = F.col("x.hi") < F.col("y.hi")
+    nxt = pairs.select("q_name", F.when(before, F.col("x.sid")).otherwise(F.col("y.sid")).alias("a"), F.when(before, F.col("y.sid")).otherwise(F.col("x.sid")).alias("b"), gap.alias("gap"))
     swap = F.abs("a") > F.abs("b")
     return nxt.select("q_name", F.when(swap, -F.col("b")).otherwise(F.col("a")).alias("id1"), F.when(swap, -F.col("a")).otherwise(F.col("b")).alias("id2"), "gap")

@@ -61,7 +61,7 @@ def pairs_of(spark, d):
 
 
 def long_links_of(spark, d):
-    return mapping.long_links(hits_of(spark, d), contigs_of(spark, d))
+    return mapping.long_links(mapping.keep_best_hits(mapping.long_read_filter(hits_of(spark, d))), contigs_of(spark, d))
 
 
 def edges_of(spark, d):

@@ -4,6 +4,7 @@ import collections
 import itertools
 import random
 
+from strandloom import queries_assembly
 from strandloom.operators import mapping, skew
 
 
@@ -33,3 +34,41 @@ def test_tags_on_many_contigs_count(spark):
     assert len(per[5]) > 64
     got = mapping.common_tags(mapped, spark.createDataFrame(reads, "lib_no int, pair_id long, mate int, bases string, tag int")).collect()
     assert {(r.contig_a, r.contig_b): [r.score, r.n_tags] for r in got} == dict(want)
+
+
+PAF = "q_name string, q_len long, q_start long, q_end long, strand string, t_name string, t_len long, t_start long, t_end long, match_len long, aln_len long, mapq int, cg string"
+
+
+def test_long_reads_link_all_their_contigs(spark, tmp_path):
+    hit = lambda q, a, b, t, n, lo, hi, strand="+", match=None: (q, 9000, a, b, strand, t, n, lo, hi, b - a if match is None else match, b - a, 60, None)
+    rows = [
+        hit("r", 0, 2000, "a", 2000, 0, 2000), hit("r", 2100, 4100, "b", 2000, 0, 2000, "-"), hit("r", 4300, 6300, "c", 2000, 0, 2000),
+        hit("r", 2200, 3800, "d", 1600, 0, 1600, match=1500),  # lies over b, which has more matches
+        hit("r", 6400, 7900, "e", 1500, 0, 1500, match=900),  # identity of 0.6
+        hit("s", 100, 1200, "a", 9000, 3000, 4100), hit("s", 1300, 2400, "c", 1100, 0, 1100),  # c lies within the projected a
+        hit("t", 0, 1500, "a", 2000, 0, 1500, match=1400), hit("t", 1500, 2600, "a", 2000, 900, 2000), hit("t", 3000, 5000, "c", 2000, 0, 2000),  # a's first hit is better
+    ]
+    spark.createDataFrame(rows, PAF).write.parquet(str(tmp_path / "paf_hits.parquet"))
+    names = [(i + 1, n, "ACGT", None) for i, n in enumerate("cbade")]
+    spark.createDataFrame(names, "contig_id long, name string, seq string, cov int").write.parquet(str(tmp_path / "contigs.parquet"))
+    got = sorted(map(tuple, queries_assembly.long_links_of(spark, str(tmp_path)).collect()))
+    assert got == [("r", -1, -3, 2300), ("r", -1, 2, 200), ("r", 2, -3, 100), ("t", -1, -3, 1000)]
+
+
+def test_long_links_of_crowded_reads(spark):
+    rnd = random.Random(12)
+    hits = {}
+    for i in range(1, 151):
+        a = rnd.randrange(4000)
+        hits[i * rnd.choice([1, -1])] = (a, a + rnd.randrange(30, 900))
+    rows = [("q", a, b, "-" if s < 0 else "+", f"n{abs(s)}", b - a, 0, b - a, b - a) for s, (a, b) in hits.items()]
+    want = set()
+    for s, t in itertools.combinations(sorted(hits), 2):
+        (a, b), (c, d) = hits[s], hits[t]
+        if (b <= d) if a <= c else (d <= b):
+            x, y = (s, t) if b < d else (t, s)
+            want.add((*((x, y) if abs(x) < abs(y) else (-y, -x)), c - b if a <= c else a - d))
+    df = spark.createDataFrame(rows, "q_name string, q_start long, q_end long, strand string, t_name string, t_len long, t_start long, t_end long, match_len long")
+    contigs = spark.createDataFrame([(i, f"n{i}") for i in range(1, 151)], "contig_id long, name string")
+    got = mapping.long_links(df, contigs).select("id1", "id2", "gap").collect()
+    assert len(got) == len(want) and set(map(tuple, got)) == want
