@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions.seq import canonical, kmers, revcomp
+from strandloom.operators.skew import pairs_within
 from strandloom.sources.tables import fanned
 
 MOST = 65534
@@ -165,17 +166,12 @@ def gap_fillings(gaps: DataFrame, scaffolds: DataFrame, read_set: DataFrame, anc
     return votes.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
-def shared_reads(best: DataFrame, contigs: DataFrame, max_contigs: int = 64) -> DataFrame:
-    """Long reads that two contigs share: `a` < `b`, `n`, for `cross_support` and partners.
-
-    A read that hits more than `max_contigs` contigs is left out, which bounds the pairs a read can give.
-    """
+def shared_reads(best: DataFrame, contigs: DataFrame) -> DataFrame:
+    """Long reads that two contigs share: `a` < `b`, `n`, for `cross_support` and partners. Every read counts, however many contigs it hits."""
     ids = contigs.where("name IS NOT NULL").groupBy("name").agg(F.min("contig_id").alias("contig_id"))
     on = best.join(ids, best["t_name"] == ids["name"]).select("q_name", "contig_id").distinct()
-    few = on.groupBy("q_name").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n").between(2, max_contigs)).select("q_name")
-    on = on.join(few, "q_name", "left_semi")
-    x, y = on.select("q_name", F.col("contig_id").alias("a")), on.select("q_name", F.col("contig_id").alias("b"))
-    return x.join(y, "q_name").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    pairs = pairs_within(on, "q_name", "contig_id")
+    return pairs.groupBy(F.col("x.contig_id").alias("a"), F.col("y.contig_id").alias("b")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def mutual_best(evidence: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ import itertools
 import random
 
 from strandloom import queries_assembly
-from strandloom.operators import mapping, skew
+from strandloom.operators import mapping, skew, words
 
 
 def test_pairs_within_blocks(spark):
@@ -72,3 +72,11 @@ def test_long_links_of_crowded_reads(spark):
     contigs = spark.createDataFrame([(i, f"n{i}") for i in range(1, 151)], "contig_id long, name string")
     got = mapping.long_links(df, contigs).select("id1", "id2", "gap").collect()
     assert len(got) == len(want) and set(map(tuple, got)) == want
+
+
+def test_reads_on_many_contigs_are_shared(spark):
+    on = {"big": range(1, 101), "small": [5, 3, 9], "one": [7]}
+    df = spark.createDataFrame([(q, f"n{c}") for q, cs in on.items() for c in cs for _ in range(2)], "q_name string, t_name string")
+    contigs = spark.createDataFrame([(i, f"n{i}") for i in range(1, 101)], "contig_id long, name string")
+    want = collections.Counter(p for cs in on.values() for p in itertools.combinations(sorted(cs), 2))
+    assert {(r.a, r.b): r.n for r in words.shared_reads(df, contigs).collect()} == dict(want)
