@@ -76,17 +76,25 @@ def end_partners(contigs: DataFrame, k: int = 31, both: bool = True) -> DataFram
 
 
 def end_overlaps(contigs: DataFrame, k: int = 31) -> DataFrame:
-    """Exact overlaps in which the end of `a` is the beginning of `b` (same strand): the longest one of each pair, at least k bases.
+    """Exact overlaps in which the end of `a` is the beginning of `b`: the longest one of each pair, at least k bases.
 
-    Candidates come from an equi join of the last words with all words of the contigs' first 1,000 bases; only words that are
-    some contig's last word are looked at.
+    Ids are signed (negative: the reverse complement). An overlap of a, b is one of -b, -a too; of two strands it is given with
+    |a| < |b|, of one strand with both ids positive. The last k bases of `a` must be clean. Candidates come from an equi join
+    of hashes of the end words with those of all words of the contigs, of any length; the text decides.
     """
-    last = ends(contigs, k).select(F.col("contig_id").alias("a"), F.col("right").alias("w"))
-    starts = fanned(contigs.select("contig_id", "bases"), "contig_id").select(F.col("contig_id").alias("b"), F.posexplode(kmers(F.substring("bases", 1, 1000), k)).alias("at", "w"))
-    hits = last.join(starts, "w").where("a <> b").select("a", "b", (F.col("at") + k).alias("n"))
+    left, right = F.substring("bases", 1, k), F.expr(f"right(bases, {k})")
+    # The end word of a in b; that of -a in b; that of a in -b, which stands turned in b.
+    seeds = F.array(*(F.struct(F.lit(x).alias("sa"), F.lit(y).alias("sb"), w.alias("w")) for x, y, w in ((1, 1, right), (-1, 1, revcomp(left)), (1, -1, revcomp(right)))))
+    last = contigs.where(F.length("bases") >= k).select(F.col("contig_id").alias("a"), F.length("bases").alias("la"), F.explode(seeds).alias("s")).where("NOT contains(s.w, 'N')")
+    last = last.select("a", "la", "s.sa", "s.sb", F.xxhash64("s.w").alias("h"))
     text = contigs.select("contig_id", "bases")
-    rows = hits.join(text.withColumnRenamed("contig_id", "a").withColumnRenamed("bases", "ta"), "a").join(text.withColumnRenamed("contig_id", "b").withColumnRenamed("bases", "tb"), "b")
-    return rows.where("right(ta, n) = substring(tb, 1, n)").groupBy("a", "b").agg(F.max("n").cast("bigint").alias("overlap"))
+    every = fanned(text, "contig_id").select(F.col("contig_id").alias("b"), F.length("bases").alias("lb"), F.posexplode(kmers(F.col("bases"), k)).alias("at", "w")).select("b", "lb", "at", F.xxhash64("w").alias("h"))
+    n = F.when(F.col("sb") > 0, F.col("at") + k).otherwise(F.col("lb") - F.col("at"))
+    hits = last.join(every, "h").where("a < b OR (a > b AND sa = sb)").select("a", "b", "sa", "sb", "la", n.alias("n")).where("n <= la")
+    turned = lambda s, t: F.when(F.col(s) > 0, F.col(t)).otherwise(revcomp(F.col(t)))
+    rows = hits.join(text.select(F.col("contig_id").alias("a"), F.col("bases").alias("ta")), "a").join(text.select(F.col("contig_id").alias("b"), F.col("bases").alias("tb")), "b")
+    rows = rows.withColumn("ta", turned("sa", "ta")).withColumn("tb", turned("sb", "tb")).where("right(ta, n) = substring(tb, 1, n)")
+    return rows.groupBy((F.col("a") * F.col("sa")).alias("a"), (F.col("b") * F.col("sb")).alias("b")).agg(F.max("n").cast("bigint").alias("overlap"))
 
 
 def contained(contigs: DataFrame, k: int = 31) -> DataFrame:

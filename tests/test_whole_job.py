@@ -80,3 +80,25 @@ def test_reads_on_many_contigs_are_shared(spark):
     contigs = spark.createDataFrame([(i, f"n{i}") for i in range(1, 101)], "contig_id long, name string")
     want = collections.Counter(p for cs in on.values() for p in itertools.combinations(sorted(cs), 2))
     assert {(r.a, r.b): r.n for r in words.shared_reads(df, contigs).collect()} == dict(want)
+
+
+def turn(s):
+    return s.translate(str.maketrans("ACGT", "TGCA"))[::-1]
+
+
+def test_long_and_turned_overlaps(spark):
+    rnd = random.Random(13)
+    g = "".join(rnd.choices("ACGT", k=6000))
+    seqs = {1: g[:3000], 2: g[1200:4200], 3: turn(g[3900:5000]), 4: turn(g[:1500]), 5: "NN" + g[4950:6000], 6: g[5960:] + "N", 7: "ACG", 8: "N" * 50}
+    seqs |= {9: turn(g[2900:3100]) + turn(g[:60]), 10: "AC" * 40, 11: "CA" * 30}
+    k, want = 31, {}
+    signed = {s * c: b if s > 0 else turn(b) for c, b in seqs.items() for s in (1, -1)}
+    for a, b in itertools.permutations(signed, 2):
+        if abs(a) == abs(b) or max(a, b) < 0 or (a * b < 0 and abs(a) > abs(b)) or "N" in signed[a][-k:]:
+            continue
+        ns = [n for n in range(k, min(len(signed[a]), len(signed[b])) + 1) if signed[a][-n:] == signed[b][:n]]
+        if ns:
+            want[a, b] = max(ns)
+    assert want[1, 2] == 1800 and want[2, -3] == 300
+    got = words.end_overlaps(spark.createDataFrame(list(seqs.items()), "contig_id long, bases string")).collect()
+    assert {(r.a, r.b): r.overlap for r in got} == want and len(got) == len(want)
