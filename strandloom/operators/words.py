@@ -112,16 +112,15 @@ def contained(contigs: DataFrame, k: int = 31) -> DataFrame:
     return rows.where(longer & F.expr("contains(hb, bases)")).groupBy("contig_id").agg(F.min("host").alias("within"))
 
 
-def allele_similarity(partners: DataFrame, contigs: DataFrame, most: float = 0.1, longest: int = 2000) -> DataFrame:
-    """Partners (of at most `longest` bases) with their edit distance, whether it is at most `most` of the longer, and the one to keep.
+def allele_similarity(partners: DataFrame, contigs: DataFrame, most: float = 0.1) -> DataFrame:
+    """Partners of any length with their edit distance, whether it is at most `most` of the longer, and the one to keep.
 
     Kept is the one of higher coverage, of equal ones the lower id.
     """
     c = contigs.select("contig_id", "bases", "cov")
     rows = partners.join(c.select(F.col("contig_id").alias("a"), F.col("bases").alias("ta"), F.col("cov").alias("ca")), "a").join(c.select(F.col("contig_id").alias("b"), F.col("bases").alias("tb"), F.col("cov").alias("cb")), "b")
-    rows = rows.where((F.length("ta") <= longest) & (F.length("tb") <= longest))
     d = F.levenshtein("ta", "tb")
-    return rows.select("a", "b", d.cast("bigint").alias("distance"), (d <= most * F.greatest(F.length("ta"), F.length("tb"))).alias("collapses"), F.when(F.col("ca") >= F.col("cb"), F.col("a")).otherwise(F.col("b")).alias("kept"))
+    return fanned(rows, "a", "b").select("a", "b", d.cast("bigint").alias("distance"), (d <= most * F.greatest(F.length("ta"), F.length("tb"))).alias("collapses"), F.when(F.col("ca") >= F.col("cb"), F.col("a")).otherwise(F.col("b")).alias("kept"))
 
 
 def pile_up(mapped: DataFrame, read_set: DataFrame, contigs: DataFrame, min_identity: float = 0.9) -> DataFrame:

@@ -102,3 +102,22 @@ def test_long_and_turned_overlaps(spark):
     assert want[1, 2] == 1800 and want[2, -3] == 300
     got = words.end_overlaps(spark.createDataFrame(list(seqs.items()), "contig_id long, bases string")).collect()
     assert {(r.a, r.b): r.overlap for r in got} == want and len(got) == len(want)
+
+
+def test_long_alleles_are_compared(spark):
+    rnd = random.Random(14)
+    g = "".join(rnd.choices("ACGT", k=2600))
+    texts = {1: g, 2: g[:900] + g[910:2000] + "T" + g[2000:], 3: g[:31], 4: g[:50]}
+    contigs = spark.createDataFrame([(c, t, 5 + c) for c, t in texts.items()], "contig_id long, bases string, cov int")
+
+    def distance(x, y):
+        row = list(range(len(y) + 1))
+        for i, p in enumerate(x, 1):
+            before, row[0] = row[0], i
+            for j, q in enumerate(y, 1):
+                before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (p != q))
+        return row[-1]
+
+    pairs = [(1, 2), (1, 3), (3, 4)]
+    want = {(a, b, d := distance(texts[a], texts[b]), d <= 0.1 * max(len(texts[a]), len(texts[b])), b) for a, b in pairs}
+    assert {tuple(r) for r in words.allele_similarity(spark.createDataFrame(pairs, "a long, b long"), contigs).collect()} == want
