@@ -60,18 +60,19 @@ def stretches(counts: DataFrame, joins: DataFrame) -> DataFrame:
 
 
 def ends(contigs: DataFrame, k: int = 31) -> DataFrame:
-    """First and last word of every contig of at least k bases whose ends are clean."""
-    rows = contigs.where(F.length("bases") >= k).select("contig_id", F.substring("bases", 1, k).alias("left"), F.expr(f"right(bases, {k})").alias("right"))
-    return rows.where("NOT contains(left, 'N') AND NOT contains(right, 'N')")
+    """First and last word of every contig of at least k bases; null where it holds an N."""
+    clean = lambda w: F.when(~F.contains(w, F.lit("N")), w)
+    return contigs.where(F.length("bases") >= k).select("contig_id", clean(F.substring("bases", 1, k)).alias("left"), clean(F.expr(f"right(bases, {k})")).alias("right"))
 
 
 def end_partners(contigs: DataFrame, k: int = 31, both: bool = True) -> DataFrame:
     """Alleles by equal ends: exactly two contigs share a key of the left and right word (or, not `both`, the left one).
 
-    `a` < `b`; keys of one or of more contigs give nothing, so no key gives more than one pair.
+    `a` < `b`; keys of one or of more contigs give nothing, so no key gives more than one pair. Only words of the key must be clean.
     """
-    key = F.concat_ws("-", "left", "right") if both else F.col("left")
-    rows = ends(contigs, k).groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("_n"), F.min("contig_id").alias("a"), F.max("contig_id").alias("b"))
+    key = F.concat("left", F.lit("-"), "right") if both else F.col("left")
+    rows = ends(contigs, k).select("contig_id", key.alias("key")).where("key IS NOT NULL")
+    rows = rows.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.min("contig_id").alias("a"), F.max("contig_id").alias("b"))
     return rows.where("_n = 2").select("a", "b")
 
 
@@ -100,9 +101,10 @@ def end_overlaps(contigs: DataFrame, k: int = 31) -> DataFrame:
 def contained(contigs: DataFrame, k: int = 31) -> DataFrame:
     """Contigs that lie within a longer one, or equal one of a lower id, on either strand: `contig_id`, `within` (lowest such).
 
-    Candidates share the first word of the shorter; the text decides.
+    Candidates share the first clean word of the shorter (of at least k bases), or its first word if none is clean; the text decides.
     """
-    first = ends(contigs, k).select("contig_id", F.col("left").alias("w"))
+    clean = F.regexp_extract("bases", "[^N]{%d}" % k, 0)
+    first = contigs.where(F.length("bases") >= k).select("contig_id", F.when(clean != "", clean).otherwise(F.substring("bases", 1, k)).alias("w"))
     text = contigs.select("contig_id", "bases").where("bases <> ''")
     both = fanned(text, "contig_id").select("contig_id", F.explode(F.array("bases", revcomp(F.col("bases")))).alias("bases"))
     words = both.select(F.col("contig_id").alias("host"), F.col("bases").alias("hb"), F.explode(F.array_distinct(kmers(F.col("bases"), k))).alias("w"))

@@ -121,3 +121,21 @@ def test_long_alleles_are_compared(spark):
     pairs = [(1, 2), (1, 3), (3, 4)]
     want = {(a, b, d := distance(texts[a], texts[b]), d <= 0.1 * max(len(texts[a]), len(texts[b])), b) for a, b in pairs}
     assert {tuple(r) for r in words.allele_similarity(spark.createDataFrame(pairs, "a long, b long"), contigs).collect()} == want
+
+
+def test_an_n_at_the_other_end_does_no_harm(spark):
+    rnd = random.Random(15)
+    g = "".join(rnd.choices("ACGT", k=400))
+    dirty = "".join("N" if i % 20 == 9 else c for i, c in enumerate(g))
+    seqs = {1: g, 2: g[:80] + "N", 3: "NN" + g[5:], 4: "N" + g[50:90], 5: g[50:100] + "N", 6: g[20:30] + "N" + g[31:60], 7: "A" + g[300:] + "N" + g[50:100] + "N" + g[:31], 8: dirty, 9: turn(dirty[30:90])}
+    df = spark.createDataFrame([*seqs.items(), (10, "N" + g[50:90] + "A"), (11, turn("T" + g[20:30] + "N" + g[31:60]))], "contig_id long, bases string")
+    seqs = {r.contig_id: r.bases for r in df.collect()}
+    want = {}
+    for c, s in seqs.items():
+        hosts = [h for h, t in seqs.items() if h != c and (len(t) > len(s) or (len(t) == len(s) and h < c)) and (s in t or s in turn(t))]
+        if hosts:
+            want[c] = min(hosts)
+    assert want[4] == 7 and want[5] == 7 and want[6] == 11 and want[9] == 8
+    assert {r.contig_id: r.within for r in words.contained(df).collect()} == want
+    assert [tuple(r) for r in words.end_partners(df, both=False).collect()] == [(1, 2)]
+    assert words.end_partners(df).collect() == []
