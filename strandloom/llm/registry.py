@@ -17,7 +17,7 @@ def p1_fragments(spark, sf_dir):
 
 
 def p1_bisected(spark, sf_dir):
-    return splitting.split(spread(table(spark, sf_dir, "scaffolds")), rule="bisect")
+    return splitting.split(spread(table(spark, sf_dir, "scaffolds")), rule="free")
 
 
 def p2_key_frequency(spark, sf_dir):
@@ -79,7 +79,14 @@ QUERIES = {f.__name__: f for f in (p1_found, p1_fragments, p1_bisected, p2_found
 _USABLE = "(SELECT contig_id, pos_offset, min(hash_key) AS hash_key FROM kmer_index WHERE hash_key >= 0 AND contig_id <> 0 AND pos_offset IS NOT NULL GROUP BY 1, 2)"
 _FREQUENCY = f"""SELECT hash_key, count(*) AS n_postings, count(DISTINCT contig_id) AS n_contigs,
     CASE WHEN count(*) > 256 THEN 'common' WHEN count(DISTINCT contig_id) = 1 THEN 'rare' END AS mark FROM {_USABLE} GROUP BY 1"""
+_PIECES = """WITH RECURSIVE s AS (SELECT scaffold_id, max(upper(regexp_replace(seq, '\\s', '', 'g'))) AS b FROM scaffolds WHERE seq IS NOT NULL GROUP BY 1), t AS (SELECT scaffold_id, length(b) AS n, regexp_extract_all(b, 'N+|[^N]+') AS ts FROM s WHERE length(b) > 4000),
+    u AS (SELECT scaffold_id, n, unnest(ts) AS x, generate_subscripts(ts, 1) AS i FROM t), v AS (SELECT *, sum(length(x)) OVER (PARTITION BY scaffold_id ORDER BY i) AS e FROM u),
+    m AS (SELECT scaffold_id, n, coalesce(list(e - length(x) + length(x) // 2) FILTER (WHERE x[1] = 'N' AND length(x) >= 10), []) AS mids FROM v GROUP BY 1, 2),
+    w AS (SELECT scaffold_id, n, mids, 1 AS piece_no, CAST(0 AS BIGINT) AS a, CAST(coalesce(list_max(list_filter(mids, lambda y: y > 150 AND y <= 4000)), 4000) AS BIGINT) AS b FROM m
+        UNION ALL SELECT scaffold_id, n, mids, piece_no + 1, b - 150, CAST(CASE WHEN n - (b - 150) <= 4000 THEN n ELSE coalesce(list_max(list_filter(mids, lambda y: y > b AND y <= b + 3850)), b + 3850) END AS BIGINT) FROM w WHERE b < n)
+    SELECT scaffold_id, CAST(piece_no AS INT) AS piece_no, a AS piece_start, b AS piece_end FROM w"""
 ORACLE = {
+    "p1_found": _PIECES,
     "p2_key_frequency": _FREQUENCY,
     "p2_found": f"SELECT hash_key, mark FROM ({_FREQUENCY}) WHERE mark IS NOT NULL",
     "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",

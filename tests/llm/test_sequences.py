@@ -5,6 +5,8 @@ import random
 import re
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from strandloom.llm import bases, frequency, near, registry, spans, splitting
@@ -134,6 +136,16 @@ def brute_cuts(seq):
     return [*out, (start, len(seq))]
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from("AN"), st.one_of(st.integers(1, 30), st.integers(100, 9000))), max_size=40))
+def test_bisection_gives_the_fixed_pieces(runs):
+    seq = "".join(c * n for c, n in runs)
+    got = splitting.pieces_of(len(seq), splitting.gaps(seq, 10), "fixed", 4000, 150)
+    assert got == brute_cuts(seq)
+    free = splitting.pieces_of(len(seq), splitting.gaps(seq, 10), "free", 4000, 150)
+    assert all(b - a <= 4000 for a, b in free) and free[0][0] == 0 and free[-1][1] == len(seq)
+
+
 def test_split_whole_table(spark):
     seqs = {r[0]: plain(r[1]) for r in table(spark, SF, "scaffolds").select("scaffold_id", "seq").collect() if r[1]}
     want = {(s, k, a, b) for s, q in seqs.items() if len(q) > 4000 for k, (a, b) in enumerate(brute_cuts(q), 1)}
@@ -148,7 +160,7 @@ def test_split_cases(spark):
         (4, "y", None), (5, "y", ""), (6, " >z\tq", (gap + "A" * 20) * 400), (7, "g", "N" * 9000), (8, "m", ("AC\r\n" * 9 + gap) * 300), (None, "q", "A" * 4001),
     ]
     df = spark.createDataFrame(rows, "scaffold_id long, name string, seq string").withColumn("piece", F.lit("clash")).withColumn("total", F.lit(0))
-    for rule in ("forward", "bisect"):
+    for rule in ("fixed", "free"):
         got = splitting.split(df, rule, text=True).where("scaffold_id IS NOT NULL").collect()
         by = {}
         for r in got:
@@ -161,7 +173,7 @@ def test_split_cases(spark):
             assert all(r.piece_end - r.piece_start <= 4000 and r.seq == seq[r.piece_start : r.piece_end] for r in pieces)
             assert pieces[0].piece_start == 0 and pieces[-1].piece_end == len(seq)
             assert all(b.piece_start == a.piece_end - 150 for a, b in zip(pieces, pieces[1:]))
-            if rule == "forward":
+            if rule == "fixed":
                 assert [(r.piece_start, r.piece_end) for r in pieces] == brute_cuts(seq)
     assert {r.name for r in got if r.scaffold_id == 6 and r.piece_no == 2} == {"z:::fragment_2"}
     assert splitting.split(df.limit(0)).collect() == []
