@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,6 +35,31 @@ def suffixes(records: DataFrame, record: str, terms: str, sigma: int) -> DataFra
     return at.where("t1 IS NOT NULL").select("record", *cols)
 
 
+#: Positions of a record are handled in stretches of so many, so that no task orders a whole long record.
+STRETCH = 1 << 20
+
+
+def row_suffixes(rows: DataFrame, record: str, position: str, term: str, sigma: int) -> DataFrame:
+    """The same rows as of `suffixes`, from one row per term: the terms of a record in the order of `position`.
+
+    Positions are unique within a record; rows with a null in one of the three columns are left out. Terms follow each other
+    within stretches of positions; the last ones of a stretch look up the first terms of the stretches behind it.
+    """
+    at = rows.where(f"`{record}` IS NOT NULL AND `{position}` IS NOT NULL AND `{term}` IS NOT NULL").select(F.col(record).alias("record"), F.col(position).alias("_p"), F.col(term).alias("t1"))
+    w = Window.partitionBy("record", "_s").orderBy("_p")
+    at = at.withColumn("_s", F.floor(F.col("_p") / STRETCH))
+    if sigma == 1:
+        return at.select("t1", "record")
+    at = at.withColumn("_i", F.row_number().over(w))
+    heads = at.where(F.col("_i") < sigma).groupBy("record", "_s").agg(F.transform(F.sort_array(F.collect_list(F.struct("_p", "t1"))), lambda x: x["t1"]).alias("_h"))
+    counts = at.groupBy("record", "_s").agg(F.count(F.lit(1)).alias("_n"))
+    behind = Window.partitionBy("record").orderBy("_s").rowsBetween(1, sigma - 1)
+    after = heads.select("record", "_s", F.flatten(F.collect_list("_h").over(behind)).alias("_a")).join(counts, ["record", "_s"])
+    out = at.withColumns({f"t{k + 1}": F.lead("t1", k).over(w) for k in range(1, sigma)}).join(after, ["record", "_s"])
+    pick = lambda k: F.coalesce(f"t{k + 1}", F.get("_a", (F.lit(k - 1) - (F.col("_n") - F.col("_i"))).cast("int"))).alias(f"t{k + 1}")
+    return out.select("t1", *(pick(k) for k in range(1, sigma)), "record")
+
+
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[tuple], list[int]]]:
     """Per batch its runs of equal rows and their lengths."""
     for b in batches:
@@ -120,3 +145,10 @@ def key_frequency(postings: DataFrame, max_postings: int = 256) -> DataFrame:
         F.col("t1").alias("hash_key"), F.col("n").alias("n_postings"), F.col("n_records").alias("n_contigs"),
         F.when(F.col("n") > max_postings, "common").when(F.col("n_records") == 1, "rare").alias("mark"),
     )
+
+
+def key_ngrams(postings: DataFrame, sigma: int = 2) -> DataFrame:
+    """Occurrences and contigs of every run of up to `sigma` keys that follow each other on a contig, by offset."""
+    from strandloom.operators.skew import usable_postings
+
+    return count_ngrams(row_suffixes(usable_postings(postings), "contig_id", "pos_offset", "hash_key", sigma), sigma)

@@ -1,16 +1,16 @@
 """Problem 7: mixing sources to target weights.
 
-The tokens of each source are packed, in a pseudorandom order of its documents, into blocks of a fixed length. A mixture of N
-blocks is planned by drawing, shard by shard, multinomial counts of the sources from what is left of their quotas, so that
-shards are random and the totals exact. The k-th slot of a source is mapped through a pseudorandom permutation of its block
-numbers (a new one for every round of repeats), and slots join blocks by number: each block at most `max_repeat` times.
-
-Only figures per source and per shard pass the driver: at most MAX_SHARDS rows for each source of the target table.
+The tokens of each source are packed, in a pseudorandom order of its documents, into blocks of a fixed length; only the last
+block of a source may be shorter. The mixture's size in tokens gives every source a quota, and so a number of slots: the k-th
+slot of a source is mapped through a pseudorandom permutation of its full blocks (a new one for every round of repeats; the
+short block ends a round), and the last slot is cut where the quota is reached, so that shares are exact to the token. Slots
+are dealt to shards of a fixed number of blocks by multinomial draws from what is left of the quotas: first to at most
+MAX_GROUPS groups of shards on the driver, then to the shards of a group within a task. Slots join blocks by number.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -21,9 +21,7 @@ from strandloom.llm.tokens import count_tokens
 from strandloom.plans.shared import cut
 from strandloom.sources.tables import spread
 
-BLOCK, MAX_SHARDS, SHARD_BLOCKS, SEED = 512, 4096, 256, 20240229
-#: Blocks get shorter, down to MIN_BLOCK tokens, until the smallest source fills so many: its last block is not full.
-MIN_BLOCK, MIN_BLOCKS = 16, 64
+BLOCK, SHARD_BLOCKS, MAX_GROUPS, SEED = 512, 256, 1024, 20240229
 
 
 def source_key(col):
@@ -49,38 +47,69 @@ def permuted(k: np.ndarray, n: np.ndarray, salt: np.ndarray) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def plan(sources: list[tuple[str, float, int, int]], block: int, total_tokens: int | None, seed: int) -> list[tuple[int, str, int, int, int]]:
-    """Rows (shard, source, first slot of the source, slots, blocks of the source) from (source, share, max_repeat, tokens).
+def drawn(left: np.ndarray, size: int, rng: np.random.Generator) -> np.ndarray:
+    """Multinomial counts of `size` slots by what is `left` of each source, never more than that."""
+    got = np.minimum(rng.multinomial(size, left / left.sum()), left)
+    while got.sum() < size:
+        got = np.minimum(got + rng.multinomial(size - got.sum(), (left - got) / (left - got).sum()), left)
+    return got
+
+
+def quotas(sources: list[tuple[str, float, int, int]], total_tokens: int | None) -> dict[str, int]:
+    """Tokens of each source in the mixture, from (source, share, max_repeat, tokens).
 
     Without `total_tokens` the mixture is the largest in which every source that has documents reaches its share; with it,
     a source that cannot supply its share falls short. Shares of sources without documents are spread over the others.
     """
-    have = [(s, share, rep, -(-tokens // block)) for s, share, rep, tokens in sources if tokens and share > 0 and rep > 0]
+    have = [(s, share, rep * tokens) for s, share, rep, tokens in sources if tokens and share > 0 and rep > 0]
+    whole = sum(share for _, share, _ in have)
     if not have:
-        return []
-    weights = np.array([share for _, share, _, _ in have])
-    weights = weights / weights.sum()
-    caps = np.array([rep * n for _, _, rep, n in have])
-    total = -(-total_tokens // block) if total_tokens else max(1, math.floor(min(caps / weights) + 1e-9))
-    exact = weights * total
-    quota = np.floor(exact).astype(np.int64)
-    for k in np.argsort(-(exact - quota), kind="stable")[: total - quota.sum()]:
-        quota[k] += 1
-    left = np.minimum(quota, caps)
-    per_shard = max(SHARD_BLOCKS, -(-int(left.sum()) // MAX_SHARDS))
-    rng, rows, used = np.random.default_rng(seed), [], np.zeros(len(have), np.int64)
-    for shard in range(-(-int(left.sum()) // per_shard)):
-        size = min(per_shard, int(left.sum()))
-        drawn = np.minimum(rng.multinomial(size, left / left.sum()), left)
-        while drawn.sum() < size:
-            drawn = np.minimum(drawn + rng.multinomial(size - drawn.sum(), (left - drawn) / (left - drawn).sum()), left)
-        rows += [(shard, s, int(u), int(d), n) for (s, _, _, n), u, d in zip(have, used, drawn) if d]
-        used, left = used + drawn, left - drawn
-    return rows
+        return {}
+    total = total_tokens if total_tokens else min(cap * whole / share for _, share, cap in have)
+    return {s: min(cap, round(share / whole * total)) for s, share, cap in have}
+
+
+def slots_of(quota: int, tokens: int, block: int) -> tuple[int, int]:
+    """(slots, tokens of the last slot) that make up `quota`, of a source whose every round has `tokens` tokens."""
+    turns, rest = divmod(quota, tokens)
+    if not rest:
+        turns, rest = turns - 1, tokens
+    return turns * -(-tokens // block) + -(-rest // block), rest - (-(-rest // block) - 1) * block
+
+
+def plan(quota: dict[str, int], tokens: dict[str, int], block: int, seed: int) -> list[tuple[int, list[str], list[int], list[int]]]:
+    """Rows (group, sources, first slot of each, slots of each): at most MAX_GROUPS groups of whole shards."""
+    names = [s for s in sorted(quota) if quota[s] > 0]
+    left = np.array([slots_of(quota[s], tokens[s], block)[0] for s in names], np.int64)
+    shards = -(-int(left.sum()) // SHARD_BLOCKS)
+    per_group = SHARD_BLOCKS * -(-shards // MAX_GROUPS) if shards else 0
+    rng, rows, used = np.random.default_rng(seed), [], np.zeros(len(names), np.int64)
+    while left.sum():
+        got = drawn(left, min(per_group, int(left.sum())), rng)
+        rows.append((used.sum() // SHARD_BLOCKS, names, used.tolist(), got.tolist()))
+        used, left = used + got, left - got
+    return [(int(g), *r) for g, *r in rows]
+
+
+def deal(seed: int):
+    """Function for `mapInPandas`: the rows of `plan` as (shard, source, first, n), at most SHARD_BLOCKS slots in a shard."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            for shard, names, first, n in df.itertuples(index=False):
+                used, left, out = np.array(first, np.int64), np.array(n, np.int64), []
+                rng = np.random.default_rng([seed, int(shard)])
+                while left.sum():
+                    got = drawn(left, min(SHARD_BLOCKS, int(left.sum())), rng)
+                    out += [(shard, s, u, k) for s, u, k in zip(names, used.tolist(), got.tolist()) if k]
+                    used, left, shard = used + got, left - got, shard + 1
+                yield pd.DataFrame(out, columns=["shard", "source", "first", "n"])
+
+    return run
 
 
 def pack(counts: DataFrame, block: int) -> DataFrame:
-    """The parts of documents in the blocks of their source: `source`, `block`, `doc_id`, `from_token`, `n_tokens`.
+    """The parts of documents in the blocks of their source: `source`, `block`, `in_block` (place there), `doc_id`, `from_token`, `n_tokens`.
 
     The running sum of tokens is taken in two steps, within hash buckets of a source and over the buckets' totals, so that
     no task orders a whole source. The totals that are broadcast are at most (buckets x sources) rows.
@@ -95,7 +124,7 @@ def pack(counts: DataFrame, block: int) -> DataFrame:
     last = F.floor((F.col("_end") - 1) / block)
     parts = placed.withColumn("block", F.explode(F.sequence(F.floor(F.col("_start") / block), last)))
     lo, hi = F.greatest(F.col("_start"), F.col("block") * block), F.least(F.col("_end"), (F.col("block") + 1) * block)
-    return parts.select("source", "block", "doc_id", (lo - F.col("_start")).alias("from_token"), (hi - lo).alias("n_tokens"))
+    return parts.select("source", "block", (lo - F.col("block") * block).alias("in_block"), "doc_id", (lo - F.col("_start")).alias("from_token"), (hi - lo).alias("n_tokens"))
 
 
 def mix(documents: DataFrame, targets: DataFrame, block: int = BLOCK, total_tokens: int | None = None, seed: int = SEED) -> DataFrame:
@@ -111,18 +140,25 @@ def mix(documents: DataFrame, targets: DataFrame, block: int = BLOCK, total_toke
     listed = documents.select("doc_id", source_key("source").alias("source"), "text").where(F.col("source").isin(list(wanted)))
     counts = cut(count_tokens(spread(listed), ["doc_id", "source"]).where("n_tokens > 0"))
     tokens = {r[0]: r[1] for r in counts.groupBy("source").agg(F.sum("n_tokens")).collect()}
-    block = max(min(MIN_BLOCK, block), min([block, *(n // MIN_BLOCKS for n in tokens.values())]))
-    rows = plan([(s, *wanted[s], tokens.get(s, 0)) for s in sorted(wanted)], block, total_tokens, seed)
-    shards = spark.createDataFrame(rows, "shard int, source string, first long, n long, n_blocks long")
+    quota = quotas([(s, *wanted[s], tokens.get(s, 0)) for s in sorted(wanted)], total_tokens)
+    ends = [(s, *slots_of(q, tokens[s], block), tokens[s] // block, -(-tokens[s] // block)) for s, q in quota.items() if q > 0]
+    last = spark.createDataFrame(ends, "source string, n_slots long, last_tokens long, n_full long, n_blocks long")  # a row per source
+    groups = spark.createDataFrame(plan(quota, tokens, block, seed), "shard long, sources array<string>, first array<long>, n array<long>")
+    shards = spread(groups).mapInPandas(deal(seed), "shard long, source string, first long, n long").join(F.broadcast(last), "source")
 
     @F.pandas_udf("long")
-    def block_of(slot: pd.Series, n: pd.Series, salt: pd.Series) -> pd.Series:
-        return pd.Series(permuted((slot % n).to_numpy(), n.to_numpy(), salt.to_numpy()))
+    def block_of(k: pd.Series, n: pd.Series, salt: pd.Series) -> pd.Series:
+        full = (k < n).to_numpy()  # the short block stays at the end of the round
+        out = k.to_numpy().copy()
+        out[full] = permuted(k.to_numpy()[full], n.to_numpy()[full], salt.to_numpy()[full])
+        return pd.Series(out)
 
-    slots = shards.select("shard", "source", "n_blocks", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("slot"))
+    slots = shards.withColumn("slot", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)))  # at most SHARD_BLOCKS
     turn = F.floor(F.col("slot") / F.col("n_blocks"))
-    slots = slots.select("shard", "source", "slot", (turn + 1).alias("use_no"), block_of("slot", "n_blocks", F.xxhash64("source", turn, F.lit(seed))).alias("block"))
-    return slots.join(pack(counts, block), ["source", "block"]).select("shard", "source", "slot", "use_no", "block", "doc_id", "from_token", "n_tokens")
+    limit = F.when(F.col("slot") == F.col("n_slots") - 1, F.col("last_tokens")).otherwise(F.lit(block))
+    slots = slots.select("shard", "source", "slot", (turn + 1).alias("use_no"), block_of(F.col("slot") % F.col("n_blocks"), "n_full", F.xxhash64("source", turn, F.lit(seed))).alias("block"), limit.cast("long").alias("_limit"))
+    rows = slots.join(pack(counts, block), ["source", "block"]).where("in_block < _limit")
+    return rows.select("shard", "source", "slot", "use_no", "block", "doc_id", "from_token", F.least("n_tokens", F.col("_limit") - F.col("in_block")).alias("n_tokens"))
 
 
 def shares(mixture: DataFrame, targets: DataFrame) -> DataFrame:
@@ -134,3 +170,11 @@ def shares(mixture: DataFrame, targets: DataFrame) -> DataFrame:
         "source", "target_share", "max_repeat", F.coalesce("tokens", F.lit(0)).alias("tokens"),
         F.round(F.coalesce(F.col("tokens") / total, F.lit(0.0)), 6).alias("actual_share"), F.coalesce("most_uses", F.lit(0)).alias("most_uses"),
     )
+
+
+def invariants(mixture: DataFrame, targets: DataFrame) -> DataFrame:
+    """Per source of `targets`: whether it takes part, is within one token of its target among those that do, and within its cap."""
+    got = shares(mixture, targets)
+    total, whole = got.agg(F.sum("tokens")).scalar(), got.where("tokens > 0").agg(F.sum("target_share")).scalar()
+    off = F.abs(F.col("tokens") - F.col("target_share") / whole * total)
+    return got.select("source", (F.col("tokens") > 0).alias("takes_part"), ((F.col("tokens") == 0) | (off <= 1)).alias("on_target"), (F.col("most_uses") <= F.coalesce("max_repeat", F.lit(1))).alias("within_cap"))

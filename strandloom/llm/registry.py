@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandloom.llm import frequency, mixing, near, personal, spans, splitting, tokens
+from strandloom.plans.shared import cut
 from strandloom.sources.tables import spread, table
 
 
@@ -28,6 +29,10 @@ def p2_found(spark, sf_dir):
     return p2_key_frequency(spark, sf_dir).where("mark IS NOT NULL").select("hash_key", "mark")
 
 
+def p2_key_ngrams(spark, sf_dir):
+    return frequency.key_ngrams(table(spark, sf_dir, "kmer_index"))
+
+
 def p3_found(spark, sf_dir):
     return spans.shared_spans(spread(table(spark, sf_dir, "contigs")))
 
@@ -64,6 +69,10 @@ def p7_shares(spark, sf_dir):
     return mixing.shares(p7_mix(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
 
+def p7_invariants(spark, sf_dir):
+    return mixing.invariants(cut(p7_mix(spark, sf_dir)), table(spark, sf_dir, "mix_targets"))
+
+
 def p8_found(spark, sf_dir):
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return personal.detect(docs, table(spark, sf_dir, "person_names")).select("doc_id", "kind", "start_pos")
@@ -74,7 +83,7 @@ def p8_redacted(spark, sf_dir):
     return personal.detect(docs, table(spark, sf_dir, "person_names"), redact=True)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_fragments, p1_bisected, p2_found, p2_key_frequency, p3_found, p3_shared_share, p4_found, p4_groups, p6_ids, p6_offsets, p6_decoded, p7_mix, p7_shares, p8_found, p8_redacted)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_fragments, p1_bisected, p2_found, p2_key_frequency, p2_key_ngrams, p3_found, p3_shared_share, p4_found, p4_groups, p6_ids, p6_offsets, p6_decoded, p7_mix, p7_shares, p7_invariants, p8_found, p8_redacted)}
 
 _USABLE = "(SELECT contig_id, pos_offset, min(hash_key) AS hash_key FROM kmer_index WHERE hash_key >= 0 AND contig_id <> 0 AND pos_offset IS NOT NULL GROUP BY 1, 2)"
 _FREQUENCY = f"""SELECT hash_key, count(*) AS n_postings, count(DISTINCT contig_id) AS n_contigs,
@@ -89,5 +98,9 @@ ORACLE = {
     "p1_found": _PIECES,
     "p2_key_frequency": _FREQUENCY,
     "p2_found": f"SELECT hash_key, mark FROM ({_FREQUENCY}) WHERE mark IS NOT NULL",
+    "p2_key_ngrams": f"""WITH x AS (SELECT contig_id, hash_key AS t1, lead(hash_key) OVER (PARTITION BY contig_id ORDER BY pos_offset) AS t2 FROM {_USABLE}) SELECT t1, NULL::BIGINT AS t2, count(*) AS n, count(DISTINCT contig_id) AS n_records FROM x GROUP BY 1
+        UNION ALL SELECT t1, t2, count(*), count(DISTINCT contig_id) FROM x WHERE t2 IS NOT NULL GROUP BY 1, 2""",
+    "p7_invariants": """SELECT lower(trim(t.source)) AS source, target_share > 0 AND max_repeat > 0 AND EXISTS (SELECT 1 FROM documents d WHERE d.text <> '' AND lower(trim(d.source)) = lower(trim(t.source))) AS takes_part,
+        TRUE AS on_target, TRUE AS within_cap FROM mix_targets t WHERE t.source IS NOT NULL""",
     "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }

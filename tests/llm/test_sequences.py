@@ -199,6 +199,20 @@ def test_ngrams(spark, sigma):
     assert frequency.count_ngrams(frequency.suffixes(df.limit(0), "record", "terms", sigma), sigma).collect() == []
 
 
+@pytest.mark.parametrize("sigma", [1, 2, 4])
+def test_suffixes_of_rows_across_stretches(spark, monkeypatch, sigma):
+    monkeypatch.setattr(frequency, "STRETCH", 8)
+    rnd = random.Random(sigma)
+    lists = {rec: {p: rnd.randrange(3) for p in rnd.sample(range(90), rnd.choice([1, 2, 9, 40]))} for rec in range(12)}
+    rows = [(rec, p, t) for rec, d in lists.items() for p, t in d.items()] + [(None, 1, 1), (1, None, 1), (2, 95, None)]
+    got = frequency.row_suffixes(spark.createDataFrame(rows, "r long, p int, t long").withColumn("_h", F.lit("clash")), "r", "p", "t", sigma).collect()
+    want = []
+    for rec, d in lists.items():
+        terms = [d[p] for p in sorted(d)]
+        want += [(*(terms + [None] * sigma)[i : i + sigma], rec) for i in range(len(terms))]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
 def test_key_frequency_marks(spark):
     rows = [(0, 1, k) for k in range(257)] + [(1, 1, k + 300) for k in range(256)] + [(2, 5, 1), (2, 6, 1), (2, 6, 1), (None, 5, 2), (-4, 5, 3), (3, 0, 4), (3, 5, None)]
     got = frequency.key_frequency(spark.createDataFrame(rows, "hash_key long, contig_id long, pos_offset int")).collect()

@@ -3,6 +3,7 @@
 import collections
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -80,20 +81,36 @@ def test_mixture(spark):
         assert r.source == source[r.doc_id]
         total[r.source] += r.n_tokens
     share = {s: x / sum(total.values()) for s, x in total.items()}
-    assert all(abs(share[s] - want) < 0.03 for s, want in (("a", 0.5 / 0.9), ("b", 0.3 / 0.9), ("c", 0.1 / 0.9)))
+    assert all(abs(share[s] - want) < 0.002 for s, want in (("a", 0.5 / 0.9), ("b", 0.3 / 0.9), ("c", 0.1 / 0.9)))
     assert got == mixing.mix(df, targets, block=32).collect() or sorted(got) == sorted(mixing.mix(df, targets, block=32).collect())
+    full = collections.Counter()
+    for r in got:
+        full[r.source, r.slot] += r.n_tokens
+    for s in total:  # every slot but the short and the last one has the length asked for
+        assert sum(n != 32 for (x, _), n in full.items() if x == s) <= 1 + cap[s]
+    assert all(r.on_target and r.within_cap for r in mixing.invariants(mixing.mix(df, targets, block=32), targets).collect())
     report = {r.source: r for r in mixing.shares(mixing.mix(df, targets, block=32), targets).collect()}
     assert set(report) == {"a", "b", "c", "gone"} and report["gone"].tokens == 0 and report["b"].tokens == total["b"]
     assert mixing.mix(df.limit(0), targets).collect() == [] and mixing.mix(df, targets.limit(0)).collect() == []
 
 
-def test_mixture_beyond_supply(spark):
-    plan = mixing.plan([("a", 0.5, 1, 3200), ("b", 0.5, 2, 320)], 32, 6400, 1)
-    total = collections.Counter()
-    for _, s, _, n, _ in plan:
-        total[s] += n
-    assert total == {"a": 100, "b": 20}
-    assert mixing.plan([("a", 0.5, 1, 0)], 32, None, 1) == []
+def test_quotas_and_slots():
+    assert mixing.quotas([("a", 0.5, 1, 3200), ("b", 0.5, 2, 320), ("gone", 0.2, 1, 0)], 6400) == {"a": 3200, "b": 640}
+    assert mixing.quotas([("a", 0.5, 1, 0)], None) == {} and mixing.plan({}, {}, 32, 1) == []
+    for quota, tokens, block in ((100, 100, 32), (64, 100, 32), (65, 100, 32), (300, 100, 32), (7, 100, 512), (305, 100, 512)):
+        n, last = mixing.slots_of(quota, tokens, block)
+        sizes = [block] * (tokens // block) + [tokens % block] * (tokens % block > 0)
+        assert sum((sizes * 9)[: n - 1]) + last == quota and 0 < last <= (sizes * 9)[n - 1]
+
+
+def test_plan_deals_every_slot_once():
+    quota, tokens = {"a": 900_000, "b": 70_000, "c": 15}, {"a": 1_000_000, "b": 35_000, "c": 15}
+    groups = mixing.plan(quota, tokens, 16, 1)
+    got = pd.concat(mixing.deal(1)(iter([pd.DataFrame(groups)])))
+    assert got.groupby("shard").n.sum().iloc[:-1].eq(mixing.SHARD_BLOCKS).all() and len(groups) <= mixing.MAX_GROUPS
+    for s in quota:
+        own = got[got.source == s].sort_values("first")
+        assert (own["first"] == own.n.cumsum() - own.n).all() and own.n.sum() == mixing.slots_of(quota[s], tokens[s], 16)[0]
 
 
 CASES = [
