@@ -2,10 +2,17 @@
 
 Per document: wide candidate patterns (an automaton of name parts and street words, and patterns of numbers and addresses)
 mark where an item could be; the tokens of and around the candidates are the nodes of a conditional random field. Neighbours
-in a window are linked as a chain; tokens that read the same anywhere in the document are linked by skip edges, and loopy
-message passing lets a clear place decide an unclear one. Node and chain weights are trained by likelihood on a bounded
-sample of documents, which strict formats label; the skip weight is fitted piecewise, from how often linked tokens agree.
-An exact check then gives the items' borders. Documents are never shuffled, cut or sampled for the result.
+in a window are linked as a chain; capitalised words and numbers that read the same anywhere in the document are linked by skip
+edges, and loopy message passing lets a clear place decide an unclear one. The field labels every token. A node does not know
+whether a candidate keeps to a format, only its kind, the outline of its digits, words, shapes, endings and context.
+
+An item is where the field's labels are: a candidate in a format is dropped where the field takes it for other text, and a run of
+labels around a candidate in no format becomes an item with the run's borders if it is complete (a full name, seven digits).
+Where a run covers a candidate in a format, the format's exact borders stand.
+
+Node and chain weights are trained by likelihood on a bounded sample of documents, labelled by the formats, with a third of the
+name parts and of the outlines hidden from the features; the skip weight is fitted piecewise, from how often linked tokens
+agree. Documents are never shuffled, cut or sampled for the result.
 """
 
 from __future__ import annotations
@@ -23,19 +30,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Documents and windows the model is trained on at most, of which every HELD-th window is held out; training rounds.
-SAMPLE_DOCUMENTS, SAMPLE_WINDOWS, HELD, ROUNDS = 6_000, 4_000, 5, 12
-#: Name parts the gazetteer may have (it is broadcast); rounds of message passing; size of the feature table.
-MAX_PARTS, SWEEPS, WIDTH = 200_000, 3, 1 << 17
+SAMPLE_DOCUMENTS, SAMPLE_WINDOWS, HELD, ROUNDS = 16_000, 4_000, 5, 15
+#: Listed and combined name parts the gazetteer may have (it is broadcast); rounds of message passing; size of the feature table.
+MAX_PARTS, MAX_COMBINED, SWEEPS, WIDTH = 200_000, 2_000_000, 3, 1 << 17
 KINDS = ("email", "phone", "id_number", "address", "name")
 LABELS = ("other", *KINDS)
+NUMBERS = ("phone", "id_number")
 CONTEXT = 3
+#: The form of candidates whose format is held back, to see whether the field finds them without it.
+HELD_BACK = "loose, held back"
+#: A candidate in a format is dropped where the field, over its tokens, is so sure of other text.
+SURE = 0.9
 
-#: Words for streets, in front of a number's street name or behind it, and small words inside names.
+#: Chosen by the author: words for streets, in front of a number's street name or behind it, and small words inside names.
 STREETS = ("street", "st.", "st", "lane", "ln.", "avenue", "ave.", "ave", "road", "rd.", "rd", "close", "crescent", "drive", "square", "terrace", "court", "grove", "gardens", "mews", "boulevard", "blvd.", "blvd", "parade", "walk")
 STREET_ENDS = ("straße", "strasse", "str.", "str", "allee", "gasse", "weg", "platz", "ufer", "damm", "ring", "steig")
 STREET_STARTS = ("rue", "impasse", "bd", "bd.", "bld", "boulevard", "chemin", "place", "allée", "quai", "route", "cours", "sentier", "avenue", "av.")
 CALLES = ("c/", "c.", "calle", "avenida", "avda.", "avda", "av.", "plaza", "pza.", "paseo", "camino", "ronda", "travesía", "carretera")
-#: Small words that are no part of a street's name in front of it, or of one behind its kind.
+#: Chosen by the author: small words that are no part of a street's name in front of it, or of one behind its kind.
 NO_STREET = ("at", "in", "to", "the", "of", "on", "near", "from", "by", "and", "ask", "lives", "live", "resident", "is", "was", "for", "a", "an", "with", "had", "has", "were", "der", "die", "das", "bei", "im", "zu", "since", "until", "or", "its", "which", "that", "moved", "office", "years", "it", "as", "between", "miles", "km", "acres")
 NO_CALLE = ("desde", "depuis", "avait", "avaient", "tenía", "fut", "fue", "est", "es", "en", "que", "con", "dit", "dite", "llamado", "llamada", "hacia", "vers", "et", "y", "compte", "longe", "domine", "abrite")
 PARTICLES = ("van", "von", "de", "der", "den", "del", "della", "di", "da", "du", "le", "la", "ter", "zu", "dos", "af", "av")
@@ -46,7 +58,7 @@ NUMBER = re.compile(
     r"(?:\+[ ]?|\(\+?)?(?<![\w])\d(?:[ \u00a0().\-–/]{0,3}\d){6,17}(?:[ ]?[-.]?[ ]?[a-z]\b)?(?![\w])|\b[a-z]{2}[ ]?(?:\d\d[ ]?){3}[a-d]\b|\b[a-z]\d\d[ ]?[a-z]\d\d[ ]?\d{3,4}\b|\b[a-z][ ]?\d{7,8}[ ]?[a-z]?\b", re.I
 )
 PHONES = {
-    "us": r"(?:\+1|001|1)?[ .\-–]?\(?\d{3}\)?[ .\-–]?555[ .\-–]?\d{4}",
+    "us": r"(?:\+1|001|1)?[ .\-–]?(?:\(\d{3}\)[ .\-–]?|\d{3}[ .\-–])\d{3}[ .\-–]\d{4}",
     "nanp": r"(?:(?:\+1|001)[ .\-–]?\(?[2-9]\d{2}\)?|\([2-9]\d{2}\)|(?<!\d)[2-9]\d{2})[ .\-–]?[2-9]\d{2}[ .\-–]?\d{4}",
     "spaced": r"(?:\d ){9,11}\d",
     "uk": r"(?:(?:\+44|0044)[ ]?(?:\(0\)[ ]?)?|\(?0)(?:7\d{3}|20|1\d{2,3}|2\d)\)?[ ]?\d{3,4}[ ]?\d{3,4}(?:[ ]?\d{2,3})?",
@@ -70,7 +82,6 @@ ID_RE = {k: re.compile(p, re.I) for k, p in IDS.items()}
 _DOT = r"(?:\.|[ ]?[(\[{][ ]?dot[ ]?[)\]}][ ]?|[ ]+dot[ ]+)"
 EMAIL_AT = re.compile(r"[@＠]|&#0*64;|&commat;|[(\[{][ ]?at[ ]?[)\]}]|(?<=[\w])[ ]+at[ ]+(?=[\w\-]+[ ]+dot[ ])", re.I)
 EMAIL_RIGHT = re.compile(r"[ ]?(?:[\w\-]+" + _DOT + r")+[^\W\d_]{2,}(?![\w])", re.I)
-EMAIL_LEFT = re.compile(r"[\w.+\-%]*\w[ ]?$")
 _alternatives = lambda words: "(?:" + "|".join(re.escape(w) for w in sorted(words, key=len, reverse=True)) + ")"
 _WORD = rf"(?!(?:{'|'.join(NO_STREET)})(?![\w]))(?:[^\W\d_]{{1,3}}\.|[^\W\d_][\w'’\-]*)[ \u00a0]"
 _STREET = _alternatives(STREETS) + r"(?![\w])"
@@ -109,6 +120,8 @@ def inventory(parts: list[tuple[str, str]]) -> dict[str, str]:
         for s in [x for x, n in a.items() if n >= 4]:
             for e in [y for y, n in b.items() if n >= 4]:
                 out.setdefault(s + e, kind + "+")
+        if len(out) > MAX_COMBINED:
+            raise ValueError(f"name parts combine to more than {MAX_COMBINED} entries")
         for p in listed:
             out[p] = kind
     return out
@@ -123,8 +136,8 @@ def lowered(text: str) -> str:
 class Finder:
     """Candidates of a text, by one automaton over name parts and anchors and one pattern of numbers; made once per task."""
 
-    def __init__(self, names: dict[str, str]):
-        self.names = names
+    def __init__(self, names: dict[str, str], hold: tuple[str, ...] = ()):
+        self.names, self.hold = names, hold
         self.automaton = ahocorasick.Automaton()
         for word, kind in names.items():
             self.automaton.add_word(word, ("n", len(word), kind))
@@ -146,8 +159,7 @@ class Finder:
                 if not (a and low[a - 1].isalpha()) and not (b < len(low) and low[b].isalpha()):
                     names.append((a, b, kind))
             elif (kind or not (a and low[a - 1].isalpha())) and not (low[a:b].isalpha() and b < len(low) and low[b].isalpha()):
-                if DIGIT.search(low, max(0, a - 44), b + 40):
-                    streets.append((a, b))
+                streets.append((a, b))
         found: list[tuple[int, int, str, str]] = []
         if mail:
             found += self.emails(text)
@@ -161,17 +173,19 @@ class Finder:
             if all(s[1] <= a or s[0] >= b for a, b in taken if a < s[1]):
                 kept.append(s)
                 taken.append(s[:2])
-        return sorted(kept)
+        return sorted((a, b, k, HELD_BACK if f.rstrip("?") in self.hold else f) for a, b, k, f in kept)
 
     @staticmethod
     def emails(text: str) -> list[tuple[int, int, str, str]]:
         out = []
         for m in EMAIL_AT.finditer(text):
             right = EMAIL_RIGHT.match(text, m.end())
-            left = EMAIL_LEFT.search(text[max(0, m.start() - 80) : m.start()])
+            a = m.start() - (text[m.start() - 1 : m.start()] == " ")
+            left = a > 0 and (text[a - 1].isalnum() or text[a - 1] == "_")
+            while left and a > 0 and (text[a - 1].isalnum() or text[a - 1] in "_.+-%"):
+                a -= 1
             if right and left:
-                a = max(0, m.start() - 80) + left.start()
-                while a < m.start() and text[a] in ".+-%":
+                while text[a] in ".+-%":
                     a += 1
                 out.append((a, right.end(), "email", "at" if m[0] in "@＠" else "written"))
             elif left or m[0] in "@＠":
@@ -223,10 +237,13 @@ class Finder:
         for a, b in streets:
             if a < done:
                 continue
-            lo = max(0, a - 64)
+            lo, hi = a, b  # the line's next words: more than any form reaches
+            for _ in range(7):
+                lo = max(0, text.rfind(" ", 0, max(0, lo - 1)) + 1)
+                hi = text.find(" ", hi + 1) if hi < len(text) else hi
+                hi = len(text) if hi < 0 else hi
             lo = max(lo, text.rfind("\n", lo, a) + 1)
-            hi = text.find("\n", b, b + 48)
-            hi = min(len(text), b + 48) if hi < 0 else hi
+            hi = hi if (end := text.find("\n", b, hi)) < 0 else end
             for form, p in ADDRESSES.items():
                 for m in p.finditer(text, lo, hi):
                     if m.start() <= a < m.end():
@@ -280,6 +297,13 @@ class Finder:
         return None
 
 
+def outline(number: str) -> list[str]:
+    """Features of a whole number: its digits as 0 and letters as x, its groups, how many digits it has and how it begins."""
+    whole = "".join("0" if c.isdecimal() else "x" if c.isalpha() else c for c in number)
+    groups = [g for g in re.split(r"[^0x]+", whole) if g]
+    return ["k=" + whole, "kg=" + "-".join(map(str, map(len, groups))), f"kn={whole.count('0')}{'x' * whole.count('x')}", "kb=" + re.sub(r"\d", "0", number[:2]) + number[:1]]
+
+
 def shape(w: str) -> str:
     s = "".join("0" if c.isdigit() else "X" if c.isupper() else "x" if c.isalpha() else c for c in w[:6])
     return re.sub(r"(.)\1+", r"\1\1", s) + str(min(len(w), 9)) * w[0].isdigit()
@@ -296,7 +320,7 @@ class Window:
         self.inside = [-1] * len(toks)
         words = [text[a:b] for a, b in toks]
         low = [w.lower() for w in words]
-        self.forms = [w if len(w) > 2 else "" for w in low]
+        self.forms = [x if len(x) > 2 and not w.islower() else "" for w, x in zip(words, low)]
         own: list[list[str]] = []
         for t, (w, x) in enumerate(zip(words, low)):
             f = ["w=" + ("0" * min(len(x), 4) if x[0].isdigit() else x), "s=" + shape(w)]
@@ -311,7 +335,9 @@ class Window:
             for t, (p, q) in enumerate(toks):
                 if p >= a and q <= b and self.inside[t] < 0:
                     self.inside[t] = k
-                    own[t].append(f"c={kind} {form}")
+                    own[t].append("c=" + kind)
+                    if kind in NUMBERS and not (hide and crc32(b"%d" % a) % 3 == 0):
+                        own[t] += outline(text[a:b])
         feats = []
         for t in range(len(toks)):
             f = ["b", *own[t]]
@@ -384,8 +410,8 @@ def skip_links(ws: list[Window], docs: list[int]) -> list[tuple[int, int]]:
     last: dict[tuple[int, str], int] = {}
     out, at = [], 0
     for w, d in zip(ws, docs):
-        for form, inside in zip(w.forms, w.inside):
-            if form and inside >= 0:
+        for form in w.forms:
+            if form:
                 if (d, form) in last:
                     out.append((last[d, form], at))
                 last[d, form] = at
@@ -393,13 +419,13 @@ def skip_links(ws: list[Window], docs: list[int]) -> list[tuple[int, int]]:
     return out
 
 
-def decide(ws: list[Window], docs: list[int], model: tuple[np.ndarray, np.ndarray, float]) -> list[np.ndarray]:
-    """Log marginals of every window's tokens, after SWEEPS rounds of messages along chains and skip links."""
+def decide(ws: list[Window], docs: list[int], model: tuple[np.ndarray, np.ndarray, float], skip: bool = True) -> list[np.ndarray]:
+    """Log marginals of every window's tokens, after SWEEPS rounds of messages along chains and (not without `skip`) skip links."""
     if not ws:
         return []
     weights, trans, agree = model
     rows = node_scores(ws, weights)
-    links = np.array(skip_links(ws, docs), np.int64).reshape(-1, 2)
+    links = np.array(skip_links(ws, docs) if skip else [], np.int64).reshape(-1, 2)
     sizes = [len(r) for r in rows]
     total, k = sum(sizes), len(LABELS)
     to_b, to_a = np.zeros((len(links), k)), np.zeros((len(links), k))
@@ -475,13 +501,18 @@ def train(samples: list[tuple[int, list[list[int]], list[int], list[str]]], roun
     return weights, trans, agree
 
 
-def strict(text: str, c: tuple[int, int, str, str]) -> int:
-    """The label that a candidate's format gives in training: its kind, or 0 for a loose one or one in a catalogue's context."""
-    return 0 if c[3].startswith("loose") or CATALOGUE.search(text[max(0, c[0] - 30) : c[0]]) else LABELS.index(c[2])
+#: Chosen by the author: words before a number that make it a catalogue's, not a person's, in training.
+CATALOGUE = re.compile(r"(?:\bisbn|\bissn|\bcatalogue|\boclc|\bdoi|\bvol\.?|\bpp?\.|\bid=|\brevision|\brelease)[ :#]*[\w.\-, ]{0,8}$", re.I)
+
 
+def strict(text: str, c: tuple[int, int, str, str]) -> int | None:
+    """The label that a candidate's format gives in training: its kind, or 0 for one in no format or in a catalogue's context.
 
-#: Words before a number that make it a catalogue's, not a person's.
-CATALOGUE = re.compile(r"(?:\bisbn|\bissn|\bbell|\brevision|\btimetable|\bngb|\bcatalogue|\boclc|\bdoi|\bvol\.?|\bpp?\.|\bid=|\brelease)[ :#]*[\w.\-, ]{0,8}$", re.I)
+    None, and no part in training, for a candidate of a format that is held back.
+    """
+    if c[3] == HELD_BACK:
+        return None
+    return 0 if c[3].startswith("loose") or CATALOGUE.search(text[max(0, c[0] - 30) : c[0]]) else LABELS.index(c[2])
 
 
 def _gazetteer(names: DataFrame) -> dict[str, str]:
@@ -491,7 +522,7 @@ def _gazetteer(names: DataFrame) -> dict[str, str]:
     return inventory([(r[0], r[1]) for r in rows])
 
 
-def training_windows(documents: DataFrame, names: dict[str, str]) -> list[tuple[int, list[list[int]], list[int], list[str]]]:
+def training_windows(documents: DataFrame, names: dict[str, str], hold: tuple[str, ...] = ()) -> list[tuple[int, list[list[int]], list[int], list[str]]]:
     """Labelled windows of at most SAMPLE_DOCUMENTS documents, at most SAMPLE_WINDOWS, in a fixed pseudorandom order.
 
     A third of the name parts is hidden from the gazetteer features, so that endings and contexts have to be learned.
@@ -502,14 +533,15 @@ def training_windows(documents: DataFrame, names: dict[str, str]) -> list[tuple[
         draw = draw.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) < F.lit(int(1e6 * SAMPLE_DOCUMENTS / total)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        finder = Finder(names)
+        finder = Finder(names, hold)
         for df in batches:
             out = []
             for doc, text in zip(df["doc_id"], df["text"]):
                 cands = finder.spans(text)
                 for w in windows(text, cands, names, hide=0.33):
                     y = [strict(text, cands[i]) if i >= 0 else 0 for i in w.inside]
-                    out.append((doc, [" ".join(map(str, f)) for f in w.features], y, [f if i >= 0 else "" for f, i in zip(w.forms, w.inside)]))
+                    if None not in y:
+                        out.append((doc, [" ".join(map(str, f)) for f in w.features], y, w.forms))
             yield pd.DataFrame(out, columns=["doc_id", "features", "labels", "forms"])
 
     rows = draw.mapInPandas(run, "doc_id long, features array<string>, labels array<int>, forms array<string>")
@@ -517,9 +549,9 @@ def training_windows(documents: DataFrame, names: dict[str, str]) -> list[tuple[
     return [(r[0], [[int(x) for x in f.split()] for f in r[1]], list(r[2]), list(r[3])) for r in got if r[1]]
 
 
-def fit(documents: DataFrame, names: dict[str, str]) -> tuple[tuple[np.ndarray, np.ndarray, float], dict[str, float]]:
+def fit(documents: DataFrame, names: dict[str, str], hold: tuple[str, ...] = ()) -> tuple[tuple[np.ndarray, np.ndarray, float], dict[str, float]]:
     """The model and its share of right labels on the held-out windows, in all and of those that are no `other`."""
-    samples = training_windows(documents, names)
+    samples = training_windows(documents, names, hold)
     held = samples[::HELD]
     model = train([s for k, s in enumerate(samples) if k % HELD])
     right, total, hit, real = 0, 0, 0, 0
@@ -532,43 +564,77 @@ def fit(documents: DataFrame, names: dict[str, str]) -> tuple[tuple[np.ndarray,
     return model, {"accuracy": right / max(1, total), "recall": hit / max(1, real)}
 
 
+def complete(text: str, kind: str, toks: list[tuple[int, int]]) -> bool:
+    """Whether a run of labels is a whole item: a full name in capitals, a number of seven digits, a street with a number."""
+    words = [text[a:b] for a, b in toks]
+    if kind == "name":
+        parts = [w for w in words if w[0].isalpha() and w.lower() not in PARTICLES]
+        return len(parts) >= 2 and max(map(len, parts)) > 2 and all(w[0].isupper() for w in parts) and all(w[0].isalpha() or w in ".,'-" for w in words) and "\n" not in text[toks[0][0] : toks[-1][1]]
+    if kind in NUMBERS:
+        return sum(c.isdecimal() for w in words for c in w) >= 7 and sum(w[0].isalpha() for w in words) <= 2
+    return kind == "address" and any(w[0].isdecimal() for w in words) and any(len(w) > 2 and w[0].isalpha() for w in words)
+
+
 def items(text: str, cands: list[tuple[int, int, str, str]], ws: list[Window], marginals: list[np.ndarray]) -> list[tuple[int, int, str]]:
-    """The candidates whose tokens the field takes, on average, for a personal item rather than for other text.
+    """The items of a text by the field's labels.
 
-    Borders come from the exact check of formats, and so does the kind, but for a number that fits both kinds of numbers.
+    A candidate in a format is an item unless, over its tokens, the field is SURE that it is other text; its format gives
+    the borders and the kind, but for a number that fits both kinds of numbers. Any other run of equal labels
+    that holds a candidate is an item with the run's borders if it is `complete` and touches no item.
     """
-    sums = np.zeros((len(cands), len(LABELS)))
-    n = np.zeros(len(cands))
+    sums, n = np.zeros((len(cands), len(LABELS))), np.zeros(len(cands))
+    runs: list[tuple[int, int, str]] = []
     for w, m in zip(ws, marginals):
+        p = np.exp(m)
+        best = p.argmax(1)
         for t, k in enumerate(w.inside):
             if k >= 0:
-                sums[k] += np.exp(m[t])
+                sums[k] += p[t]
                 n[k] += 1
+        t = 0
+        while t < len(best):
+            e = t + 1
+            while e < len(best) and best[e] == best[t]:
+                e += 1
+            if best[t] and max(w.inside[t:e]) >= 0:
+                toks = w.tokens[t:e]
+                while toks and not text[toks[-1][0]].isalnum() and text[toks[-1][0]] != ".":
+                    toks = toks[:-1]
+                while toks and not text[toks[0][0]].isalnum() and text[toks[0][0]] not in "(+":
+                    toks = toks[1:]
+                if toks and complete(text, LABELS[best[t]], toks):
+                    runs.append((toks[0][0], toks[-1][1], LABELS[best[t]]))
+            t = e
     out = []
     for k, (a, b, kind, form) in enumerate(cands):
-        if n[k] and not form.startswith("loose"):
-            if sums[k][1:].sum() >= sums[k][0]:
-                either = [LABELS.index(x) for x in ("phone", "id_number")]
-                out.append((a, b, LABELS[max(either, key=lambda y: sums[k][y])] if form.endswith("?") else kind))
-    return out
+        if n[k] and not form.startswith("loose") and sums[k][0] <= SURE * n[k]:
+            either = [LABELS.index(x) for x in NUMBERS]
+            out.append((a, b, LABELS[max(either, key=lambda y: sums[k][y])] if form.endswith("?") else kind))
+    formats = [c[:2] for c in cands if not c[3].startswith("loose")]
+    for r in runs:
+        if all(r[1] <= a or r[0] >= b for a, b in formats) and all(r[1] <= a or r[0] >= b for a, b, _ in out):
+            out.append(r)
+    return sorted(out)
 
 
-def detect(documents: DataFrame, names: DataFrame, redact: bool = False) -> DataFrame:
+def detect(documents: DataFrame, names: DataFrame, redact: bool = False, field: str = "skip", hold: tuple[str, ...] = ()) -> DataFrame:
     """The personal items of every document's text, or with `redact` every document with typed placeholders.
 
     Items: `doc_id`, `kind`, `start_pos` (0-based, in code points), `end_pos`. Redacted: `doc_id`, `text`, where each item is
     replaced by its kind in brackets and all else stays; a null text stays null. Null and empty texts have no items;
-    repeated rows give repeated results; an empty table gives none. Other columns are not read.
+    repeated rows give repeated results; an empty table gives none. Other columns are not read. For comparison, `field` may
+    also be `chain` (no skip links) or `none` (every candidate that keeps to a format), and the formats of `hold` may be held back,
+    in training and from the result, so that only the field can find what they would.
     """
     spark = documents.sparkSession
     gazetteer = _gazetteer(names)
-    model, _ = fit(documents, gazetteer)
+    model, _ = fit(documents, gazetteer, hold)
     shared = spark.sparkContext.broadcast((gazetteer, (model[0].astype(np.float32), model[1], model[2])))  # WIDTH x labels numbers
     schema = "doc_id long, text string" if redact else "doc_id long, kind string, start_pos int, end_pos int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names_, model_ = shared.value
-        finder = Finder(names_)
+        finder = Finder(names_, hold)
         for batch in batches:
             for part in (batch.slice(k, 512) for k in range(0, batch.num_rows, 512)):
                 ids, texts = (part.column(k).to_pylist() for k in (0, 1))
@@ -579,13 +645,16 @@ def detect(documents: DataFrame, names: DataFrame, redact: bool = False) -> Data
                         own = windows(t, cands, names_)
                         ws += own
                         docs += [k] * len(own)
-                marg = decide(ws, docs, model_)
+                marg = decide(ws, docs, model_, field == "skip")
                 by = defaultdict(list)
                 for w, d, m in zip(ws, docs, marg):
                     by[d].append((w, m))
                 rows = []
                 for k, (i, t) in enumerate(zip(ids, texts)):
-                    got = items(t, found[k], *zip(*by[k])) if k in by else []
+                    if field == "none":
+                        got = [c[:3] for c in found[k] if not c[3].startswith("loose")]
+                    else:
+                        got = items(t, found[k], *zip(*by[k])) if k in by else []
                     if redact:
                         for a, b, kind in reversed(got):
                             t = f"{t[:a]}[{kind.upper()}]{t[b:]}"

@@ -168,6 +168,31 @@ def test_skip_links_carry_evidence():
     assert np.exp(linked[1][at][5]) > 0.7 > 0.3 > np.exp(alone[1][at][5])
 
 
+def test_field_finds_what_held_back_formats_would(spark):
+    docs, names = table(spark, "/root/testdata/sf0.1", "documents"), table(spark, "/root/testdata/sf0.1", "person_names")
+    usual = {tuple(r) for r in personal.detect(docs, names).select("doc_id", "kind", "start_pos").collect()}
+    plain = {tuple(r) for r in personal.detect(docs, names, field="none").select("doc_id", "kind", "start_pos").collect()}
+    assert len(usual & plain) > 0.99 * len(plain)
+    alone = personal.detect(docs, names, field="none", hold=("uk", "de")).select("doc_id", "kind", "start_pos")
+    with_field = personal.detect(docs, names, hold=("uk", "de")).select("doc_id", "kind", "start_pos")
+    gone = plain - {tuple(r) for r in alone.collect()}
+    found = {tuple(r) for r in with_field.collect()}
+    assert len(gone) > 50 and len(gone & found) > 0.8 * len(gone)
+
+
+def test_runs_of_labels_become_items():
+    text = "ask Beadne Xorvell today, ring 12 34 56 78"
+    name, number = (text.index("Beadne"), text.index("Beadne") + 6, "name", "loose given"), (text.index("12"), len(text), "phone", "loose")
+    ws = personal.windows(text, [name, number], {"beadne": "given"})
+    sure = lambda k: np.log(np.eye(len(personal.LABELS))[k] * 0.9 + 0.01)
+    label = {"Beadne": 5, "Xorvell": 5, **dict.fromkeys(("12", "34", "56", "78"), 2)}
+    marg = [np.array([sure(label.get(text[a:b], 0)) for a, b in w.tokens]) for w in ws]
+    got = personal.items(text, [name, number], ws, marg)
+    assert [(text[a:b], k) for a, b, k in got] == [("Beadne Xorvell", "name"), ("12 34 56 78", "phone")]
+    alone = [np.array([sure(5 if text[a:b] == "Beadne" else 0) for a, b in w.tokens]) for w in ws]
+    assert personal.items(text, [name, number], ws, alone) == []  # a given name alone is no case
+
+
 def test_model_and_results(spark):
     small = table(spark, "/root/testdata/sf0.01", "documents")
     names = table(spark, "/root/testdata/sf0.01", "person_names")
