@@ -18,11 +18,6 @@ def revcomp(bases: Column) -> Column:
     return F.reverse(F.translate(bases, "ACGT", "TGCA"))
 
 
-def code(kmer: Column) -> Column:
-    """2-bit code of up to 31 bases, first base highest; the caller keeps N out."""
-    return F.conv(F.translate(kmer, "ACGT", "0123"), 4, 10).cast("bigint")
-
-
 def kmers(bases: Column, k: int = K, block: int = 128) -> Column:
     """All k-base words (k <= block) of a sequence, in order; an empty array if it is shorter.
 
@@ -35,11 +30,6 @@ def kmers(bases: Column, k: int = K, block: int = 128) -> Column:
     return F.when(F.length(bases) >= k, F.flatten(F.transform(wide, windows))).otherwise(F.array().cast("array<string>"))
 
 
-def canonical(kmer: Column) -> Column:
-    """The lesser of a word and its reverse complement."""
-    return F.least(kmer, revcomp(kmer))
-
-
 def wrapped(bases: Column, width: int = 80) -> Column:
     """Line wraps after every `width` bases, none at the end."""
     return F.regexp_replace(bases, "(.{%d})(?=.)" % width, "$1\n")

@@ -5,36 +5,49 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.functions.seq import K, code, kmers, revcomp
+from strandloom.functions.codes import coded_words
+from strandloom.functions.seq import K
 from strandloom.operators.skew import pairs_within, usable_postings
 from strandloom.sources.tables import fanned
 
 MAX_POSTINGS = 256
 
 
-def capped_index(postings: DataFrame, most: int = MAX_POSTINGS) -> DataFrame:
-    """Usable postings of the keys with at most `most` of them; frequent keys never reach a join."""
+def capped_index(postings: DataFrame, most: int | None = MAX_POSTINGS) -> DataFrame:
+    """Usable postings of the keys with at most `most` of them, or with None of all keys.
+
+    A seed that is too common to tell places apart is left out of mapping as in the limited probe that mapping starts with;
+    `seed_votes` takes the whole index too, and spreads its hot keys.
+    """
     usable = usable_postings(postings)
+    if most is None:
+        return usable
     few = usable.groupBy("hash_key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") <= most).select("hash_key")
     return usable.join(few, "hash_key", "left_semi")
 
 
 def contig_index(contigs: DataFrame, k: int = K) -> DataFrame:
     """The full index of contigs: `hash_key`, `contig_id`, `pos_offset` of every k-base word without N."""
-    at = fanned(contigs.select("contig_id", "bases"), "contig_id").select("contig_id", F.posexplode(kmers(F.col("bases"), k)).alias("pos_offset", "kmer")).where("NOT contains(kmer, 'N')")
-    return at.select(code(F.col("kmer")).alias("hash_key"), "contig_id", "pos_offset")
+    rows = coded_words(fanned(contigs.select("contig_id", "bases"), "contig_id"), ["contig_id"], k)
+    return rows.select(F.col("code").alias("hash_key"), "contig_id", F.col("at").alias("pos_offset"))
 
 
 def read_words(read_set: DataFrame, k: int = K) -> DataFrame:
     """Words of both strands of every read: `hash_key`, `lib_no`, `pair_id`, `mate`, `strand` (1 or -1), `at`."""
-    both = fanned(read_set, "pair_id", "mate").select("lib_no", "pair_id", "mate", F.explode(F.array(F.struct(F.lit(1).alias("strand"), F.col("bases").alias("b")), F.struct(F.lit(-1).alias("strand"), revcomp(F.col("bases")).alias("b")))).alias("s"))
-    words = both.select("lib_no", "pair_id", "mate", "s.strand", F.posexplode(kmers(F.col("s.b"), k)).alias("at", "kmer")).where("kmer RLIKE '^[ACGT]+$'")
-    return words.select(code(F.col("kmer")).alias("hash_key"), "lib_no", "pair_id", "mate", "strand", "at")
+    return coded_words(fanned(read_set, "pair_id", "mate"), ["lib_no", "pair_id", "mate"], k, both=True).withColumnRenamed("code", "hash_key")
 
 
-def seed_votes(read_set: DataFrame, index: DataFrame) -> DataFrame:
-    """Votes per read, signed contig (negative: the read's other strand) and diagonal."""
-    hits = read_words(read_set).join(index, "hash_key")
+def seed_votes(read_set: DataFrame, index: DataFrame, salts: int = 1) -> DataFrame:
+    """Votes per read, signed contig (negative: the read's other strand) and diagonal.
+
+    With `salts`, the postings of every key are dealt to so many parts by contig and the words of reads are repeated for each, so
+    that a key that holds a large share of an uncapped index is joined by many tasks.
+    """
+    words = read_words(read_set)
+    if salts > 1:
+        index = index.withColumn("_salt", F.pmod(F.xxhash64("contig_id"), F.lit(salts)).cast("int"))
+        words = words.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    hits = words.join(index, ["hash_key", "_salt"] if salts > 1 else ["hash_key"])
     return hits.groupBy("lib_no", "pair_id", "mate", (F.col("strand") * F.col("contig_id")).alias("signed_id"), (F.col("pos_offset") - F.col("at")).cast("bigint").alias("diagonal")).agg(F.count(F.lit(1)).alias("votes"))
 
 

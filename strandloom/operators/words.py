@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandloom.functions.seq import canonical, kmers, revcomp
+from strandloom.functions.codes import canonical_code, coded_words, reversed_code, word_text
+from strandloom.functions.seq import kmers, revcomp
 from strandloom.operators.skew import pairs_within
 from strandloom.sources.tables import fanned
 
@@ -13,9 +14,9 @@ MOST = 65534
 
 
 def word_counts(seqs: DataFrame, k: int = 21, least: int = 1) -> DataFrame:
-    """Canonical k-base words (the lesser strand) without N and their occurrences, saturating at 65534, at least `least`."""
-    words = fanned(seqs.select("bases")).select(F.explode(kmers(F.col("bases"), k)).alias("w")).where("w RLIKE '^[ACGT]+$'")
-    return words.groupBy(canonical(F.col("w")).alias("kmer")).agg(F.least(F.count(F.lit(1)), F.lit(MOST)).cast("bigint").alias("n")).where(F.col("n") >= least)
+    """Codes of canonical k-base words (the lesser strand) without N and their occurrences `n`, saturating at 65534, at least `least`."""
+    words = coded_words(fanned(seqs.select("bases")), [], k)
+    return words.groupBy(canonical_code(F.col("code"), k).alias("code")).agg(F.least(F.count(F.lit(1)), F.lit(MOST)).cast("bigint").alias("n")).where(F.col("n") >= least)
 
 
 def occurrence_histogram(counts: DataFrame) -> DataFrame:
@@ -23,40 +24,51 @@ def occurrence_histogram(counts: DataFrame) -> DataFrame:
     return counts.groupBy(F.col("n").alias("value")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def word_links(counts: DataFrame) -> DataFrame:
-    """Overlaps of k - 1 bases between the words on both strands: `a` is followed by `b`. A word has at most four successors."""
-    both = counts.select("kmer").unionByName(counts.select(revcomp(F.col("kmer")).alias("kmer"))).distinct()
-    tail = both.select(F.col("kmer").alias("a"), F.expr("substring(kmer, 2)").alias("j"))
-    head = both.select(F.col("kmer").alias("b"), F.expr("substring(kmer, 1, length(kmer) - 1)").alias("j"))
-    return tail.join(head, "j").select("a", "b")
+def word_ends(counts: DataFrame, k: int = 21) -> DataFrame:
+    """The two joints of k - 1 bases of every word: `code`, `n`, `out` (the end a joint is at), `joint` (canonical), `same`.
+
+    A word's beginning is a head at that joint, its end, read turned, a head at the reverse complement. A joint and its reverse
+    complement are one: heads of one reading (`same` true or false) follow the words of the other.
+    """
+    code, mask = F.col("code"), F.lit((1 << (2 * (k - 1))) - 1)
+    heads = F.array(F.struct(F.lit(False).alias("out"), F.shiftrightunsigned(code, 2).alias("j")), F.struct(F.lit(True).alias("out"), reversed_code(code.bitwiseAND(mask), k - 1).alias("j")))
+    at = counts.select("code", "n", F.explode(heads).alias("h")).select("code", "n", "h.out", "h.j")
+    joint = canonical_code(F.col("j"), k - 1)
+    return at.select("code", "n", "out", joint.alias("joint"), (joint == F.col("j")).alias("same"), (F.col("j") == reversed_code(F.col("j"), k - 1)).alias("own"))
 
 
-def junctions(counts: DataFrame, links: DataFrame) -> DataFrame:
+def junctions(counts: DataFrame, k: int = 21) -> DataFrame:
     """Canonical words with their in- and out-degree (0 to 4) where either is not 1: ends and branchings of the graph."""
-    outs = links.groupBy(F.col("a").alias("kmer")).agg(F.count(F.lit(1)).alias("n_out"))
-    ins = links.groupBy(F.col("b").alias("kmer")).agg(F.count(F.lit(1)).alias("n_in"))
-    rows = counts.join(outs, "kmer", "left").join(ins, "kmer", "left").fillna(0, ["n_out", "n_in"])
-    return rows.where("n_in <> 1 OR n_out <> 1").select("kmer", "n", "n_in", "n_out")
+    w = Window.partitionBy("joint")
+    heads = F.when(F.col("own"), F.count(F.lit(1)).over(w)).when(F.col("same"), F.count_if(~F.col("same")).over(w)).otherwise(F.count_if("same").over(w))
+    at = word_ends(counts, k).withColumn("degree", heads)
+    pick = lambda out: F.max(F.when(F.col("out") == out, F.col("degree")))
+    rows = at.groupBy("code", "n").agg(pick(False).alias("n_in"), pick(True).alias("n_out")).where("n_in <> 1 OR n_out <> 1")
+    return rows.select(word_text(F.col("code"), k).alias("kmer"), "n", "n_in", "n_out")
+
 
+def straight_joins(counts: DataFrame, k: int = 21) -> DataFrame:
+    """Pairs of words joined at a joint that has one word on either side: the insides of unbranched stretches.
 
-def straight_joins(links: DataFrame) -> DataFrame:
-    """Links that are the only way out of `a` and the only way into `b`: the insides of unbranched stretches."""
-    one_out = links.groupBy("a").agg(F.count(F.lit(1)).alias("_n"), F.max("b").alias("b")).where("_n = 1").select("a", "b")
-    one_in = links.groupBy("b").agg(F.count(F.lit(1)).alias("_n")).where("_n = 1").select("b")
-    return one_out.join(one_in, "b", "left_semi").select("a", "b")
+    `x`, `y` with the ends (`x_out`, `y_out`) that meet.
+    """
+    one = lambda same, c: F.max(F.when(F.col("same") == same, F.col(c)))
+    at = word_ends(counts, k).where("NOT own").groupBy("joint").agg(
+        F.count_if("same").alias("_a"), F.count_if(~F.col("same")).alias("_b"), one(True, "code").alias("x"), one(True, "out").alias("x_out"), one(False, "code").alias("y"), one(False, "out").alias("y_out"))
+    return at.where("_a = 1 AND _b = 1").select("x", "x_out", "y", "y_out")
 
 
-def stretches(counts: DataFrame, joins: DataFrame) -> DataFrame:
+def stretches(counts: DataFrame, joins: DataFrame, k: int = 21) -> DataFrame:
     """Unbranched stretches on either strand: `stretch` (lowest word in it), words, bases and mean occurrence (6 digits).
 
     Both strands of a word are one node, so that a stretch and its reverse complement are one component.
     """
     from strandloom.operators.graph import components
 
-    pairs = joins.select(canonical(F.col("a")).alias("x"), canonical(F.col("b")).alias("y"))
-    comp = components(pairs, "x", "y")
-    rows = counts.join(comp, F.col("kmer") == F.col("node"), "left").withColumn("stretch", F.coalesce("component", "kmer"))
-    return rows.groupBy("stretch").agg(F.count(F.lit(1)).alias("n_words"), (F.count(F.lit(1)) + F.length("stretch") - 1).cast("bigint").alias("bases"), F.round(F.avg("n"), 6).alias("coverage"))
+    comp = components(joins, "x", "y")
+    rows = counts.join(comp, F.col("code") == F.col("node"), "left").withColumn("stretch", F.coalesce("component", "code"))
+    got = rows.groupBy("stretch").agg(F.count(F.lit(1)).alias("n_words"), F.round(F.avg("n"), 6).alias("coverage"))
+    return got.select(word_text(F.col("stretch"), k).alias("stretch"), "n_words", (F.col("n_words") + k - 1).cast("bigint").alias("bases"), "coverage")
 
 
 def ends(contigs: DataFrame, k: int = 31) -> DataFrame:
@@ -76,42 +88,63 @@ def end_partners(contigs: DataFrame, k: int = 31, both: bool = True) -> DataFram
     return rows.where("_n = 2").select("a", "b")
 
 
-def end_overlaps(contigs: DataFrame, k: int = 31) -> DataFrame:
-    """Exact overlaps in which the end of `a` is the beginning of `b`: the longest one of each pair, at least k bases.
+def _codes_of(rows: DataFrame, text: str, *keys: str) -> DataFrame:
+    return coded_words(rows.select(*keys, F.col(text).alias("bases")), list(keys), 31).select(*keys, "code")
+
+
+def end_overlaps(contigs: DataFrame) -> DataFrame:
+    """Exact overlaps in which the end of `a` is the beginning of `b`: the longest one of each pair, at least 31 bases.
 
     Ids are signed (negative: the reverse complement). An overlap of a, b is one of -b, -a too; of two strands it is given with
-    |a| < |b|, of one strand with both ids positive. The last k bases of `a` must be clean. Candidates come from an equi join
-    of hashes of the end words with those of all words of the contigs, of any length; the text decides.
+    |a| < |b|, of one strand with both ids positive. The last 31 bases of `a` must be clean. Candidates come from an equi join
+    of the codes of the end words with those of all words of the contigs, of any length; the text decides.
     """
+    k = 31
     left, right = F.substring("bases", 1, k), F.expr(f"right(bases, {k})")
     # The end word of a in b; that of -a in b; that of a in -b, which stands turned in b.
     seeds = F.array(*(F.struct(F.lit(x).alias("sa"), F.lit(y).alias("sb"), w.alias("w")) for x, y, w in ((1, 1, right), (-1, 1, revcomp(left)), (1, -1, revcomp(right)))))
-    last = contigs.where(F.length("bases") >= k).select(F.col("contig_id").alias("a"), F.length("bases").alias("la"), F.explode(seeds).alias("s")).where("NOT contains(s.w, 'N')")
-    last = last.select("a", "la", "s.sa", "s.sb", F.xxhash64("s.w").alias("h"))
+    last = contigs.where(F.length("bases") >= k).select(F.col("contig_id").alias("a"), F.length("bases").alias("la"), F.explode(seeds).alias("s"))
+    last = _codes_of(last.select("a", "la", "s.*"), "w", "a", "la", "sa", "sb")
     text = contigs.select("contig_id", "bases")
-    every = fanned(text, "contig_id").select(F.col("contig_id").alias("b"), F.length("bases").alias("lb"), F.posexplode(kmers(F.col("bases"), k)).alias("at", "w")).select("b", "lb", "at", F.xxhash64("w").alias("h"))
+    every = coded_words(fanned(text.withColumn("lb", F.length("bases")), "contig_id"), ["contig_id", "lb"], k).select(F.col("contig_id").alias("b"), "lb", "at", "code")
     n = F.when(F.col("sb") > 0, F.col("at") + k).otherwise(F.col("lb") - F.col("at"))
-    hits = last.join(every, "h").where("a < b OR (a > b AND sa = sb)").select("a", "b", "sa", "sb", "la", n.alias("n")).where("n <= la")
+    hits = last.join(every, "code").where("a < b OR (a > b AND sa = sb)").select("a", "b", "sa", "sb", "la", n.alias("n")).where("n <= la")
     turned = lambda s, t: F.when(F.col(s) > 0, F.col(t)).otherwise(revcomp(F.col(t)))
     rows = hits.join(text.select(F.col("contig_id").alias("a"), F.col("bases").alias("ta")), "a").join(text.select(F.col("contig_id").alias("b"), F.col("bases").alias("tb")), "b")
     rows = rows.withColumn("ta", turned("sa", "ta")).withColumn("tb", turned("sb", "tb")).where("right(ta, n) = substring(tb, 1, n)")
     return rows.groupBy((F.col("a") * F.col("sa")).alias("a"), (F.col("b") * F.col("sb")).alias("b")).agg(F.max("n").cast("bigint").alias("overlap"))
 
 
-def contained(contigs: DataFrame, k: int = 31) -> DataFrame:
-    """Contigs that lie within a longer one, or equal one of a lower id, on either strand: `contig_id`, `within` (lowest such).
+def contained(contigs: DataFrame) -> DataFrame:
+    """Contigs of at least 31 bases that lie within a longer one, or equal one of a lower id, on either strand: `contig_id`,
+    `within` (lowest such).
 
-    Candidates share the first clean word of the shorter (of at least k bases), or its first word if none is clean; the text decides.
+    Candidates share the first clean 31-base word of the shorter, which must have room around it in the longer; where a contig
+    has no clean word, any longer contig without one is a candidate. The text decides.
     """
-    clean = F.regexp_extract("bases", "[^N]{%d}" % k, 0)
-    first = contigs.where(F.length("bases") >= k).select("contig_id", F.when(clean != "", clean).otherwise(F.substring("bases", 1, k)).alias("w"))
-    text = contigs.select("contig_id", "bases").where("bases <> ''")
-    both = fanned(text, "contig_id").select("contig_id", F.explode(F.array("bases", revcomp(F.col("bases")))).alias("bases"))
-    words = both.select(F.col("contig_id").alias("host"), F.col("bases").alias("hb"), F.explode(F.array_distinct(kmers(F.col("bases"), k))).alias("w"))
-    near = words.select("host", "w").distinct().join(first, "w").where("host <> contig_id").select("host", "contig_id").distinct()
-    rows = near.join(text, "contig_id").join(both.select(F.col("contig_id").alias("host"), F.col("bases").alias("hb")), "host")
+    k = 31
+    text = contigs.where("bases <> ''").select("contig_id", "bases")
+    clean = F.regexp_instr("bases", F.lit("[^N]{%d}" % k)) - 1
+    guest = text.where(F.length("bases") >= k).select("contig_id", F.length("bases").alias("n"), clean.alias("ofs"), "bases")
+    seed = _codes_of(guest.where("ofs >= 0").withColumn("w", F.expr(f"substring(bases, ofs + 1, {k})")), "w", "contig_id", "n", "ofs")
+    host = coded_words(fanned(text.withColumn("hn", F.length("bases")), "contig_id"), ["contig_id", "hn"], k, both=True).withColumnRenamed("contig_id", "host")
+    room = "host <> contig_id AND at >= ofs AND at - ofs + n <= hn AND (hn > n OR host < contig_id)"
+    near = seed.join(host, "code").where(room).select("host", "contig_id", "strand", (F.col("at") - F.col("ofs")).alias("start")).distinct()
+    # Contigs without a clean word hold an N in every 31 bases, and so do their hosts at that place.
+    dull = guest.where("ofs < 0").select("contig_id", "bases")
+    texts = text.select(F.col("contig_id").alias("host"), F.col("bases").alias("hb"))
+    hb = F.when(F.col("strand") > 0, F.col("hb")).otherwise(revcomp(F.col("hb")))
+    found = near.join(text, "contig_id").join(texts, "host").where(F.expr("bases") == F.substring(hb, F.col("start") + 1, F.length("bases"))).select("contig_id", "host")
+    return found.unionByName(dull_hosts(dull, texts)).groupBy("contig_id").agg(F.min("host").alias("within"))
+
+
+def dull_hosts(dull: DataFrame, texts: DataFrame, k: int = 31) -> DataFrame:
+    """Hosts of contigs without a clean word of k bases: candidates share the first k letters, N included; the text decides."""
+    first = dull.select("contig_id", "bases", F.substring("bases", 1, k).alias("w"))
+    hard = texts.where("hb RLIKE 'N'").select("host", F.explode(F.array("hb", revcomp(F.col("hb")))).alias("hb"))
+    words = hard.select("host", "hb", F.explode(F.array_distinct(F.filter(kmers(F.col("hb"), k), lambda w: F.contains(w, F.lit("N"))))).alias("w"))
     longer = (F.length("hb") > F.length("bases")) | ((F.length("hb") == F.length("bases")) & (F.col("host") < F.col("contig_id")))
-    return rows.where(longer & F.expr("contains(hb, bases)")).groupBy("contig_id").agg(F.min("host").alias("within"))
+    return first.join(words, "w").where((F.col("host") != F.col("contig_id")) & longer & F.expr("contains(hb, bases)")).select("contig_id", "host")
 
 
 def allele_similarity(partners: DataFrame, contigs: DataFrame, most: float = 0.1) -> DataFrame:

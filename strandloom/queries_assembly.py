@@ -22,7 +22,7 @@ def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
         if sql:
-            ORACLE[f.__name__] = sql
+            ORACLE[f.__name__] = sql.replace("WITH ", "WITH RECURSIVE ", 1) if " kb AS " in sql and "RECURSIVE" not in sql else sql
         return f
 
     return add
@@ -97,10 +97,16 @@ MAPPED = f"{VOTES}, m AS (SELECT lib_no, pair_id, mate, votes, min(signed_id) AS
 PAIRS = f"""{MAPPED}, pl AS (SELECT lib_no, pair_id, mate, signed_id, CASE WHEN signed_id > 0 THEN diagonal ELSE diagonal + length(bases) - 1 END AS place FROM m JOIN r USING (lib_no, pair_id, mate)),
     q AS (SELECT x.lib_no, x.pair_id, x.signed_id AS id1, x.place AS place1, y.signed_id AS id2, y.place AS place2 FROM pl x JOIN pl y ON x.lib_no = y.lib_no AND x.pair_id = y.pair_id AND x.mate = 1 AND y.mate = 2)"""
 INSERTS = f"{PAIRS}, ins AS (SELECT lib_no, pair_id, abs(id1) AS contig_id, abs(place1 - place2) + 1 AS insert_len FROM q WHERE id1 = -id2), hi AS (SELECT lib_no, insert_len AS value, count(*) AS n FROM ins GROUP BY 1, 2)"
+# The greedy choice of hits walks down each read's hits in their order, with the intervals kept so far.
 LONG = f"""{CONTIGS}, {ALIGN}, nm AS (SELECT name, min(contig_id) AS contig_id FROM c WHERE name IS NOT NULL GROUP BY 1),
-    lr AS (SELECT q_name, q_start, q_end, CASE WHEN strand = '-' THEN -contig_id ELSE contig_id END AS sid, CASE WHEN strand = '-' THEN t_start ELSE t_len - t_end END AS rr, CASE WHEN strand = '-' THEN t_len - t_end ELSE t_start END AS lft FROM h JOIN nm ON t_name = name),
-    nx AS (SELECT q_name, sid AS a, lead(sid) OVER w AS b, lead(q_start - lft) OVER w - (q_end + rr) AS gap FROM lr WINDOW w AS (PARTITION BY q_name ORDER BY q_start, q_end, sid)),
-    ll AS (SELECT q_name, CASE WHEN abs(a) > abs(b) THEN -b ELSE a END AS id1, CASE WHEN abs(a) > abs(b) THEN -a ELSE b END AS id2, gap FROM nx WHERE b IS NOT NULL AND abs(a) <> abs(b)),
+    oh AS (SELECT *, row_number() OVER (PARTITION BY q_name ORDER BY match_len DESC, q_end - q_start DESC, q_start, t_name, t_start) AS i FROM h WHERE identity >= 0.8 AND (aln_len >= 1000 OR (t_end - t_start) / least(q_len, t_len) >= 0.8)),
+    kb AS (SELECT q_name, i, TRUE AS keep, [q_start, q_end] AS kept FROM oh WHERE i = 1 UNION ALL SELECT q_name, i, ok, CASE WHEN ok THEN kept || [q_start, q_end] ELSE kept END FROM (SELECT oh.q_name, oh.i, kept, q_start, q_end,
+    len(list_filter(range(1, len(kept), 2), lambda k: least(q_end, kept[k + 1]) - greatest(q_start, kept[k]) > 32)) = 0 AS ok FROM kb JOIN oh ON oh.q_name = kb.q_name AND oh.i = kb.i + 1)),
+    lr AS (SELECT q_name, match_len, q_end - q_start AS span, q_start, CASE WHEN strand = '-' THEN -contig_id ELSE contig_id END AS sid, q_start - CASE WHEN strand = '-' THEN t_len - t_end ELSE t_start END AS lo, q_end + CASE WHEN strand = '-' THEN t_start ELSE t_len - t_end END AS hi
+    FROM oh SEMI JOIN (SELECT q_name, i FROM kb WHERE keep) USING (q_name, i) JOIN nm ON t_name = name), on2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q_name, sid ORDER BY match_len DESC, span DESC, q_start, lo DESC, hi DESC) AS rn FROM lr) WHERE rn = 1),
+    nx AS (SELECT x.q_name, CASE WHEN x.hi < y.hi THEN x.sid ELSE y.sid END AS a, CASE WHEN x.hi < y.hi THEN y.sid ELSE x.sid END AS b, CASE WHEN x.lo <= y.lo THEN y.lo - x.hi ELSE x.lo - y.hi END AS gap FROM on2 x JOIN on2 y
+    ON x.q_name = y.q_name AND x.sid < y.sid AND abs(x.sid) <> abs(y.sid) AND CASE WHEN x.lo <= y.lo THEN x.hi <= y.hi ELSE y.hi <= x.hi END),
+    ll AS (SELECT q_name, CASE WHEN abs(a) > abs(b) THEN -b ELSE a END AS id1, CASE WHEN abs(a) > abs(b) THEN -a ELSE b END AS id2, gap FROM nx),
     gl AS (SELECT id1, id2, count(*) AS num_link, CAST(floor(avg(gap) + 0.5) AS BIGINT) AS gap FROM ll GROUP BY 1, 2)"""
 EDGES = f"""{LONG}, e AS (SELECT abs(id1) AS src, CAST(sign(id1) AS INT) AS direction, abs(id2) AS dst, CAST(sign(id1 * id2) AS INT) AS orient, num_link, gap FROM gl
     UNION ALL SELECT abs(id2), CAST(-sign(id2) AS INT), abs(id1), CAST(sign(id1 * id2) AS INT), num_link, gap FROM gl)"""
@@ -115,7 +121,7 @@ LIFT = f"""{PAIRS}, {PARTS}, o1 AS (SELECT * FROM p WHERE contig_id IN (SELECT c
     FROM q JOIN o1 x ON abs(id1) = x.contig_id JOIN o1 y ON abs(id2) = y.contig_id AND x.scaffold_id = y.scaffold_id), li AS (SELECT lib_no, pair_id, scaffold_id, least(p1, p2) AS low, greatest(p1, p2) AS high FROM lf)"""
 WORDS = f"""{READS}, w AS (SELECT substr(bases, i, 21) AS w FROM (SELECT bases, unnest(range(1, length(bases) - 19)) AS i FROM r)), k AS (SELECT least(w, {RC('w')}) AS kmer, CAST(least(count(*), 65534) AS BIGINT) AS n FROM w WHERE regexp_full_match(w, '[ACGT]+') GROUP BY 1)"""
 BOTH = f"{WORDS}, o AS (SELECT kmer FROM k UNION SELECT {RC('kmer')} FROM k), l AS (SELECT x.kmer AS a, y.kmer AS b FROM o x JOIN o y ON x.kmer[2:] = y.kmer[:20])"
-ENDS = f"{CONTIGS}, en AS (SELECT contig_id, bases[:31] AS lw, bases[-31:] AS rw FROM c WHERE len >= 31 AND NOT contains(bases[:31], 'N') AND NOT contains(bases[-31:], 'N'))"
+ENDS = f"{CONTIGS}, en AS (SELECT contig_id, CASE WHEN NOT contains(bases[:31], 'N') THEN bases[:31] END AS lw, CASE WHEN NOT contains(bases[-31:], 'N') THEN bases[-31:] END AS rw FROM c WHERE len >= 31)"
 
 
 @query(f"WITH {CONTIGS} SELECT contig_id, name, len, cov, read_len, max_k, kind FROM c")
@@ -250,6 +256,12 @@ def multi_reports(spark, d):
     return mapping.multi_reports(votes_of(spark, d))
 
 
+@query(f"""WITH {VOTES.replace(INDEX, USABLE + ", ix AS (SELECT * FROM u)")}, pl AS (SELECT lib_no, pair_id, mate, signed_id, diagonal, votes, count(*) OVER (PARTITION BY lib_no, pair_id, mate, votes) AS ties, max(votes) OVER (PARTITION BY lib_no, pair_id, mate) AS best FROM v)
+    SELECT lib_no, pair_id, mate, votes, signed_id, diagonal FROM pl WHERE votes = best AND ties = 1""")
+def mapped_reads_all_seeds(spark, d):
+    return mapping.map_reads(mapping.seed_votes(reads_of(spark, d), mapping.capped_index(table(spark, d, "kmer_index"), None), salts=8))
+
+
 @query(f"WITH {MAPPED} SELECT lib_no, pair_id, mate FROM r ANTI JOIN m USING (lib_no, pair_id, mate)")
 def unmapped_reads(spark, d):
     return reads_of(spark, d).join(mapped_of(spark, d), ["lib_no", "pair_id", "mate"], "left_anti").select("lib_no", "pair_id", "mate")
@@ -348,10 +360,10 @@ def edge_conflicts(spark, d):
     return graph.conflicts(edges_of(spark, d), contigs_of(spark, d))
 
 
-@query(f"""WITH {CONFLICTS}, wk AS (SELECT src, dst1 AS dst FROM x WHERE n1 < 0.6 * n2 UNION SELECT src, dst2 FROM x WHERE n2 < 0.6 * n1), gone AS (SELECT src, dst FROM wk UNION SELECT dst, src FROM wk) SELECT e.* FROM e ANTI JOIN gone USING (src, dst)""")
+@query(f"""WITH {CONFLICTS}, wk AS (SELECT src, dst1 AS dst FROM x WHERE n1 < 0.125 * n2 UNION SELECT src, dst2 FROM x WHERE n2 < 0.125 * n1), gone AS (SELECT src, dst FROM wk UNION SELECT dst, src FROM wk) SELECT e.* FROM e ANTI JOIN gone USING (src, dst)""")
 def erroneous_edges_dropped(spark, d):
     e = edges_of(spark, d)
-    return graph.drop_erroneous(e, graph.conflicts(e, contigs_of(spark, d)), rate=0.6)
+    return graph.drop_erroneous(e, graph.conflicts(e, contigs_of(spark, d)))
 
 
 @query(f"""WITH {CONFLICTS}, a AS (SELECT sum(cov * len) / sum(len) AS m FROM c WHERE len > 0), k AS (SELECT src, count(*) AS n FROM x GROUP BY 1)
@@ -418,8 +430,8 @@ def mutual_partners(spark, d):
     return words.mutual_best(shared_long_reads(spark, d))
 
 
-@query(f"""WITH {MAPPED}, t AS (SELECT tag, abs(signed_id) AS contig_id, least(count(*), 254) AS n FROM m JOIN r USING (lib_no, pair_id, mate) WHERE tag IS NOT NULL GROUP BY 1, 2), fw AS (SELECT tag FROM t GROUP BY 1 HAVING count(*) BETWEEN 2 AND 64)
-    SELECT x.contig_id AS contig_a, y.contig_id AS contig_b, CAST(sum(least(x.n, y.n)) AS BIGINT) AS score, count(*) AS n_tags FROM t x JOIN t y ON x.tag = y.tag AND x.contig_id < y.contig_id SEMI JOIN fw ON x.tag = fw.tag GROUP BY 1, 2""")
+@query(f"""WITH {MAPPED}, t AS (SELECT tag, abs(signed_id) AS contig_id, least(count(*), 254) AS n FROM m JOIN r USING (lib_no, pair_id, mate) WHERE tag IS NOT NULL GROUP BY 1, 2)
+    SELECT x.contig_id AS contig_a, y.contig_id AS contig_b, CAST(sum(least(x.n, y.n)) AS BIGINT) AS score, count(*) AS n_tags FROM t x JOIN t y ON x.tag = y.tag AND x.contig_id < y.contig_id GROUP BY 1, 2""")
 def common_tags(spark, d):
     return mapping.common_tags(mapped_of(spark, d), reads_of(spark, d))
 
@@ -498,40 +510,40 @@ def word_left_minimum(spark, d):
 
 @query(f"WITH {BOTH}, ou AS (SELECT a AS kmer, count(*) AS n FROM l GROUP BY 1), nn AS (SELECT b AS kmer, count(*) AS n FROM l GROUP BY 1) SELECT kmer, k.n, coalesce(nn.n, 0) AS n_in, coalesce(ou.n, 0) AS n_out FROM k LEFT JOIN ou USING (kmer) LEFT JOIN nn USING (kmer) WHERE coalesce(nn.n, 0) <> 1 OR coalesce(ou.n, 0) <> 1")
 def word_junctions(spark, d):
-    k = cut(words.word_counts(reads_of(spark, d)))
-    return words.junctions(k, cut(words.word_links(k)))
+    return words.junctions(words.word_counts(reads_of(spark, d)))
 
 
 @query()
 def word_stretches(spark, d):
     k = cut(words.word_counts(reads_of(spark, d), least=2))
-    return words.stretches(k, words.straight_joins(words.word_links(k)))
+    return words.stretches(k, words.straight_joins(k))
 
 
-@query(f"WITH {ENDS} SELECT min(contig_id) AS a, max(contig_id) AS b FROM en GROUP BY lw, rw HAVING count(*) = 2")
+@query(f"WITH {ENDS} SELECT min(contig_id) AS a, max(contig_id) AS b FROM en WHERE lw IS NOT NULL AND rw IS NOT NULL GROUP BY lw, rw HAVING count(*) = 2")
 def allele_partners(spark, d):
     return words.end_partners(contigs_of(spark, d))
 
 
-@query(f"WITH {ENDS} SELECT min(contig_id) AS a, max(contig_id) AS b FROM en GROUP BY lw HAVING count(*) = 2")
+@query(f"WITH {ENDS} SELECT min(contig_id) AS a, max(contig_id) AS b FROM en WHERE lw IS NOT NULL GROUP BY lw HAVING count(*) = 2")
 def one_end_partners(spark, d):
     return words.end_partners(contigs_of(spark, d), both=False)
 
 
-@query(f"""WITH {ENDS}, pr AS (SELECT min(contig_id) AS a, max(contig_id) AS b FROM en GROUP BY lw HAVING count(*) = 2), z AS (SELECT a, b, x.bases AS ta, y.bases AS tb, x.cov AS ca, y.cov AS cb, levenshtein(x.bases, y.bases) AS dd FROM pr JOIN c x ON a = x.contig_id JOIN c y ON b = y.contig_id WHERE x.len <= 2000 AND y.len <= 2000)
+@query(f"""WITH {ENDS}, pr AS (SELECT min(contig_id) AS a, max(contig_id) AS b FROM en WHERE lw IS NOT NULL GROUP BY lw HAVING count(*) = 2), z AS (SELECT a, b, x.bases AS ta, y.bases AS tb, x.cov AS ca, y.cov AS cb, levenshtein(x.bases, y.bases) AS dd FROM pr JOIN c x ON a = x.contig_id JOIN c y ON b = y.contig_id)
     SELECT a, b, CAST(dd AS BIGINT) AS distance, dd <= 0.1 * greatest(length(ta), length(tb)) AS collapses, CASE WHEN ca >= cb THEN a ELSE b END AS kept FROM z""")
 def allele_similarity(spark, d):
     c = contigs_of(spark, d)
     return words.allele_similarity(words.end_partners(c, both=False), c)
 
 
-@query(f"""WITH {ENDS}, st AS (SELECT contig_id AS b, i - 1 AS ofs, substr(bases, i, 31) AS w FROM (SELECT contig_id, bases, unnest(range(1, least(length(bases), 1000) - 29)) AS i FROM c)), hh AS (SELECT en.contig_id AS a, b, ofs + 31 AS n FROM en JOIN st ON rw = w WHERE en.contig_id <> b)
-    SELECT a, b, CAST(max(n) AS BIGINT) AS overlap FROM hh JOIN c x ON a = x.contig_id JOIN c y ON b = y.contig_id WHERE right(x.bases, CAST(n AS BIGINT)) = left(y.bases, CAST(n AS BIGINT)) GROUP BY 1, 2""")
+@query(f"""WITH {CONTIGS}, sg AS (SELECT contig_id AS id, 1 AS s, bases AS t FROM c UNION ALL SELECT contig_id, -1, {RC('bases')} FROM c), st AS (SELECT id, s, t, ofs, substr(t, ofs, 31) AS w FROM (SELECT *, unnest(range(1, length(t) - 29)) AS ofs FROM sg)),
+    rt AS (SELECT *, right(t, 31) AS w FROM sg WHERE length(t) >= 31 AND NOT contains(right(t, 31), 'N')) SELECT x.id * x.s AS a, y.id * y.s AS b, CAST(max(y.ofs + 30) AS BIGINT) AS overlap FROM rt x JOIN st y ON x.w = y.w
+    AND ((x.s = 1 AND y.s = 1 AND x.id <> y.id) OR (x.s <> y.s AND x.id < y.id)) AND y.ofs + 30 <= length(x.t) AND right(x.t, y.ofs + 30) = left(y.t, y.ofs + 30) GROUP BY 1, 2""")
 def end_overlaps(spark, d):
     return words.end_overlaps(contigs_of(spark, d))
 
 
-@query(f"""WITH {ENDS}, f AS (SELECT contig_id, bases, len FROM c SEMI JOIN en USING (contig_id)), hs AS (SELECT contig_id AS host, bases AS hb, len FROM c WHERE bases <> '' UNION ALL SELECT contig_id, {RC('bases')}, len FROM c WHERE bases <> '')
+@query(f"""WITH {ENDS}, f AS (SELECT contig_id, bases, len FROM c WHERE len >= 31), hs AS (SELECT contig_id AS host, bases AS hb, len FROM c WHERE bases <> '' UNION ALL SELECT contig_id, {RC('bases')}, len FROM c WHERE bases <> '')
     SELECT contig_id, min(host) AS within FROM f JOIN hs ON host <> contig_id AND (hs.len > f.len OR (hs.len = f.len AND host < contig_id)) AND contains(hb, bases) GROUP BY 1""")
 def contained_contigs(spark, d):
     return words.contained(contigs_of(spark, d))
@@ -584,7 +596,7 @@ def greedy_layout(spark, d):
     return graph.chain_offsets(graph.chains(joins), joins, contigs_of(spark, d))
 
 
-EVIDENCE = f"""{ENDS}, {LONG.replace(CONTIGS + ', ', '')}, {SHARED}, pr AS (SELECT min(contig_id) AS a, max(contig_id) AS b FROM en GROUP BY lw HAVING count(*) = 2), sd AS (SELECT a AS block, a AS contig, 0 AS hp FROM pr UNION ALL SELECT a, b, 1 FROM pr),
+EVIDENCE = f"""{ENDS}, {LONG.replace(CONTIGS + ', ', '')}, {SHARED}, pr AS (SELECT min(contig_id) AS a, max(contig_id) AS b FROM en WHERE lw IS NOT NULL GROUP BY lw HAVING count(*) = 2), sd AS (SELECT a AS block, a AS contig, 0 AS hp FROM pr UNION ALL SELECT a, b, 1 FROM pr),
     be AS (SELECT least(u.block, w.block) AS x, greatest(u.block, w.block) AS y, CAST(sum(CASE WHEN u.hp = w.hp THEN n ELSE 0 END) AS BIGINT) AS parallel, CAST(sum(CASE WHEN u.hp <> w.hp THEN n ELSE 0 END) AS BIGINT) AS crossed
     FROM sr JOIN sd u ON sr.a = u.contig JOIN sd w ON sr.b = w.contig AND u.block <> w.block GROUP BY 1, 2)"""
 
