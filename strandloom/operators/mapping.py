@@ -76,6 +76,13 @@ def map_pairs(mapped: DataFrame, read_set: DataFrame) -> DataFrame:
     return both.select("lib_no", "pair_id", F.col("a.signed_id").alias("id1"), F.col("a.place").alias("place1"), F.col("b.signed_id").alias("id2"), F.col("b.place").alias("place2"))
 
 
+def drop_blocked(pairs: DataFrame, blocked: DataFrame) -> DataFrame:
+    """Pairs without those between two contigs that a block list (`id1`, `id2`, any order and sign) names."""
+    lo, hi = F.least(F.abs("id1"), F.abs("id2")), F.greatest(F.abs("id1"), F.abs("id2"))
+    gone = blocked.select(lo.alias("_a"), hi.alias("_b")).distinct()
+    return pairs.withColumns({"_a": lo, "_b": hi}).join(gone, ["_a", "_b"], "left_anti").select(pairs.columns)
+
+
 def insert_lengths(pairs: DataFrame) -> DataFrame:
     """Insert lengths of pairs that face each other on one contig."""
     return pairs.where("id1 = -id2").select("lib_no", "pair_id", F.abs("id1").alias("contig_id"), (F.abs(F.col("place1") - F.col("place2")) + 1).alias("insert_len"))

@@ -65,7 +65,7 @@ def long_links_of(spark, d):
 
 
 def edges_of(spark, d):
-    return graph.edges(graph.group_links(long_links_of(spark, d)))
+    return cut(graph.edges(graph.group_links(long_links_of(spark, d))))
 
 
 P = lambda c: f"upper(regexp_replace(coalesce({c}, ''), '\\s', '', 'g'))"

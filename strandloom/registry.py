@@ -1,6 +1,6 @@
 """All queries of the core."""
 
-from strandloom import queries_assembly, queries_skew
+from strandloom import queries_assembly, queries_graph, queries_skew  # noqa: F401, the graph queries register with the assembly ones
 
 MODULES = (queries_skew, queries_assembly)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}

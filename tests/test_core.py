@@ -8,6 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from strandloom.functions import codes
 from strandloom.operators import coverage, graph, layout, mapping, skew, stats, words
 from strandloom.sources import assembly as src
 from strandloom.sources.tables import spread
@@ -133,17 +134,28 @@ def test_word_graph(spark):
     reads = spark.createDataFrame([(seq,), (rc[10:90],), ("ACGTNNACGT",)], "bases string")
     k = words.word_counts(reads, 15)
     want = collections.Counter(min(w, w.translate(str.maketrans("ACGT", "TGCA"))[::-1]) for r in (seq, rc[10:90]) for w in (r[i : i + 15] for i in range(len(r) - 14)))
-    assert {r.kmer: r.n for r in k.collect()} == dict(want)
-    st = words.stretches(k, words.straight_joins(words.word_links(k))).collect()
+    assert {r.kmer: r.n for r in k.select(codes.word_text(F.col("code"), 15).alias("kmer"), "n").collect()} == dict(want)
+    st = words.stretches(k, words.straight_joins(k, 15), 15).collect()
     assert [(r.n_words, r.bases) for r in st] == [(106, 120)]
-    ends = words.junctions(k, words.word_links(k)).collect()
+    ends = words.junctions(k, 15).collect()
     assert len(ends) == 2 and all(r.n_in + r.n_out == 1 for r in ends)
 
 
+def test_coded_words(spark, monkeypatch):
+    monkeypatch.setattr(codes, "PART", 64)
+    rnd = random.Random(9)
+    seqs = [(i, "".join(rnd.choices("ACGTN", weights=[9, 9, 9, 9, 1], k=n))) for i, n in enumerate((0, 1, 10, 11, 12, 63, 64, 65, 74, 75, 200, 3, 700))] + [(99, None)]
+    df = spark.createDataFrame(seqs, "id long, bases string").withColumn("at", F.lit("clash"))
+    text = codes.word_text(F.col("code"), 11)
+    got = codes.coded_words(df, ["id"], 11, both=True).select("id", "strand", "at", text.alias("w"), codes.word_text(codes.reversed_code(F.col("code"), 11), 11).alias("r")).collect()
+    turn = lambda s: s.translate(str.maketrans("ACGT", "TGCA"))[::-1]
+    want = [(i, d, p, t[p : p + 11]) for i, s in seqs for d, t in ((1, s or ""), (-1, turn(s or ""))) for p in range(len(t) - 10) if "N" not in t[p : p + 11]]
+    assert sorted((r.id, r.strand, r.at, r.w) for r in got) == sorted(want) and all(r.r == turn(r.w) for r in got)
+
+
 def test_words_of_all_lengths(spark):
     seqs = ["".join(random.Random(n).choices("ACGTN", k=n)) for n in (0, 1, 14, 15, 16, 127, 128, 129, 141, 142, 143, 256, 257, 1000)]
-    from strandloom.functions.seq import kmers
-
+    
     df = spark.createDataFrame([(s,) for s in seqs], "bases string")
     for r in df.select("bases", kmers(F.col("bases"), 15).alias("w")).collect():
         assert list(r.w) == [r.bases[i : i + 15] for i in range(len(r.bases) - 14)]
