@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Documents and windows the model is trained on at most, of which every HELD-th window is held out; training rounds.
-SAMPLE_DOCUMENTS, SAMPLE_WINDOWS, HELD, ROUNDS = 16_000, 4_000, 5, 15
+SAMPLE_DOCUMENTS, SAMPLE_WINDOWS, HELD, ROUNDS = 8_000, 4_000, 5, 15
 #: Listed and combined name parts the gazetteer may have (it is broadcast); rounds of message passing; size of the feature table.
 MAX_PARTS, MAX_COMBINED, SWEEPS, WIDTH = 200_000, 2_000_000, 3, 1 << 17
 KINDS = ("email", "phone", "id_number", "address", "name")
