@@ -93,23 +93,82 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return rows.where("trim(r) <> ''").select("file", F.regexp_extract(head, r"^(\S+)", 1).alias("name"), head.alias("header"), plain(body).alias("bases"))
 
 
+def numbered(rows: DataFrame, *columns: str) -> DataFrame:
+    """`columns` and `ordinal`: the row's number from 0 within its file. `rows` has `file`, `part` (start of its split) and `id`.
+
+    A row's number is its place within its split plus the rows of the file's earlier splits, which are counted first.
+    """
+    parts = rows.groupBy("file", "part").agg(F.min("id").alias("first"), F.max("id").alias("last"))
+    n = F.col("last") - F.col("first") + 1
+    before = F.coalesce(F.sum(n).over(Window.partitionBy("file").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    at = parts.select("file", "part", "first", before.alias("before"))
+    return rows.join(at, ["file", "part"]).select(*columns, (F.col("before") + F.col("id") - F.col("first")).alias("ordinal"))
+
+
+def _split(rows: DataFrame, text: str) -> DataFrame:
+    return rows.select(F.input_file_name().alias("file"), F.input_file_block_start().alias("part"), F.monotonically_increasing_id().alias("id"), F.regexp_replace("value", "\r", "").alias(text))
+
+
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """Four-line FASTQ files (plain, gzip or bzip2): `file`, `ordinal` from 0, `name`, `tag` (of BX:Z:), `bases`.
+    """FASTQ files (plain, gzip or bzip2): `file`, `ordinal` from 0, `name`, `tag` (of BX:Z:), `bases`.
 
-    Files are split and read in parallel. A line's number is its place within its split plus the lines of the file's earlier
-    splits, which are counted first; four lines then make a record. Records that do not begin with '@' are left out.
+    Sequences and qualities may be wrapped over lines. The text is split before every line that begins with '+'; what comes
+    before it ends with a header line ('@') and lines of letters only, the record. So files are split and read in parallel, and
+    lines of qualities are never taken for records, but for letters behind a line '@...' at the end of a wrapped quality.
     """
-    lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.input_file_block_start().alias("part"), F.monotonically_increasing_id().alias("id"), F.regexp_replace("value", "\r$", "").alias("line"))
-    parts = lines.groupBy("file", "part").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    at = lines.join(parts.select("file", "part", "first", before.alias("before")), ["file", "part"]).withColumn("no", F.col("before") + F.col("id") - F.col("first"))
-    pick = lambda k: F.max(F.when(F.col("no") % 4 == k, F.col("line")))
-    records = at.where("no % 4 < 2").groupBy("file", F.floor(F.col("no") / 4).alias("ordinal")).agg(pick(0).alias("head"), pick(1).alias("seq"))
-    return records.where("startswith(head, '@')").select(
-        "file", "ordinal", F.regexp_extract("head", r"^@(\S+)", 1).alias("name"), F.nullif(F.regexp_extract("head", "BX:Z:([A-Za-z0-9-]+)", 1), F.lit("")).alias("tag"), plain("seq").alias("bases")
+    chunks = _split(spark.read.option("lineSep", "\n+").text(path), "r")
+    tail = "(?s)(?:^|\\n)@([^\\n]*)\\n([A-Za-z.*\\-\\n]+)$"
+    rows = numbered(chunks, "file", "part", "r", "id").withColumn("head", F.regexp_extract("r", tail, 1)).withColumn("seq", F.regexp_extract("r", tail, 2)).where("seq <> ''")
+    # A quality that begins with '+' splits a record's rest once more; records are numbered among themselves.
+    kept = rows.select("file", F.lit(0).cast("bigint").alias("part"), F.col("ordinal").alias("at"), "head", "seq")
+    w = Window.partitionBy("file", F.floor(F.col("at") / (1 << 20))).orderBy("at")
+    sizes = kept.groupBy("file", F.floor(F.col("at") / (1 << 20)).alias("s")).agg(F.count(F.lit(1)).alias("n"))
+    base = sizes.select("file", "s", F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    got = kept.withColumn("s", F.floor(F.col("at") / (1 << 20))).withColumn("k", F.row_number().over(w) - 1).join(base, ["file", "s"])
+    return got.select(
+        "file", (F.col("base") + F.col("k")).alias("ordinal"), F.regexp_extract("head", r"^(\S+)", 1).alias("name"), F.nullif(F.regexp_extract("head", "BX:Z:([A-Za-z0-9-]+)", 1), F.lit("")).alias("tag"), plain("seq").alias("bases")
     )
 
 
+def read_tagged_fasta(spark: SparkSession, path: str) -> DataFrame:
+    """FASTA records with `ordinal` from 0 in their file and the barcode `tag` of BX:Z: in the header."""
+    rows = _split(spark.read.option("lineSep", "\n>").text(path), "r").where("trim(r) <> ''")
+    at = numbered(rows, "file", "r")
+    head = F.substring_index(F.regexp_replace("r", "^>", ""), "\n", 1)
+    body = F.when(F.instr("r", "\n") > 0, F.expr("substring(r, instr(r, '\n') + 1)")).otherwise(F.lit(""))
+    return at.select("file", "ordinal", F.regexp_extract(head, r"^(\S+)", 1).alias("name"), F.nullif(F.regexp_extract(head, "BX:Z:([A-Za-z0-9-]+)", 1), F.lit("")).alias("tag"), plain(body).alias("bases"))
+
+
+def paired_files(first: DataFrame, second: DataFrame) -> DataFrame:
+    """The reads of two files (each with `ordinal`, `name`, `tag`, `bases`) as pairs by their place: `pair_id`, `mate`, `tag`, `bases`.
+
+    A read without counterpart, in the longer file, makes no pair. Both mates get the pair's tag.
+    """
+    a, b = (x.select(F.col("ordinal").alias("pair_id"), F.col("tag").alias(f"t{m}"), F.col("bases").alias(f"b{m}")) for m, x in ((1, first), (2, second)))
+    both = a.join(b, "pair_id").withColumn("tag", F.coalesce("t1", "t2"))
+    return both.select("pair_id", "tag", F.explode(F.array(*(F.struct(F.lit(m).alias("mate"), F.col(f"b{m}").alias("bases")) for m in (1, 2)))).alias("m")).select("pair_id", "m.mate", "tag", "m.bases")
+
+
+def interleaved(reads_of_file: DataFrame) -> DataFrame:
+    """The reads of one file that holds both mates in turn: `pair_id`, `mate`, `tag`, `bases`; a last read alone makes no pair."""
+    rows = reads_of_file.select(F.floor(F.col("ordinal") / 2).alias("pair_id"), (F.col("ordinal") % 2 + 1).cast("int").alias("mate"), "tag", "bases")
+    whole = rows.groupBy("pair_id").agg(F.count(F.lit(1)).alias("_n"), F.max("tag").alias("tag")).where("_n = 2").select("pair_id", "tag")
+    return rows.drop("tag").join(whole, "pair_id").select("pair_id", "mate", "tag", "bases")
+
+
+def read_block_list(spark: SparkSession, path: str) -> DataFrame:
+    """Pairs of names that must not be linked, one pair a line, separated by white space: `name1`, `name2`."""
+    f = F.split(F.trim("value"), r"\s+")
+    return spark.read.text(path).where("trim(value) <> ''").select(f[0].alias("name1"), F.get(f, F.lit(1)).alias("name2")).where("name2 IS NOT NULL")
+
+
+def blocked_ids(block_list: DataFrame, records: DataFrame) -> DataFrame:
+    """`id1`, `id2` of the contigs a block list names; names that no contig bears are left out."""
+    ids = records.where("name IS NOT NULL").groupBy("name").agg(F.min("contig_id").alias("id"))
+    one = lambda i: ids.select(F.col("name").alias(f"name{i}"), F.col("id").alias(f"id{i}"))
+    return block_list.join(one(1), "name1").join(one(2), "name2").select("id1", "id2")
+
+
 def read_paf(spark: SparkSession, path: str) -> DataFrame:
     """PAF files as the columns of `paf_hits`; the `cg:Z:` field may stand anywhere among the optional ones."""
     f = F.split("value", "\t")

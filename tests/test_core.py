@@ -8,7 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from strandloom.functions import codes
+from strandloom.functions import codes, seq
 from strandloom.operators import coverage, graph, layout, mapping, skew, stats, words
 from strandloom.sources import assembly as src
 from strandloom.sources.tables import spread
@@ -157,7 +157,7 @@ def test_words_of_all_lengths(spark):
     seqs = ["".join(random.Random(n).choices("ACGTN", k=n)) for n in (0, 1, 14, 15, 16, 127, 128, 129, 141, 142, 143, 256, 257, 1000)]
     
     df = spark.createDataFrame([(s,) for s in seqs], "bases string")
-    for r in df.select("bases", kmers(F.col("bases"), 15).alias("w")).collect():
+    for r in df.select("bases", seq.kmers(F.col("bases"), 15).alias("w")).collect():
         assert list(r.w) == [r.bases[i : i + 15] for i in range(len(r.bases) - 14)]
 
 
