@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandloom import queries_assembly as qa
-from strandloom.operators import coverage, evidence, graph, layout, nodes, pruning, records, words
+from strandloom.operators import assembly, coverage, evidence, graph, layout, nodes, pruning, records, words
 from strandloom.plans.shared import cut
 from strandloom.queries_assembly import CONTIGS, EDGES, INSERTS, RC, READS, contigs_of, edges_of, query, reads_of
 from strandloom.queries_graph import ALLELES, NODE_EDGES, NODE_PARTNERS, ONCE, alleles_of, node_edges_of
@@ -282,3 +282,106 @@ def consensus_edges(spark, d):
 def consensus_joins(spark, d):
     e = cut(evidence.consensus_edges(node_edges_of(spark, d), consensus_of(spark, d)).withColumn("num_link", F.col("parallel") + F.col("crossed")))
     return graph.reciprocal(e)
+
+
+# Word graphs and gaps.
+def _counts(spark, d):
+    return cut(words.word_counts(reads_of(spark, d), least=2))
+
+
+@query()
+def unitigs(spark, d):
+    return assembly.unitigs(_counts(spark, d))
+
+
+@query()
+def unitig_tips(spark, d):
+    return assembly.unitig_tips(cut(assembly.unitigs(_counts(spark, d))))
+
+
+@query()
+def unitig_bubbles(spark, d):
+    return assembly.unitig_bubbles(cut(assembly.unitigs(_counts(spark, d))))
+
+
+@query()
+def weak_unitigs(spark, d):
+    return assembly.weak_unitigs(assembly.unitigs(_counts(spark, d)), 42, 3.0)
+
+
+@query()
+def cleaned_unitigs(spark, d):
+    return assembly.unitigs(assembly.clean_words(_counts(spark, d)))
+
+
+FIGURES = f"{READS}, {CONTIGS}, fg AS (SELECT sum(length(bases)) / (SELECT sum(len) FROM c) AS coverage, avg(length(bases)) AS length FROM r)"
+STEPS = f"""{FIGURES}, gr AS (SELECT coverage, length, unnest(range(22, 41)) AS large FROM fg), gc AS (SELECT *, unnest([1, 2, 3, 4]) AS cutoff FROM gr), lm AS (SELECT *, coverage * (length - large + 1.0) / length AS lam FROM gc),
+    st2 AS (SELECT CAST(large AS INT) AS large, cutoff, round(-2.0 * list_sum(list_transform(range(0, cutoff), lambda i: exp(i * ln(lam) - lgamma(i + 1) - lam))), 9) AS log_p FROM lm)"""
+
+
+def _steps(spark, d):
+    total = contigs_of(spark, d).agg(F.sum("len")).scalar()
+    one = reads_of(spark, d).agg((F.sum(F.length("bases")) / F.max(total)).alias("coverage"), F.avg(F.length("bases")).alias("length"))
+    return assembly.word_steps(cut(one))
+
+
+@query(f"WITH {STEPS} SELECT * FROM st2")
+def word_length_steps(spark, d):
+    return _steps(spark, d)
+
+
+@query(f"WITH {STEPS}, bd AS (SELECT cutoff, min(large) FILTER (WHERE log_p < ln(1 - 1e-8)) AS bad, max(large) AS top, min(large) AS frst FROM st2 GROUP BY 1) SELECT cutoff, CAST(CASE WHEN bad = frst THEN NULL ELSE coalesce(bad - 1, top) END AS INT) AS largest_k FROM bd")
+def largest_word_length(spark, d):
+    return assembly.next_words(_steps(spark, d))
+
+
+VOTES2 = f"""{qa.GAPS}, {READS}, fl AS (SELECT scaffold_id, gap_no, substr(bases, gap_start - 19, 20) AS lw, substr(bases, gap_end + 1, 20) AS rw FROM g JOIN s USING (scaffold_id) WHERE left_flank >= 20 AND right_flank >= 20),
+    bo AS (SELECT bases AS t FROM r UNION ALL SELECT {RC('bases')} FROM r), hh AS (SELECT scaffold_id, gap_no, rw, substr(t, ofs + 20) AS rest FROM (SELECT t, unnest(range(1, length(t) - 18)) AS ofs FROM bo) JOIN fl ON substr(t, ofs, 20) = lw),
+    vt AS (SELECT scaffold_id, gap_no, substr(rest, 1, strpos(rest, rw) - 1) AS filling, count(*) AS n_reads FROM hh WHERE strpos(rest, rw) > 0 GROUP BY 1, 2, 3)"""
+CLOSED = f"""{VOTES2}, tt AS (SELECT scaffold_id, gap_no, sum(n_reads) AS n FROM vt GROUP BY 1, 2), bl AS (SELECT scaffold_id, gap_no, length(filling) AS len, sum(n_reads) AS m FROM vt GROUP BY 1, 2, 3), b1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scaffold_id, gap_no ORDER BY m DESC, len) AS rk FROM bl) WHERE rk = 1),
+    gd AS (SELECT scaffold_id, gap_no, n, len FROM b1 JOIN tt USING (scaffold_id, gap_no) WHERE n >= 1 AND m >= 0.75 * n), bs AS (SELECT scaffold_id, gap_no, i, substr(filling, i, 1) AS base, sum(n_reads) AS c FROM (SELECT vt.*, unnest(range(1, len + 1)) AS i FROM vt JOIN gd USING (scaffold_id, gap_no) WHERE length(filling) = len) GROUP BY 1, 2, 3, 4),
+    tx AS (SELECT scaffold_id, gap_no, string_agg(base, '' ORDER BY i) AS filling FROM (SELECT *, row_number() OVER (PARTITION BY scaffold_id, gap_no, i ORDER BY c DESC, base) AS rk FROM bs) WHERE rk = 1 GROUP BY 1, 2),
+    clo AS (SELECT scaffold_id, gap_no, CAST(n AS BIGINT) AS n_reads, CAST(len AS BIGINT) AS length, coalesce(filling, '') AS filling FROM gd LEFT JOIN tx USING (scaffold_id, gap_no))"""
+
+
+def _closed(spark, d, least=3):
+    s = qa.scaffolds_of(spark, d)
+    return assembly.closed_gaps(cut(assembly.filling_votes(layout.gap_table(s), s, reads_of(spark, d))), least)
+
+
+@query(f"WITH {CLOSED} SELECT * FROM clo WHERE n_reads >= 3")
+def small_gaps_closed(spark, d):
+    return _closed(spark, d)
+
+
+@query(f"WITH {CLOSED} SELECT * FROM clo")
+def gaps_with_any_filling(spark, d):
+    return _closed(spark, d, 1)
+
+
+@query(f"""WITH {CLOSED}, pz AS (SELECT scaffold_id, i, t FROM (SELECT scaffold_id, unnest(regexp_extract_all(bases, 'N+|[^N]+')) AS t, generate_subscripts(regexp_extract_all(bases, 'N+|[^N]+'), 1) AS i FROM s)), nu AS (SELECT *, sum(CASE WHEN t[1] = 'N' THEN 1 ELSE 0 END) OVER (PARTITION BY scaffold_id ORDER BY i) AS gap_no FROM pz)
+    SELECT nu.scaffold_id, string_agg(CASE WHEN t[1] = 'N' AND clo.filling IS NOT NULL THEN clo.filling ELSE t END, '' ORDER BY i) AS bases FROM nu LEFT JOIN clo ON nu.scaffold_id = clo.scaffold_id AND nu.gap_no = clo.gap_no AND t[1] = 'N' GROUP BY 1""")
+def filled_scaffolds(spark, d):
+    s = qa.scaffolds_of(spark, d)
+    return assembly.filled(s, layout.gap_table(s), _closed(spark, d, 1))
+
+
+def _local(spark, d):
+    s = qa.scaffolds_of(spark, d)
+    lens = s.select("scaffold_id", F.length("bases").cast("bigint").alias("len"))
+    return assembly.local_reads(qa.mapped_of(spark, d), reads_of(spark, d), qa.parts_of(spark, d), layout.gap_table(s), table(spark, d, "libraries"), lens)
+
+
+@query(f"""WITH {qa.MAPPED}, {qa.GAPS}, {qa.PARTS}, {ONCE}, mr AS (SELECT m.*, length(bases) AS n FROM m JOIN r USING (lib_no, pair_id, mate)), mt AS (SELECT lib_no, pair_id, 3 - mate AS mate, length(bases) AS mm FROM r),
+    ps AS (SELECT lib_no, pair_id, mate, o1.scaffold_id, avg_ins AS ai, 3.0 * sd_ins AS tol, mm, length(s.bases) AS sl, (signed_id > 0) = (o1.strand = '+') AS ahead, CASE WHEN o1.strand = '-' THEN comp_end - 1 - CASE WHEN signed_id > 0 THEN diagonal ELSE diagonal + n - 1 END ELSE comp_start + CASE WHEN signed_id > 0 THEN diagonal ELSE diagonal + n - 1 END END AS ps
+    FROM mr JOIN o1 ON abs(signed_id) = o1.contig_id JOIN libraries l USING (lib_no) JOIN s ON s.scaffold_id = o1.scaffold_id JOIN mt USING (lib_no, pair_id, mate) WHERE avg_ins > 0 AND sd_ins > 0),
+    sn AS (SELECT scaffold_id, lib_no, pair_id, 3 - mate AS mate, CAST(trunc(greatest(CASE WHEN ahead THEN greatest(ps, ps + ai - tol - mm) ELSE ps - ai - tol END, 0)) AS BIGINT) AS lo, CAST(trunc(least(CASE WHEN ahead THEN ps + ai + tol ELSE least(ps, ps - ai + tol + mm) END, sl)) AS BIGINT) AS hi FROM ps)
+    SELECT DISTINCT sn.scaffold_id, gap_no, lib_no, pair_id, CAST(mate AS INT) AS mate FROM sn JOIN g ON sn.scaffold_id = g.scaffold_id AND lo < hi AND lo < gap_end AND hi > gap_start""")
+def gap_local_reads(spark, d):
+    return _local(spark, d)
+
+
+@query()
+def gaps_assembled(spark, d):
+    s = qa.scaffolds_of(spark, d)
+    return assembly.assembled_gaps(cut(layout.gap_table(s)), s, cut(_local(spark, d)), reads_of(spark, d))
