@@ -1,45 +1,34 @@
-"""Sequence text as numpy codes, for the operators on contigs."""
+"""Sequences as packed bases, for the operators on contigs; the coding of words is the core's."""
 
 from __future__ import annotations
 
 import numpy as np
 
-_CODE = np.full(256, 4, np.uint64)
-for _k, _c in enumerate(b"ACGT"):
-    _CODE[_c] = _CODE[_c + 32] = _k
-
-
-def codes(seq: str | None) -> np.ndarray:
-    """2-bit codes of the bases (A=0, C=1, G=2, T=3, anything else 4), read without white space and regardless of case."""
-    return _CODE[np.frombuffer("".join((seq or "").split()).encode("ascii", "replace"), np.uint8)]
-
-
-def words(v: np.ndarray, k: int) -> np.ndarray:
-    """The 2-bit code (first base highest) of the k <= 32 bases that start at each position; by doubling, in log2(k) steps."""
-    n = len(v) - k + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    block, size, out, have = v & np.uint64(3), 1, None, 0
-    while True:
-        if k & size:
-            out = block if out is None else (out[: len(v) - have - size + 1] << np.uint64(2 * size)) | block[have : len(v) - size + 1]
-            have += size
-        if have == k:
-            return out[:n]
-        block = (block[: len(block) - size] << np.uint64(2 * size)) | block[size:]
-        size *= 2
-
-
-def clean(v: np.ndarray, k: int) -> np.ndarray:
-    """Whether the k bases from each position are free of undetermined ones."""
-    if len(v) < k:
-        return np.zeros(0, bool)
-    upto = np.concatenate([[0], np.cumsum(v == 4)])
-    return upto[k:] == upto[:-k]
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A bijective 64-bit mix of each number."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+from strandloom.functions.codes import clean, codes, mixed, words
+
+__all__ = ["clean", "codes", "mixed", "pack", "unpack", "words"]
+
+
+def pack(v: np.ndarray) -> bytes:
+    """Codes of bases as bytes: their number, four bases a byte, and the runs of undetermined ones (start and length)."""
+    n = len(v)
+    two = np.zeros(-(-n // 4) * 4, np.uint8)
+    two[:n] = v & np.uint64(3)
+    four = (two[0::4] << 6) | (two[1::4] << 4) | (two[2::4] << 2) | two[3::4]
+    bad = np.flatnonzero(np.diff(np.concatenate([[0], (v == 4).astype(np.int8), [0]])))
+    return np.array([n], np.int64).tobytes() + four.tobytes() + bad.astype(np.int64).tobytes()
+
+
+def unpack(blob: bytes) -> np.ndarray:
+    """The codes that `pack` was given."""
+    n = int(np.frombuffer(blob, np.int64, 1)[0])
+    size = -(-n // 4)
+    four = np.frombuffer(blob, np.uint8, size, 8)
+    v = np.empty((size, 4), np.uint64)
+    for k in range(4):
+        v[:, k] = (four >> (6 - 2 * k)) & 3
+    v = v.ravel()[:n]
+    edges = np.frombuffer(blob, np.int64, -1, 8 + size) if len(blob) > 8 + size else np.zeros(0, np.int64)
+    for a, b in edges.reshape(-1, 2):
+        v[a:b] = 4
+    return v
