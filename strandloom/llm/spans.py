@@ -2,10 +2,11 @@
 
 Words of WORD bases are hashed only at positions whose remainder modulo PERIOD lies in a difference cover: for any two
 positions i, j there is a shift below PERIOD that takes both into the cover. As WORD + PERIOD <= SPAN + 1, two equal stretches
-of SPAN bases always share an aligned anchor. Anchors found in one contig only are dropped by an aggregation. The places of an
-anchor that has few are extended against each other. An anchor of many places would need too many pairs: for those all
-stretches around it are valued (128 bits), and a stretch is shared if its value occurs in two contigs; such a stretch costs one
-row per place, however many contigs hold it. Each equal pair of stretches has an aligned anchor, so one of the two ways finds it.
+of SPAN bases always share an aligned anchor. The anchors are shuffled once, by their code; those found in one contig only end
+there. The surroundings of the others meet by code and are extended: in pairs where few have the code, by sorting the
+surroundings once for every way the SPAN bases can lie around the anchor where many have it. A code that would fill more than
+a task's share of the anchors (told while the anchors are made, or by MANY places) is not gathered: its anchors are widened to
+the whole SPAN, in every way they can lie, and the widened words are aggregated. All ways compare bases, none a digest.
 """
 
 from __future__ import annotations
@@ -17,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandloom.llm.bases import clean, codes, mixed, words
+from strandloom.llm.bases import clean, codes, mixed, pack, unpack, words
+from strandloom.plans.shared import cut
 
 SPAN = 100
 #: A perfect difference cover, whose differences are all of 0..72.
@@ -26,17 +28,42 @@ COVER = (1, 2, 4, 8, 16, 32, 37, 55, 64)
 WORD = SPAN - PERIOD + 1
 #: Bases beside an anchor that a stretch around it can reach.
 AROUND = SPAN - WORD
-#: Anchors at up to so many places are extended in pairs; those at more places are resolved by values of whole stretches.
-RARE = 64
+#: Places of a code that are extended in pairs, and places that are handled in one task at all.
+FEW, MANY = 64, 1 << 16
+#: Anchors that are looked at together when they are made.
+FLUSH = 1 << 20
+#: Places of a code among them that are never too many for a task.
+LEAST = 1024
 #: The anchors in one chunk of a contig are handled together; long contigs spread over tasks.
 CHUNK = 16_384
 
 
-def anchors(contigs: DataFrame) -> DataFrame:
-    """`code`, `contig_id`, `pos` of the words at cover positions, without those that hold N."""
+def anchors(contigs: DataFrame, tasks: int) -> DataFrame:
+    """`code`, `contig_id`, `pos`, `kind` of the words at cover positions, without those that hold N.
+
+    Of FLUSH anchors of a task, a code with more than a share of FLUSH / `tasks` (LEAST at least) that more than one contig has needs
+    no shuffle to be known as shared: its places have kind 2, but for one of its lowest and its highest contig, which go to the others
+    (kind 1). All else has kind 0.
+    """
+    most = max(LEAST, FLUSH // tasks)
+
+    def flush(w: list[np.ndarray], ids: list[int], at: list[np.ndarray]) -> pa.RecordBatch:
+        code, cid, pos = np.concatenate(w), np.repeat(np.array(ids, np.int64), [len(x) for x in at]), np.concatenate(at)
+        order = np.argsort(code, kind="stable")
+        first = np.flatnonzero(np.diff(code[order], prepend=~code[order[0]]))
+        kind = np.zeros(len(code), np.int8)
+        for a, b in zip(first, [*first[1:], len(code)]):
+            if b - a > most:
+                own = order[a:b]
+                lo, hi = own[np.argmin(cid[own])], own[np.argmax(cid[own])]
+                if cid[lo] != cid[hi]:
+                    kind[own] = 2
+                    kind[[lo, hi]] = 1
+        return pa.RecordBatch.from_arrays([pa.array(code.astype(np.int64)), pa.array(cid), pa.array(pos.astype(np.int64)), pa.array(kind)], ["code", "contig_id", "pos", "kind"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cover = np.array(COVER)
+        w, ids, places, held = [], [], [], 0
         for batch in batches:
             for cid, seq in zip(batch.column(0).to_pylist(), batch.column(1)):
                 v = codes(seq.as_py())
@@ -45,27 +72,61 @@ def anchors(contigs: DataFrame) -> DataFrame:
                 at = (np.arange(0, len(v), PERIOD)[:, None] + cover).ravel()
                 at = at[at <= len(v) - WORD]
                 at = at[clean(v, WORD)[at]]
-                w = words(v, WORD)[at]
-                for k in range(0, len(at), 1 << 16):
-                    part = at[k : k + (1 << 16)]
-                    yield pa.RecordBatch.from_arrays([pa.array(w[k : k + (1 << 16)].astype(np.int64)), pa.array(np.full(len(part), cid, np.int64)), pa.array(part.astype(np.int64))], ["code", "contig_id", "pos"])
-
-    return contigs.select("contig_id", "seq").mapInArrow(run, "code long, contig_id long, pos long")
+                all_ = words(v, WORD)
+                for k in range(0, len(at), FLUSH):
+                    part = at[k : k + FLUSH]
+                    w.append(all_[part])
+                    ids.append(cid)
+                    places.append(part)
+                    held += len(part)
+                    if held >= FLUSH:
+                        yield flush(w, ids, places)
+                        w, ids, places, held = [], [], [], 0
+        if held:
+            yield flush(w, ids, places)
+
+    return contigs.select("contig_id", "seq").mapInArrow(run, "code long, contig_id long, pos long, kind byte")
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The anchors that more than one contig has: `contig_id`, `chunk`, `pos`, `hot`, from rows sorted by code."""
+
+    def marks(code: np.ndarray, cid: np.ndarray, pos: np.ndarray, kind: np.ndarray) -> pa.RecordBatch:
+        first = np.flatnonzero(np.diff(code, prepend=~code[0]))
+        n = np.diff(np.append(first, len(code)))
+        several = np.minimum.reduceat(cid, first) < np.maximum.reduceat(cid, first)
+        hot = (np.maximum.reduceat(kind, first) > 0) | (n > MANY)
+        keep = np.repeat(several, n)
+        keep |= kind > 0  # settled where they were made
+        return pa.RecordBatch.from_arrays([pa.array(cid[keep]), pa.array(pos[keep] // CHUNK), pa.array(pos[keep]), pa.array(np.repeat(hot, n)[keep])], ["contig_id", "chunk", "pos", "hot"])
+
+    open_: list[np.ndarray] | None = None
+    for batch in batches:
+        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        cols = [np.concatenate(x) for x in zip(open_, cols)] if open_ else cols
+        if not len(cols[0]):
+            continue
+        done = int(np.searchsorted(cols[0], cols[0][-1]))
+        if done:
+            yield marks(*(c[:done] for c in cols))
+        open_ = [c[done:] for c in cols]
+    if open_:
+        yield marks(*open_)
 
 
 def chunks(contigs: DataFrame) -> DataFrame:
-    """The contigs' bases in chunks (`contig_id`, `chunk`, `bases`) with the surroundings of their positions, each chunk once."""
+    """The contigs' packed bases in chunks (`contig_id`, `chunk`, `bases`) with the surroundings of their positions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for cid, seq in zip(batch.column(0).to_pylist(), batch.column(1)):
-                s = "".join((seq.as_py() or "").split()).upper()
-                if cid is None or len(s) < SPAN:
+                v = codes(seq.as_py())
+                if cid is None or len(v) < SPAN:
                     continue
-                parts = [s[max(0, k - AROUND) : k + CHUNK + SPAN] for k in range(0, len(s), CHUNK)]
-                yield pa.RecordBatch.from_arrays([pa.array([cid] * len(parts), pa.int64()), pa.array(range(len(parts)), pa.int64()), pa.array(parts)], ["contig_id", "chunk", "bases"])
+                parts = [pack(v[max(0, k - AROUND) : k + CHUNK + SPAN]) for k in range(0, len(v), CHUNK)]
+                yield pa.RecordBatch.from_arrays([pa.array([cid] * len(parts), pa.int64()), pa.array(range(len(parts)), pa.int64()), pa.array(parts, pa.binary())], ["contig_id", "chunk", "bases"])
 
-    return contigs.select("contig_id", "seq").mapInArrow(run, "contig_id long, chunk long, bases string")
+    return contigs.select("contig_id", "seq").mapInArrow(run, "contig_id long, chunk long, bases binary")
 
 
 def _local(chunk: int, at: list[int]) -> tuple[int, np.ndarray]:
@@ -75,10 +136,10 @@ def _local(chunk: int, at: list[int]) -> tuple[int, np.ndarray]:
 
 
 def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All stretches of SPAN bases around anchors: `h1`, `h2`, `contig_id`, `pos`, from (contig_id, chunk, bases, anchors)."""
+    """All stretches of SPAN bases around anchors: `w0`..`w3` (25 bases each), `contig_id`, `pos`, from (contig_id, chunk, bases, anchors)."""
     for batch in batches:
         for cid, chunk, bases, at in zip(*(batch.column(k).to_pylist() for k in range(4))):
-            v = codes(bases)
+            v = unpack(bases)
             n = len(v) - SPAN + 1
             if n <= 0:
                 continue
@@ -88,13 +149,11 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             np.add.at(wanted, np.clip(local + 1, 0, n), -1)
             start = np.flatnonzero((np.cumsum(wanted)[:n] > 0) & clean(v, SPAN))
             quarter = words(v, 25)
-            h1, h2 = np.full(len(start), 0x243F6A8885A308D3, np.uint64), np.full(len(start), 0x13198A2E03707344, np.uint64)
-            for k in (0, 25, 50, 75):
-                w = quarter[start + k]
-                h1, h2 = mixed(h1 ^ w), mixed(h2 + (w << np.uint64(13)))
-            yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(np.full(len(start), cid, np.int64)), pa.array(start + first)], ["h1", "h2", "contig_id", "pos"])
+            parts = [pa.array(quarter[start + k].astype(np.int64)) for k in (0, 25, 50, 75)]
+            yield pa.RecordBatch.from_arrays([*parts, pa.array(np.full(len(start), cid, np.int64)), pa.array(start + first)], [*_WIDE, "contig_id", "pos"])
 
 
+_WIDE = ["w0", "w1", "w2", "w3"]
 _SIDES = [f"{s}{k}" for s in "lr" for k in range(3)]
 _CONTEXT = "code long, contig_id long, pos long, l0 long, l1 long, l2 long, r0 long, r1 long, r2 long, la int, ra int"
 
@@ -106,7 +165,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cid, chunk, bases, at in zip(*(batch.column(k).to_pylist() for k in range(4))):
             first, p = _local(chunk, at)
             pad = np.full(AROUND, 4, np.uint64)
-            v = np.concatenate([pad, codes(bases), pad])
+            v = np.concatenate([pad, unpack(bases), pad])
             p, n = p + AROUND, len(v)
             p = p[(p >= AROUND) & (p + WORD <= n - AROUND)]  # a contig may have been delivered with other bases too
             p = p[clean(v, WORD)[p]] if len(p) else p
@@ -133,13 +192,47 @@ def _common(x: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return out
 
 
+def _by_sorting(c: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """How far (to the left, to the right from the anchor on) each row of one code lies in stretches that another contig shares.
+
+    For every number of bases to the left, rows are sorted by those bases and the rest of SPAN to the right; rows that agree are
+    neighbours, and are shared if their contigs differ. Equal bases are compared, a hash only orders.
+    """
+    third, n = AROUND // 3, len(c["pos"])
+    lo, hi = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    for a in range(AROUND + 1):
+        b = AROUND - a
+        own = np.flatnonzero((c["la"] >= a) & (c["ra"] >= b))
+        if len(own) < 2:
+            continue
+        cut_, h = [], np.zeros(len(own), np.uint64)
+        for names, size in ((_SIDES[:3], a), (_SIDES[3:], b)):
+            for k, name in enumerate(names):
+                have = min(max(size - k * third, 0), third)
+                x = c[name][own].astype(np.uint64) >> np.uint64(2 * (third - have)) if have else np.zeros(len(own), np.uint64)
+                cut_.append(x)
+                h = mixed(h * np.uint64(3) + x)
+        order = np.lexsort((c["contig_id"][own], h))
+        cid = c["contig_id"][own][order]
+        new = np.ones(len(own), bool)
+        new[1:] = False
+        for x in cut_:
+            y = x[order]
+            new[1:] |= y[1:] != y[:-1]
+        first = np.flatnonzero(new)
+        several = np.minimum.reduceat(cid, first) < np.maximum.reduceat(cid, first)
+        hit = own[order[np.repeat(several, np.diff(np.append(first, len(own))))]]
+        lo[hit] = np.maximum(lo[hit], a)
+        hi[hit] = np.maximum(hi[hit], b + WORD)
+    return lo, hi
+
+
 def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shared intervals of the anchors of each code (rows sorted by code, at most RARE of one), by extension in pairs."""
+    """Shared intervals of the anchors of each code (rows sorted by code, at most MANY of one): pairs for FEW, else by sorting."""
 
-    def intervals(rows: pa.Table) -> pa.RecordBatch:
-        c = {k: rows.column(k).to_numpy() for k in rows.column_names}
+    def in_pairs(c: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         left, right = [c[k] for k in _SIDES[:3]], [c[k] for k in _SIDES[3:]]
-        n = rows.num_rows
+        n = len(c["pos"])
         lo, hi = np.zeros(n, np.int64), np.zeros(n, np.int64)
         for d in range(1, n):
             i = np.flatnonzero(c["code"][d:] == c["code"][:-d])
@@ -153,9 +246,21 @@ def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for t in (i[ok], j[ok]):
                 np.maximum.at(lo, t, a[ok])
                 np.maximum.at(hi, t, b[ok] + WORD)
-        t = np.flatnonzero(hi)
-        start, end, cid = c["pos"][t] - lo[t], c["pos"][t] + hi[t], c["contig_id"][t]
-        return pa.RecordBatch.from_arrays([pa.array(cid), pa.array(start), pa.array(end)], ["contig_id", "pos", "end"])
+        return lo, hi
+
+    def intervals(rows: pa.Table) -> pa.RecordBatch:
+        c = {k: rows.column(k).to_numpy() for k in rows.column_names}
+        first = np.flatnonzero(np.diff(c["code"], prepend=~c["code"][0]))
+        n = np.diff(np.append(first, len(c["code"])))
+        few = np.repeat(n <= FEW, n)
+        out = []
+        groups = [({k: x[few] for k, x in c.items()}, in_pairs)] if few.any() else []
+        groups += [({k: x[a : a + m] for k, x in c.items()}, _by_sorting) for a, m in zip(first[n > FEW], n[n > FEW])]
+        for g, way in groups:
+            lo, hi = way(g)
+            t = np.flatnonzero(hi)
+            out.append((g["contig_id"][t], g["pos"][t] - lo[t], g["pos"][t] + hi[t]))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["contig_id", "pos", "end"])
 
     open_: pa.Table | None = None
     for batch in batches:
@@ -168,7 +273,7 @@ def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_ = rows.slice(done)
         if done:
             yield intervals(rows.slice(0, done))
-    if open_ is not None:
+    if open_ is not None and open_.num_rows:
         yield intervals(open_)
 
 
@@ -180,18 +285,18 @@ def shared_spans(contigs: DataFrame) -> DataFrame:
     the row whose text there is highest. Null ids and null, empty or short sequences give no row.
     Contigs need `contig_id` and `seq`; other columns are not read.
     """
-    found = anchors(contigs)
-    by_code = found.groupBy("code").agg(F.count(F.lit(1)).alias("_n"), F.min("contig_id").alias("_lo"), F.max("contig_id").alias("_hi")).where("_lo < _hi")
-    near = found.join(by_code.select("code", (F.col("_n") > RARE).alias("hot")), "code").select("contig_id", F.floor(F.col("pos") / CHUNK).alias("chunk"), "hot", "pos")
+    tasks = int(contigs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    route = F.when(F.col("kind") == 2, F.xxhash64("contig_id", "pos")).otherwise(F.xxhash64("code"))  # settled anchors go anywhere
+    near = anchors(contigs, tasks).repartition(tasks, route).sortWithinPartitions("code").mapInArrow(_shared, "contig_id long, chunk long, pos long, hot boolean")
     marks = near.groupBy("contig_id", "chunk").agg(*[F.collect_set(F.when(F.col("hot") == hot, F.col("pos"))).alias(f"at_{hot}") for hot in (False, True)])  # at most a chunk's positions
-    texts = chunks(contigs).groupBy("contig_id", "chunk").agg(F.max("bases").alias("bases")).join(marks, ["contig_id", "chunk"])
+    texts = cut(chunks(contigs).groupBy("contig_id", "chunk").agg(F.max("bases").alias("bases")).join(marks, ["contig_id", "chunk"]))
     at = lambda hot: texts.where(F.size(f"at_{hot}") > 0).select("contig_id", "chunk", "bases", f"at_{hot}")
-    # Anchors of few places: their surroundings meet by code and are extended.
-    extended = at(False).mapInArrow(_contexts, _CONTEXT).repartition("code").sortWithinPartitions("code").mapInArrow(_extend, "contig_id long, pos long, end long")
-    # Anchors of many places: every stretch around them is aggregated by its value.
-    rows = at(True).mapInArrow(_stretches, "h1 long, h2 long, contig_id long, pos long")
-    twice = rows.groupBy("h1", "h2").agg(F.min("contig_id").alias("_lo"), F.max("contig_id").alias("_hi")).where("_lo < _hi").select("h1", "h2")
-    matched = rows.join(twice, ["h1", "h2"], "left_semi").select("contig_id", "pos", (F.col("pos") + SPAN).alias("end"))
+    # The surroundings of anchors meet by code and are extended.
+    extended = at(False).mapInArrow(_contexts, _CONTEXT).repartition(tasks, "code").sortWithinPartitions("code").mapInArrow(_extend, "contig_id long, pos long, end long")
+    # Anchors of a hot code are widened to the whole span; the widened words are aggregated.
+    rows = at(True).mapInArrow(_stretches, ", ".join(f"{w} long" for w in _WIDE) + ", contig_id long, pos long")
+    twice = rows.groupBy(*_WIDE).agg(F.min("contig_id").alias("_lo"), F.max("contig_id").alias("_hi")).where("_lo < _hi").select(*_WIDE)
+    matched = rows.join(twice, _WIDE, "left_semi").select("contig_id", "pos", (F.col("pos") + SPAN).alias("end"))
     # Runs are first closed within chunks, so that the windows over whole contigs see runs, not positions.
     runs = extended.unionByName(matched).withColumn("_chunk", F.floor(F.col("pos") / CHUNK))
     runs = _islands(runs, Window.partitionBy("contig_id", "_chunk").orderBy("pos"), ["contig_id", "_chunk"])

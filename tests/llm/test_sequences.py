@@ -77,9 +77,10 @@ def test_spans_whole_table(spark, contigs):
     assert sum(r.shared_bases for r in share.values()) == sum(e - s for _, s, e in got)
 
 
-@pytest.mark.parametrize("rare", [1, 5, 64])
-def test_spans_long_contigs_repeats_and_dirt(spark, monkeypatch, rare):
-    monkeypatch.setattr(spans, "RARE", rare)
+@pytest.mark.parametrize("few, many", [(1, 5), (1, 1 << 16), (5, 1 << 16), (64, 1 << 16), (64, 20)])
+def test_spans_long_contigs_repeats_and_dirt(spark, monkeypatch, few, many):
+    monkeypatch.setattr(spans, "FEW", few)
+    monkeypatch.setattr(spans, "MANY", many)
     rnd = random.Random(3)
     new = lambda n: "".join(rnd.choices("ACGT", k=n))
     core, hot = new(40_000), "TTAGGG" * 40
@@ -91,6 +92,17 @@ def test_spans_long_contigs_repeats_and_dirt(spark, monkeypatch, rare):
     assert spans.shared_spans(df.limit(0)).collect() == []
 
 
+def test_spans_of_a_code_in_most_rows(spark, monkeypatch):
+    monkeypatch.setattr(spans, "LEAST", 20)
+    rnd = random.Random(9)
+    hot = "".join(rnd.choices("ACGT", k=130))
+    rows = [(k, "".join(rnd.choices("ACGT", k=rnd.randrange(90))) + hot + "".join(rnd.choices("ACGT", k=rnd.randrange(90)))) for k in range(1, 400)]
+    df = spark.createDataFrame([(c, None, s) for c, s in rows], SCHEMA).coalesce(1)
+    kinds = {r.kind: r["count"] for r in spans.anchors(df, 1 << 20).groupBy("kind").count().collect()}
+    assert kinds.get(2, 0) > 500 and kinds[1] >= 2  # settled where they are made
+    assert {tuple(r) for r in spans.shared_spans(df).collect()} == brute_spans(rows)
+
+
 def test_spans_of_contigs_with_other_bases(spark):
     rnd = random.Random(4)
     core = "".join(rnd.choices("ACGT", k=700))
