@@ -9,6 +9,10 @@ from strandloom.functions.codes import clean, codes, mixed, words
 __all__ = ["clean", "codes", "mixed", "pack", "unpack", "words"]
 
 
+#: The four codes of every byte.
+_FOUR = np.array([[(b >> s) & 3 for s in (6, 4, 2, 0)] for b in range(256)], np.uint64)
+
+
 def pack(v: np.ndarray) -> bytes:
     """Codes of bases as bytes: their number, four bases a byte, and the runs of undetermined ones (start and length)."""
     n = len(v)
@@ -24,10 +28,7 @@ def unpack(blob: bytes) -> np.ndarray:
     n = int(np.frombuffer(blob, np.int64, 1)[0])
     size = -(-n // 4)
     four = np.frombuffer(blob, np.uint8, size, 8)
-    v = np.empty((size, 4), np.uint64)
-    for k in range(4):
-        v[:, k] = (four >> (6 - 2 * k)) & 3
-    v = v.ravel()[:n]
+    v = _FOUR[four].ravel()[:n]
     edges = np.frombuffer(blob, np.int64, -1, 8 + size) if len(blob) > 8 + size else np.zeros(0, np.int64)
     for a, b in edges.reshape(-1, 2):
         v[a:b] = 4

@@ -29,7 +29,7 @@ WORD = SPAN - PERIOD + 1
 #: Bases beside an anchor that a stretch around it can reach.
 AROUND = SPAN - WORD
 #: Places of a code that are extended in pairs, and places that are handled in one task at all.
-FEW, MANY = 64, 1 << 16
+FEW, MANY = 64, 1 << 18
 #: Anchors that are looked at together when they are made.
 FLUSH = 1 << 20
 #: Places of a code among them that are never too many for a task.
@@ -114,17 +114,37 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield marks(*open_)
 
 
+def _gathered(parts: Iterator[tuple], names: list[str], rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """Tuples of columns (arrays of numpy) as batches of at least `rows` rows, but for the last."""
+    held, n = [], 0
+    for p in parts:
+        held.append(p)
+        n += len(p[0])
+        if n >= rows:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], names)
+            held, n = [], 0
+    if n:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], names)
+
+
 def chunks(contigs: DataFrame) -> DataFrame:
     """The contigs' packed bases in chunks (`contig_id`, `chunk`, `bases`) with the surroundings of their positions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batch_of = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary()))], ["contig_id", "chunk", "bases"])
+        rows = []
         for batch in batches:
             for cid, seq in zip(batch.column(0).to_pylist(), batch.column(1)):
                 v = codes(seq.as_py())
                 if cid is None or len(v) < SPAN:
                     continue
-                parts = [pack(v[max(0, k - AROUND) : k + CHUNK + SPAN]) for k in range(0, len(v), CHUNK)]
-                yield pa.RecordBatch.from_arrays([pa.array([cid] * len(parts), pa.int64()), pa.array(range(len(parts)), pa.int64()), pa.array(parts, pa.binary())], ["contig_id", "chunk", "bases"])
+                for k in range(0, len(v), CHUNK):
+                    rows.append((cid, k // CHUNK, pack(v[max(0, k - AROUND) : k + CHUNK + SPAN])))
+                    if len(rows) == 1024:
+                        yield batch_of(rows)
+                        rows = []
+        if rows:
+            yield batch_of(rows)
 
     return contigs.select("contig_id", "seq").mapInArrow(run, "contig_id long, chunk long, bases binary")
 
@@ -136,6 +156,10 @@ def _local(chunk: int, at: list[int]) -> tuple[int, np.ndarray]:
 
 
 def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield from _gathered(_stretch_columns(batches), [*_WIDE, "contig_id", "pos"])
+
+
+def _stretch_columns(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     """All stretches of SPAN bases around anchors: `w0`..`w3` (25 bases each), `contig_id`, `pos`, from (contig_id, chunk, bases, anchors)."""
     for batch in batches:
         for cid, chunk, bases, at in zip(*(batch.column(k).to_pylist() for k in range(4))):
@@ -149,8 +173,7 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             np.add.at(wanted, np.clip(local + 1, 0, n), -1)
             start = np.flatnonzero((np.cumsum(wanted)[:n] > 0) & clean(v, SPAN))
             quarter = words(v, 25)
-            parts = [pa.array(quarter[start + k].astype(np.int64)) for k in (0, 25, 50, 75)]
-            yield pa.RecordBatch.from_arrays([*parts, pa.array(np.full(len(start), cid, np.int64)), pa.array(start + first)], [*_WIDE, "contig_id", "pos"])
+            yield (*(quarter[start + k].astype(np.int64) for k in (0, 25, 50, 75)), np.full(len(start), cid, np.int64), start + first)
 
 
 _WIDE = ["w0", "w1", "w2", "w3"]
@@ -159,6 +182,10 @@ _CONTEXT = "code long, contig_id long, pos long, l0 long, l1 long, l2 long, r0 l
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield from _gathered(_context_columns(batches), ["code", "contig_id", "pos", *_SIDES, "la", "ra"])
+
+
+def _context_columns(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     """Anchors with the AROUND bases on either side: three codes each, nearest base first, and how many are clean."""
     third = AROUND // 3
     for batch in batches:
@@ -178,7 +205,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cols += [back[n - p + third * k].astype(np.int64) for k in range(3)]
             cols += [ahead[p + WORD + third * k].astype(np.int64) for k in range(3)]
             cols += [np.minimum(p - 1 - before[p - 1], AROUND).astype(np.int32), np.minimum(after[p + WORD] - p - WORD, AROUND).astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["code", "contig_id", "pos", *_SIDES, "la", "ra"])
+            yield tuple(cols)
 
 
 def _common(x: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
