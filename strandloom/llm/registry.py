@@ -94,8 +94,17 @@ _PIECES = """WITH RECURSIVE s AS (SELECT scaffold_id, max(upper(regexp_replace(s
     w AS (SELECT scaffold_id, n, mids, 1 AS piece_no, CAST(0 AS BIGINT) AS a, CAST(coalesce(list_max(list_filter(mids, lambda y: y > 150 AND y <= 4000)), 4000) AS BIGINT) AS b FROM m
         UNION ALL SELECT scaffold_id, n, mids, piece_no + 1, b - 150, CAST(CASE WHEN n - (b - 150) <= 4000 THEN n ELSE coalesce(list_max(list_filter(mids, lambda y: y > b AND y <= b + 3850)), b + 3850) END AS BIGINT) FROM w WHERE b < n)
     SELECT scaffold_id, CAST(piece_no AS INT) AS piece_no, a AS piece_start, b AS piece_end FROM w"""
+_TEXT = "c AS (SELECT contig_id, upper(regexp_replace(seq, '\\s', '', 'g')) AS b FROM contigs WHERE contig_id IS NOT NULL AND seq IS NOT NULL)"
+_SPANS = f"""WITH {_TEXT}, w AS (SELECT DISTINCT contig_id, i - 1 AS p, substr(b, i, 100) AS t FROM (SELECT contig_id, b, unnest(range(1, length(b) - 98)) AS i FROM c)), k AS (SELECT t FROM w WHERE NOT contains(t, 'N') GROUP BY 1 HAVING count(DISTINCT contig_id) > 1),
+    s AS (SELECT DISTINCT contig_id, p FROM w SEMI JOIN k USING (t)), g AS (SELECT *, CASE WHEN p <= lag(p) OVER (PARTITION BY contig_id ORDER BY p) + 100 THEN 0 ELSE 1 END AS nw FROM s), r AS (SELECT *, sum(nw) OVER (PARTITION BY contig_id ORDER BY p ROWS UNBOUNDED PRECEDING) AS gr FROM g),
+    sp AS (SELECT contig_id, min(p) AS span_start, max(p) + 100 AS span_end FROM r GROUP BY contig_id, gr)"""
 ORACLE = {
     "p1_found": _PIECES,
+    "p3_found": f"{_SPANS} SELECT * FROM sp",
+    "p3_shared_share": f"""{_SPANS}, ln AS (SELECT contig_id, max(length(regexp_replace(coalesce(seq, ''), '\\s', '', 'g'))) AS bases FROM contigs WHERE contig_id IS NOT NULL GROUP BY 1), gt AS (SELECT contig_id, sum(span_end - span_start) AS sb, count(*) AS n FROM sp GROUP BY 1)
+        SELECT contig_id, bases, CAST(coalesce(sb, 0) AS BIGINT) AS shared_bases, coalesce(n, 0) AS n_spans, CASE WHEN bases > 0 THEN round(coalesce(sb, 0) / bases, 6) ELSE 0.0 END AS share FROM ln LEFT JOIN gt USING (contig_id)""",
+    "p4_found": f"""WITH {_TEXT}, w AS (SELECT DISTINCT contig_id, substr(b, i, 16) AS t FROM (SELECT contig_id, b, unnest(range(1, length(b) - 14)) AS i FROM c) WHERE NOT contains(substr(b, i, 16), 'N')), n AS (SELECT contig_id, count(*) AS n FROM w GROUP BY 1),
+        o AS (SELECT x.contig_id AS a, y.contig_id AS b, count(*) AS o FROM w x JOIN w y ON x.t = y.t AND x.contig_id < y.contig_id GROUP BY 1, 2) SELECT a AS contig_a, b AS contig_b FROM o JOIN n p ON a = p.contig_id JOIN n q ON b = q.contig_id WHERE 5 * o >= 3 * (p.n + q.n - o)""",
     "p2_key_frequency": _FREQUENCY,
     "p2_found": f"SELECT hash_key, mark FROM ({_FREQUENCY}) WHERE mark IS NOT NULL",
     "p2_key_ngrams": f"""WITH x AS (SELECT contig_id, hash_key AS t1, lead(hash_key) OVER (PARTITION BY contig_id ORDER BY pos_offset) AS t2 FROM {_USABLE}) SELECT t1, NULL::BIGINT AS t2, count(*) AS n, count(DISTINCT contig_id) AS n_records FROM x GROUP BY 1
