@@ -181,6 +181,14 @@ def local_reads(mapped: DataFrame, read_set: DataFrame, parts: DataFrame, gaps:
     return span.select("*", bins("lo", "hi")).join(g, ["scaffold_id", "bin"]).where("lo < gap_end AND hi > gap_start").select("scaffold_id", "gap_no", "lib_no", "pair_id", "mate").distinct()
 
 
+def local_word_counts(local: DataFrame, read_set: DataFrame, k: int = 24) -> DataFrame:
+    """Words of the local reads of every gap: how many distinct ones, how many in all, and reads."""
+    reads = local.join(read_set.select("lib_no", "pair_id", "mate", "bases"), ["lib_no", "pair_id", "mate"]).select("scaffold_id", "gap_no", "bases")
+    per = coded_words(fanned(reads), ["scaffold_id", "gap_no"], k).groupBy("scaffold_id", "gap_no", canonical_code(F.col("code"), k).alias("code")).agg(F.count(F.lit(1)).alias("n"))
+    n = local.groupBy("scaffold_id", "gap_no").agg(F.count(F.lit(1)).alias("n_reads"))
+    return per.groupBy("scaffold_id", "gap_no").agg(F.count(F.lit(1)).alias("n_words"), F.sum("n").alias("total")).join(n, ["scaffold_id", "gap_no"])
+
+
 def assembled_gaps(gaps: DataFrame, scaffolds: DataFrame, local: DataFrame, read_set: DataFrame, k: int = 24, least: int = 1, rounds: int = 8) -> DataFrame:
     """Gaps closed by a path of words of their local reads: `scaffold_id`, `gap_no`, `filling`.
 

@@ -27,12 +27,17 @@ def depth(intervals: DataFrame, key: str, start: str, end: str) -> DataFrame:
 
 
 def islands(intervals: DataFrame, key: str, start: str, end: str, join_within: int = 0) -> DataFrame:
-    """Unions of intervals that overlap or lie at most `join_within` apart: `key`, `island_start`, `island_end`, `n`."""
-    w = Window.partitionBy(key).orderBy(start, end)
-    upto = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    rows = intervals.where(F.col(start) < F.col(end)).select(key, start, end).withColumn("_new", F.when(upto.isNull() | (F.col(start) > upto + join_within), 1).otherwise(0))
-    rows = rows.withColumn("_i", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.groupBy(key, "_i").agg(F.min(start).alias("island_start"), F.max(end).alias("island_end"), F.count(F.lit(1)).alias("n")).drop("_i")
+    """Unions of intervals that overlap or lie at most `join_within` apart: `key`, `island_start`, `island_end`, `n`.
+
+    Intervals are first united within stretches of their starts, so that a whole sequence is ordered by unions only.
+    """
+    rows = intervals.where(F.col(start) < F.col(end)).select(F.col(key).alias("k"), F.col(start).alias("a"), F.col(end).alias("b"), F.lit(1).cast("bigint").alias("n"), F.floor(F.col(start) / STRETCH).alias("s"))
+    for keys in (["k", "s"], ["k"]):
+        w = Window.partitionBy(*keys).orderBy("a", "b")
+        upto = F.max("b").over(w.rowsBetween(Window.unboundedPreceding, -1))
+        new = rows.withColumn("_new", F.when(upto.isNull() | (F.col("a") > upto + join_within), 1).otherwise(0)).withColumn("_i", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        rows = new.groupBy(*keys, "_i").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.sum("n").alias("n")).drop("_i")
+    return rows.select(F.col("k").alias(key), F.col("a").alias("island_start"), F.col("b").alias("island_end"), "n")
 
 
 def depth_summary(segments: DataFrame, key: str) -> DataFrame:

@@ -220,6 +220,18 @@ def separation(contacts: DataFrame, bins: DataFrame, reach: int = 4) -> DataFram
     return both.select("scaffold_id", "boundary", *[F.round(f"{c}_{d}", 6).alias(f"{c}_{d}") for d in ("down", "up") for c in ("s", "s0", "t")], evident.alias("evident"))
 
 
+def without_gap_bins(contacts: DataFrame, gaps: DataFrame, width: int) -> DataFrame:
+    """The map without the bins that lie wholly in a gap; the bins behind them move up."""
+    bins = gaps.select("scaffold_id", F.ceil(F.col("gap_start") / width).alias("a"), F.floor(F.col("gap_end") / width).alias("b")).where("a < b").select("scaffold_id", F.explode(F.sequence("a", F.col("b") - 1)).alias("p"))
+    asked = contacts.select("scaffold_id", F.explode(F.array("i", "j")).alias("q")).distinct()
+    n = below(bins.select("scaffold_id", "p"), asked, "scaffold_id")
+    gone = bins.withColumn("_g", F.lit(True))
+    rows = contacts
+    for c in ("i", "j"):
+        rows = rows.join(gone.select("scaffold_id", F.col("p").alias(c)), ["scaffold_id", c], "left_anti").join(n.select("scaffold_id", F.col("q").alias(c), F.col("n").alias(f"_{c}")), ["scaffold_id", c], "left")
+    return rows.select("scaffold_id", (F.col("i") - F.coalesce("_i", F.lit(0))).alias("i"), (F.col("j") - F.coalesce("_j", F.lit(0))).alias("j"), "n")
+
+
 def depletion(contacts: DataFrame, ideal: DataFrame, bins: DataFrame, reach: int = 4) -> DataFrame:
     """Per boundary, how much less contact crosses it than the mean map has: sum over distances 1..reach of (x - ideal)^2 / ideal
     where x < ideal; x is the mean of the cells of that distance that cross (those outside the map count 0)."""

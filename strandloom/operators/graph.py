@@ -29,16 +29,19 @@ def degrees(edge_rows: DataFrame) -> DataFrame:
     return edge_rows.groupBy("src", "direction").agg(F.count(F.lit(1)).alias("degree"), F.sum("num_link").alias("links"))
 
 
-def conflicts(edge_rows: DataFrame, lengths: DataFrame, tolerance: int = 32) -> DataFrame:
+def conflicts(edge_rows: DataFrame, lengths: DataFrame, tolerance: int = 32, width: int = 4096) -> DataFrame:
     """Pairs of edges of one side whose targets would lie over each other by more than `tolerance` bases (`dst1` < `dst2`).
 
-    Seed keys are capped before links are made, which bounds the edges of a side that meet here.
+    Edges meet by bins of the places their targets would take, so that those of a hub that lie apart never do; a pair is stated in
+    the first bin both are in. Pairs that do lie over each other are the result.
     """
-    rows = edge_rows.join(lengths.select(F.col("contig_id").alias("dst"), F.col("len")), "dst")
-    a = rows.select("src", "direction", F.col("dst").alias("dst1"), F.col("num_link").alias("n1"), F.col("gap").alias("g1"), F.col("len").alias("l1"))
-    b = rows.select("src", "direction", F.col("dst").alias("dst2"), F.col("num_link").alias("n2"), F.col("gap").alias("g2"), F.col("len").alias("l2"))
+    end = F.col("gap") + F.col("len")
+    rows = edge_rows.join(lengths.select(F.col("contig_id").alias("dst"), F.col("len")), "dst").where("len > 0")
+    rows = rows.withColumn("bin", F.explode(F.sequence(F.floor(F.col("gap") / width), F.floor((end - 1) / width))))
+    side = lambda i: rows.select("src", "direction", "bin", F.col("dst").alias(f"dst{i}"), F.col("num_link").alias(f"n{i}"), F.col("gap").alias(f"g{i}"), F.col("len").alias(f"l{i}"))
     over = F.least(F.col("g1") + F.col("l1"), F.col("g2") + F.col("l2")) - F.greatest("g1", "g2")
-    return a.join(b, ["src", "direction"]).where((F.col("dst1") < F.col("dst2")) & (over > tolerance)).select("src", "direction", "dst1", "n1", "dst2", "n2", over.alias("overlap"))
+    met = side(1).join(side(2), ["src", "direction", "bin"]).where((F.col("dst1") < F.col("dst2")) & (over > tolerance) & (F.col("bin") == F.floor(F.greatest("g1", "g2") / width)))
+    return met.select("src", "direction", "dst1", "n1", "dst2", "n2", over.alias("overlap"))
 
 
 def drop_erroneous(edge_rows: DataFrame, conflict_rows: DataFrame, rate: float = 0.125) -> DataFrame:
@@ -58,6 +61,14 @@ def repeats(conflict_rows: DataFrame, nodes: DataFrame, factor: float = 1.5) ->
     return rows.where(high | F.col("n_conflicts").isNotNull()).select("contig_id", "cov", high.alias("high_coverage"), F.coalesce("n_conflicts", F.lit(0)).cast("bigint").alias("n_conflicts"))
 
 
+def severe_repeats(edge_rows: DataFrame, conflict_rows: DataFrame, nodes: DataFrame, factor: float = 1.5, sides: int = 3, least: int = 2) -> DataFrame:
+    """Nodes above `factor` times the mean coverage, with at least `least` conflicts, or with at least `sides` edges on one side."""
+    mean = nodes.where("len > 0").agg((F.sum(F.col("cov") * F.col("len")) / F.sum("len")).alias("m")).scalar()
+    some = conflict_rows.groupBy("src").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("src")
+    many = degrees(edge_rows).where(F.col("degree") >= sides).select("src")
+    return nodes.where(F.col("cov") > factor * mean).select("contig_id").unionByName(nodes.join(some.unionByName(many).select(F.col("src").alias("contig_id")), "contig_id", "left_semi").select("contig_id")).distinct()
+
+
 def reciprocal(edge_rows: DataFrame) -> DataFrame:
     """Joins of nodes that are each other's only neighbour on the facing sides: `id1`, `id2` signed, |id1| < |id2|, `gap`."""
     single = degrees(edge_rows).where("degree = 1").select("src", "direction")

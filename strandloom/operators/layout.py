@@ -17,11 +17,18 @@ def placed(parts: DataFrame) -> DataFrame:
     )
 
 
-def offsets(counts: DataFrame, key: str, n: str, width: int = 4096) -> DataFrame:
-    """`key` and the sum `before` of `n` over all lower keys; in two steps, so that no task orders all keys."""
-    rows = counts.select(key, n).withColumn("_b", F.floor(F.col(key) / width))
-    sums = rows.groupBy("_b").agg(F.sum(n).alias("_n"))
-    base = sums.select("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+def offsets(counts: DataFrame, key: str, n: str) -> DataFrame:
+    """`key` and the sum `before` of `n` over all lower keys; in two steps, so that no task orders all keys.
+
+    Keys are dealt to partitions by range, however sparse they are; the ranges are kept in the shared folder, as both steps need
+    the same ones, and one row per partition is ordered as a whole.
+    """
+    from strandloom.plans.shared import cut
+
+    parts = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = cut(counts.select(key, n).repartitionByRange(parts, key).withColumn("_b", F.spark_partition_id()))
+    sums = rows.groupBy("_b").agg(F.sum(n).alias("_n"), F.min(key).alias("_k"))
+    base = sums.select("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
     inner = F.coalesce(F.sum(n).over(Window.partitionBy("_b").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return rows.withColumn("_in", inner).join(base, "_b").select(key, (F.col("_base") + F.col("_in")).alias("before"))
 
@@ -73,6 +80,14 @@ def divide_at_gaps(parts: DataFrame, max_gap: int = 150) -> DataFrame:
     return numbered.groupBy("scaffold_id", "piece_no").agg(F.count(F.lit(1)).alias("n_parts"), F.min("comp_start").alias("piece_start"), F.max("comp_end").alias("piece_end"))
 
 
+def piece_coverage(parts: DataFrame, contigs: DataFrame, max_gap: int = 150) -> DataFrame:
+    """Length-weighted mean coverage of every piece that `divide_at_gaps` makes (6 digits)."""
+    w = Window.partitionBy("scaffold_id").orderBy("part_no", "comp_start", "comp_end", "contig_ref")
+    numbered = parts.withColumn("piece_no", 1 + F.sum(F.when(F.col("gap") > max_gap, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = numbered.join(contigs.select("contig_id", "len", "cov"), "contig_id")
+    return rows.groupBy("scaffold_id", "piece_no").agg(F.sum("len").alias("bases"), F.round(F.sum(F.col("len") * F.col("cov")) / F.nullif(F.sum("len"), F.lit(0)), 6).alias("coverage"))
+
+
 def sparse_ends(parts: DataFrame) -> DataFrame:
     """End parts whose adjacent gap is longer than the part itself; scaffolds of one part have none."""
     w = Window.partitionBy("scaffold_id").orderBy("part_no", "comp_start", "comp_end", "contig_ref")

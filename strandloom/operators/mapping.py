@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.functions.codes import coded_words
-from strandloom.functions.seq import K
+from strandloom.functions.seq import K, revcomp
 from strandloom.operators.skew import pairs_within, usable_postings
 from strandloom.sources.tables import fanned
 
@@ -58,6 +58,40 @@ def map_reads(votes: DataFrame) -> DataFrame:
     return top.agg(F.count(F.lit(1)).alias("_n"), F.min("signed_id").alias("signed_id"), F.min("diagonal").alias("diagonal")).where("_n = 1").drop("_n")
 
 
+def map_reads_with_alleles(votes: DataFrame, alleles: DataFrame) -> DataFrame:
+    """As `map_reads`, but two alleles of one place do not compete: `rep` is the primary allele (or the contig itself).
+
+    A read whose best votes all lie on alleles of one `rep` is placed on the primary if that is among them, else on the lowest
+    signed id; several best places on that contig leave it unplaced.
+    """
+    reps = alleles.where("NOT is_primary").groupBy(F.col("contig_id").alias("_c")).agg(F.min("partner").alias("rep"))
+    rows = votes.join(reps, F.abs("signed_id") == F.col("_c"), "left").withColumn("rep", F.coalesce("rep", F.abs("signed_id")))
+    key = ["lib_no", "pair_id", "mate"]
+    best = rows.groupBy(*key).agg(F.max("votes").alias("votes"))
+    top = rows.join(best, [*key, "votes"]).groupBy(*key, "votes", "signed_id").agg(F.count(F.lit(1)).alias("_n"), F.min("diagonal").alias("diagonal"), F.min("rep").alias("rep"))
+    first = F.min(F.struct((F.abs("signed_id") != F.col("rep")).alias("_o"), "signed_id", "diagonal", "_n"))
+    got = top.groupBy(*key, "votes").agg(F.min("rep").alias("rep"), F.max("rep").alias("_r"), first.alias("f")).where("rep = _r AND f._n = 1")
+    return got.select(*key, "votes", "f.signed_id", "f.diagonal", "rep")
+
+
+def ungapped(votes: DataFrame, read_set: DataFrame, contigs: DataFrame, least: float = 0.9) -> DataFrame:
+    """The place with most equal bases of each read, of all places that have votes, without gaps; a tie leaves the read unplaced.
+
+    `n_clean` bases of the read on the contig are no N, `n_same` of them equal; at least a share of `least` must.
+    """
+    key = ["lib_no", "pair_id", "mate"]
+    text = read_set.select(*key, "bases")
+    rows = votes.select(*key, "signed_id", "diagonal").join(text, key).withColumn("contig_id", F.abs("signed_id")).join(contigs.select("contig_id", F.col("bases").alias("b"), "len"), "contig_id")
+    t = F.when(F.col("signed_id") < 0, revcomp(F.col("bases"))).otherwise(F.col("bases"))
+    rows = rows.withColumn("t", t).withColumn("lo", F.greatest(F.col("diagonal"), F.lit(0))).withColumn("n", F.least(F.col("diagonal") + F.length("t"), F.col("len")) - F.col("lo"))
+    x, y = F.expr("substring(t, cast(lo - diagonal as int) + 1, cast(n as int))"), F.expr("substring(b, cast(lo as int) + 1, cast(n as int))")
+    same = F.size(F.filter(F.arrays_zip(F.split(x, "").alias("x"), F.split(y, "").alias("y")), lambda p: (p["x"] == p["y"]) & (p["x"] != "N") & (p["x"] != "")))
+    good = rows.select(*key, "signed_id", "diagonal", F.length(F.translate(x, "N", "")).cast("bigint").alias("n_clean"), same.cast("bigint").alias("n_same")).where((F.col("n_clean") > 0) & (F.col("n_same") >= least * F.col("n_clean")))
+    best = good.groupBy(*key).agg(F.max("n_same").alias("n_same"))
+    top = good.join(best, [*key, "n_same"]).groupBy(*key, "n_same").agg(F.count(F.lit(1)).alias("_n"), *[F.min(c).alias(c) for c in ("signed_id", "diagonal", "n_clean")]).where("_n = 1")
+    return top.select(*key, "signed_id", "diagonal", "n_clean", "n_same")
+
+
 def multi_reports(votes: DataFrame) -> DataFrame:
     """All contigs a read has votes on, with the vote-weighted mean diagonal, rounded."""
     mean = F.sum(F.col("diagonal") * F.col("votes")) / F.sum("votes")

@@ -162,6 +162,14 @@ def forks(edges: DataFrame) -> DataFrame:
     return rows.where("_n = 2 AND a < b").drop("_n")
 
 
+def unique_conflicts(conflict_rows: DataFrame) -> DataFrame:
+    """Pairs `a` < `b` of nodes that conflict with each other, on any side, and with no other node."""
+    one = conflict_rows.select(F.col("dst1").alias("a"), F.col("dst2").alias("b")).distinct()
+    both = one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    only = both.groupBy("a").agg(F.count(F.lit(1)).alias("_n"), F.min("b").alias("b")).where("_n = 1").select("a", "b")
+    return only.join(only.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_semi").where("a < b")
+
+
 def cut_tips(edges: DataFrame, contigs: DataFrame, max_len: int, max_ratio: float = 0.5) -> DataFrame:
     """Edges left when short nodes of low coverage with edges on one side only are cut, again and again until there are none.
 

@@ -19,9 +19,15 @@ def dense(hist: DataFrame, key: str) -> DataFrame:
 
 
 def peaks(hist: DataFrame, key: str, half: int = 50) -> DataFrame:
-    """The value around which a window of 2 half + 1 bins holds most rows (lowest of a tie), with that sum."""
-    w = Window.partitionBy(key).orderBy("value").rangeBetween(-half, half)
-    sums = dense(hist, key).withColumn("mass", F.sum("n").over(w))
+    """The value around which a window of 2 half + 1 bins holds most rows (lowest of a tie), with that sum.
+
+    The sum only rises where a value enters the window, so that the lowest best place is `half` below a value (or the lowest
+    value): only these places are looked at, not every bin up to the highest value.
+    """
+    low = hist.groupBy(key).agg(F.min("value").alias("_lo"))
+    places = hist.join(low, key).select(key, F.greatest(F.col("value") - half, F.col("_lo")).alias("value")).distinct()
+    rows = hist.select(key, "value", "n", F.lit(False).alias("_at")).unionByName(places.select(key, "value", F.lit(0).cast("bigint").alias("n"), F.lit(True).alias("_at")))
+    sums = rows.withColumn("mass", F.sum("n").over(Window.partitionBy(key).orderBy("value").rangeBetween(-half, half))).where("_at")
     return sums.groupBy(key).agg(F.max(F.struct("mass", (-F.col("value")).alias("v"))).alias("m")).select(key, (-F.col("m.v")).alias("peak"), F.col("m.mass").alias("mass"))
 
 
@@ -67,6 +73,14 @@ def left_minimum(hist: DataFrame, window: int = 3) -> DataFrame:
     return rows.where("_next >= mass OR _next IS NULL").groupBy("_k").agg(F.min(F.struct("value", "mass")).alias("m")).select("m.value", "m.mass")
 
 
+def length_quantiles(rows: DataFrame, ps: tuple[float, ...]) -> DataFrame:
+    """`p`, `len`: the lowest length that a share p of the rows does not exceed. Lengths are counted before they are ordered."""
+    by = rows.groupBy("len").agg(F.count(F.lit(1)).alias("c"))
+    total = by.agg(F.sum("c")).scalar()
+    run = by.withColumn("_run", F.sum("c").over(Window.orderBy("len").rowsBetween(Window.unboundedPreceding, 0))).withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in ps])))
+    return run.where(F.col("_run") >= F.greatest(F.ceil(F.col("p") * total), F.lit(1))).groupBy("p").agg(F.min("len").alias("len"))
+
+
 def weighted_mean(nodes: DataFrame, keep: str = "true") -> DataFrame:
     """Length-weighted coverage of the nodes, and again of those within half and twice it (two passes), 6 digits."""
     rows = nodes.where("len > 0").where(keep)

@@ -71,6 +71,14 @@ def stretches(counts: DataFrame, joins: DataFrame, k: int = 21) -> DataFrame:
     return got.select(word_text(F.col("stretch"), k).alias("stretch"), "n_words", (F.col("n_words") + k - 1).cast("bigint").alias("bases"), "coverage")
 
 
+def reads_on_ends(read_set: DataFrame, contigs: DataFrame, k: int = 31) -> DataFrame:
+    """Reads that hold the first or last k bases of a contig, on either strand, and how many of their words do."""
+    both = contigs.where(F.length("bases") >= k).select(F.explode(F.array(F.substring("bases", 1, k), F.expr(f"right(bases, {k})"))).alias("bases"))
+    own = coded_words(both, [], k).select(canonical_code(F.col("code"), k).alias("code")).distinct()
+    rows = coded_words(fanned(read_set, "pair_id", "mate"), ["lib_no", "pair_id", "mate"], k).withColumn("code", canonical_code(F.col("code"), k))
+    return rows.join(own, "code", "left_semi").groupBy("lib_no", "pair_id", "mate").agg(F.count(F.lit(1)).alias("n"))
+
+
 def ends(contigs: DataFrame, k: int = 31) -> DataFrame:
     """First and last word of every contig of at least k bases; null where it holds an N."""
     clean = lambda w: F.when(~F.contains(w, F.lit("N")), w)

@@ -167,7 +167,10 @@ def paf_rates(spark, d):
     return hits_of(spark, d).agg(F.round(F.sum("ins") / q, 9).alias("insertion_rate"), F.round(F.sum("del") / t, 9).alias("deletion_rate"), F.round(q / t, 9).alias("stretch"), F.count(F.lit(1)).alias("n_hits"))
 
 
-@query()
+@query(f"""WITH {ALIGN}, oh AS (SELECT *, row_number() OVER (PARTITION BY q_name ORDER BY match_len DESC, q_end - q_start DESC, q_start, t_name, t_start) AS i FROM h),
+    kb AS (SELECT q_name, i, TRUE AS keep, [q_start, q_end] AS kept FROM oh WHERE i = 1 UNION ALL SELECT q_name, i, ok, CASE WHEN ok THEN kept || [q_start, q_end] ELSE kept END FROM (SELECT oh.q_name, oh.i, kept, q_start, q_end,
+    len(list_filter(range(1, len(kept), 2), lambda k: least(q_end, kept[k + 1]) - greatest(q_start, kept[k]) > 32)) = 0 AS ok FROM kb JOIN oh ON oh.q_name = kb.q_name AND oh.i = kb.i + 1))
+    SELECT * EXCLUDE (i, cg) FROM oh SEMI JOIN (SELECT q_name, i FROM kb WHERE keep) USING (q_name, i)""")
 def paf_best_hits(spark, d):
     return mapping.keep_best_hits(hits_of(spark, d))
 
@@ -222,7 +225,8 @@ def sparse_ends(spark, d):
     return layout.sparse_ends(parts_of(spark, d))
 
 
-@query()
+@query(f"""WITH {PARTS}, {CONTIGS}, z AS (SELECT p.*, coalesce(nullif(CASE WHEN strand = '-' THEN {RC('bases')} ELSE bases END, ''), repeat('N', CAST(greatest(comp_end - comp_start, 0) AS INT))) AS sq FROM p LEFT JOIN c USING (contig_id))
+    SELECT scaffold_id, string_agg(repeat('N', CAST(greatest(coalesce(gap, 0), 0) AS INT)) || substr(sq, 1 + CAST(greatest(-coalesce(gap, 0), 0) AS INT)), '' ORDER BY part_no, comp_start, comp_end, contig_ref) AS bases FROM z GROUP BY 1""")
 def built_scaffolds(spark, d):
     return layout.build_sequences(parts_of(spark, d), contigs_of(spark, d))
 
@@ -464,7 +468,9 @@ def covered_islands(spark, d):
     return coverage.islands(hits_of(spark, d), "t_name", "t_start", "t_end")
 
 
-@query()
+@query(f"""WITH {ALIGN}, {DEPTH}, {CONTIGS}, tx AS (SELECT name AS t_name, max(bases) AS bases FROM c WHERE name IS NOT NULL GROUP BY 1), wi AS (SELECT t_name, bases, unnest(range(0, (length(bases) - 1) // 1000 + 1)) AS win FROM tx WHERE bases <> ''), cu AS (SELECT *, unnest(range(seg_start // 1000, (seg_end - 1) // 1000 + 1)) AS win FROM seg),
+    ms AS (SELECT t_name, win, sum((least(seg_end, (win + 1) * 1000) - greatest(seg_start, win * 1000)) * depth) AS mass FROM cu GROUP BY 1, 2), nn AS (SELECT t_name, win, length(substr(bases, win * 1000 + 1, 1000)) AS n, length(replace(substr(bases, win * 1000 + 1, 1000), 'N', '')) AS nc FROM wi)
+    SELECT t_name, win, round(coalesce(mass, 0) / n, 6) AS depth, round(coalesce(mass, 0) / nullif(nc, 0), 6) AS scaled_depth FROM nn LEFT JOIN ms USING (t_name, win)""")
 def gap_compensated_depth(spark, d):
     c = contigs_of(spark, d).where("name IS NOT NULL").groupBy("name").agg(F.max("bases").alias("bases")).withColumnRenamed("name", "t_name")
     return coverage.gap_compensated(physical_coverage(spark, d), c, "t_name")
@@ -503,7 +509,8 @@ def word_histogram(spark, d):
     return words.occurrence_histogram(words.word_counts(reads_of(spark, d)))
 
 
-@query()
+@query(f"""WITH {WORDS}, hs AS (SELECT n AS value, count(*) AS m FROM k GROUP BY 1), dn AS (SELECT value, coalesce(m, 0) AS m FROM (SELECT unnest(range((SELECT min(value) FROM hs), (SELECT max(value) FROM hs) + 1)) AS value) LEFT JOIN hs USING (value)),
+    ms AS (SELECT value, sum(m) OVER (ORDER BY value RANGE BETWEEN CURRENT ROW AND 2 FOLLOWING) AS mass FROM dn), nx2 AS (SELECT *, lead(mass) OVER (ORDER BY value) AS nx FROM ms) SELECT value, CAST(mass AS BIGINT) AS mass FROM nx2 WHERE nx >= mass OR nx IS NULL ORDER BY value LIMIT 1""")
 def word_left_minimum(spark, d):
     return stats.left_minimum(word_histogram(spark, d))
 
@@ -555,17 +562,23 @@ def hetero_coverage(spark, d):
     return stats.weighted_mean(contigs_of(spark, d), "kind IN ('primary_bubble', 'secondary_bubble')")
 
 
-@query()
+PILE = f"""{MAPPED}, {CONTIGS}, og AS (SELECT abs(signed_id) AS contig_id, diagonal, CASE WHEN signed_id < 0 THEN {RC('r.bases')} ELSE r.bases END AS t FROM m JOIN r USING (lib_no, pair_id, mate)), on3 AS (SELECT og.contig_id, greatest(diagonal, 0) AS lo, least(diagonal + length(t), len) - greatest(diagonal, 0) AS n, diagonal, t, bases FROM og JOIN c USING (contig_id)),
+    cu AS (SELECT row_number() OVER () AS id, contig_id, lo, n, substr(t, lo - diagonal + 1, n) AS rs, substr(bases, lo + 1, n) AS cs FROM on3 WHERE n > 0), ex AS (SELECT id, contig_id, lo, unnest(range(0, n)) AS i, rs, cs FROM cu), by1 AS (SELECT id, contig_id, lo + i AS pos, substr(rs, i + 1, 1) AS base, substr(cs, i + 1, 1) AS own FROM ex),
+    gd AS (SELECT id, count(*) FILTER (WHERE base <> 'N') > 0 AND count(*) FILTER (WHERE base = own) >= 0.9 * count(*) FILTER (WHERE base <> 'N') AS good FROM by1 GROUP BY 1), pb AS (SELECT contig_id, pos, base, count(*) FILTER (WHERE good) AS g, count(*) FILTER (WHERE NOT good) AS o FROM by1 JOIN gd USING (id) GROUP BY 1, 2, 3),
+    pl2 AS (SELECT contig_id, CAST(pos AS BIGINT) AS pos, CAST(sum(g) AS BIGINT) AS n_good, CAST(sum(o) AS BIGINT) AS n_odd, (list(base ORDER BY g DESC, base) FILTER (WHERE g > 0 AND base <> 'N'))[1] AS base FROM pb GROUP BY 1, 2)"""
+
+
+@query(f"WITH {PILE} SELECT * FROM pl2")
 def pile_up(spark, d):
     return words.pile_up(mapped_of(spark, d), reads_of(spark, d), contigs_of(spark, d))
 
 
-@query()
+@query(f"WITH {PILE} SELECT contig_id, pos, n_good, n_odd FROM pl2 WHERE n_odd > n_good")
 def masked_positions(spark, d):
     return words.masked_positions(pile_up(spark, d))
 
 
-@query()
+@query(f"WITH {PILE}, dp AS (SELECT contig_id, min(pos) AS a, max(pos) AS b FROM pl2 WHERE n_good + n_odd >= 2 GROUP BY 1) SELECT contig_id, coalesce(a, len) AS left_low, coalesce(len - 1 - b, len) AS right_low FROM c LEFT JOIN dp USING (contig_id) WHERE len > 0")
 def low_ends(spark, d):
     return words.low_ends(pile_up(spark, d), contigs_of(spark, d))
 

@@ -62,12 +62,11 @@ def oriented_pairs(read_set: DataFrame, libraries: DataFrame) -> DataFrame:
 
 def tag_dictionary(read_set: DataFrame) -> DataFrame:
     """Dense numbers of the tags, in order, with their reads; numbered in two steps so that no task orders all tags."""
+    from strandloom.operators.layout import offsets
+
     per_tag = read_set.where("tag IS NOT NULL").groupBy("tag").agg(F.count(F.lit(1)).alias("n_reads"))
-    bucket = F.floor(F.col("tag") / F.lit(4096))
-    sizes = per_tag.groupBy(bucket.alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
-    base = sizes.select("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
-    numbered = per_tag.withColumn("_b", bucket).withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy("tag")))
-    return numbered.join(base, "_b").select("tag", (F.col("_base") + F.col("_r")).alias("tag_no"), "n_reads")
+    before = offsets(per_tag.select("tag", F.lit(1).cast("bigint").alias("one")), "tag", "one")
+    return per_tag.join(before, "tag").select("tag", (F.col("before") + 1).alias("tag_no"), "n_reads")
 
 
 def alignments(paf_hits: DataFrame) -> DataFrame:
