@@ -185,27 +185,45 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from _gathered(_context_columns(batches), ["code", "contig_id", "pos", *_SIDES, "la", "ra"])
 
 
-def _context_columns(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """Anchors with the AROUND bases on either side: three codes each, nearest base first, and how many are clean."""
+def _context_columns(batches: Iterator[pa.RecordBatch], bases_at_once: int = 1 << 18) -> Iterator[tuple]:
+    """Anchors with the AROUND bases on either side: three codes each, nearest base first, and how many are clean.
+
+    Chunks are coded together, with undetermined bases between them.
+    """
     third = AROUND // 3
+    pad = np.full(AROUND, 4, np.uint64)
+
+    def columns(pieces: list[np.ndarray], places: list[np.ndarray], ids: list[int], firsts: list[int]) -> tuple:
+        v, p = np.concatenate(pieces), np.concatenate(places)
+        count = [len(x) for x in places]
+        cid, first = np.repeat(np.array(ids, np.int64), count), np.repeat(np.array(firsts, np.int64), count)
+        ok = clean(v, WORD)[p]  # a contig may have been delivered with other bases too
+        p, cid, first, n = p[ok], cid[ok], first[ok], len(v)
+        bad, place = v == 4, np.arange(n)
+        before = np.maximum.accumulate(np.where(bad, place, -1))
+        after = np.minimum.accumulate(np.where(bad, place, n)[::-1])[::-1]
+        back, ahead = words(v[::-1], third), words(v, third)
+        cols = [words(v, WORD)[p].astype(np.int64), cid, p + first]
+        cols += [back[n - p + third * k].astype(np.int64) for k in range(3)]
+        cols += [ahead[p + WORD + third * k].astype(np.int64) for k in range(3)]
+        cols += [np.minimum(p - 1 - before[p - 1], AROUND).astype(np.int32), np.minimum(after[p + WORD] - p - WORD, AROUND).astype(np.int32)]
+        return tuple(cols)
+
+    pieces, places, ids, firsts, held = [pad], [], [], [], AROUND
     for batch in batches:
         for cid, chunk, bases, at in zip(*(batch.column(k).to_pylist() for k in range(4))):
             first, p = _local(chunk, at)
-            pad = np.full(AROUND, 4, np.uint64)
-            v = np.concatenate([pad, unpack(bases), pad])
-            p, n = p + AROUND, len(v)
-            p = p[(p >= AROUND) & (p + WORD <= n - AROUND)]  # a contig may have been delivered with other bases too
-            p = p[clean(v, WORD)[p]] if len(p) else p
-            bad = v == 4
-            place = np.arange(n)
-            before = np.maximum.accumulate(np.where(bad, place, -1))
-            after = np.minimum.accumulate(np.where(bad, place, n)[::-1])[::-1]
-            back, ahead = words(v[::-1], third), words(v, third)
-            cols = [words(v, WORD)[p].astype(np.int64), np.full(len(p), cid, np.int64), p - AROUND + first]
-            cols += [back[n - p + third * k].astype(np.int64) for k in range(3)]
-            cols += [ahead[p + WORD + third * k].astype(np.int64) for k in range(3)]
-            cols += [np.minimum(p - 1 - before[p - 1], AROUND).astype(np.int32), np.minimum(after[p + WORD] - p - WORD, AROUND).astype(np.int32)]
-            yield tuple(cols)
+            v = unpack(bases)
+            places.append(p[(p >= 0) & (p + WORD <= len(v))] + held)
+            pieces += [v, pad]
+            ids.append(cid)
+            firsts.append(first - held)
+            held += len(v) + AROUND
+            if held >= bases_at_once:
+                yield columns(pieces, places, ids, firsts)
+                pieces, places, ids, firsts, held = [pad], [], [], [], AROUND
+    if ids:
+        yield columns(pieces, places, ids, firsts)
 
 
 def _common(x: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
