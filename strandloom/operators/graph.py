@@ -184,6 +184,13 @@ def cross_support(edge_rows: DataFrame, evidence: DataFrame, ratio: float = 0.25
     return got.withColumn("accepted", F.when((strong > 0) & (weak <= ratio * strong), F.when(F.col("parallel") > F.col("crossed"), "parallel").otherwise("crossed")))
 
 
+def resolved(crosses: DataFrame) -> DataFrame:
+    """The two ways through every centre of `cross_support` that has an accepted way: `src`, `left`, `right`."""
+    far = F.when(F.col("accepted") == "parallel", F.array("r1", "r2")).otherwise(F.array("r2", "r1"))
+    rows = crosses.where("accepted IS NOT NULL").select("src", F.explode(F.arrays_zip(F.array("l1", "l2").alias("l"), far.alias("r"))).alias("w"))
+    return rows.select("src", F.col("w.l").alias("left"), F.col("w.r").alias("right"))
+
+
 def greedy_joins(edge_rows: DataFrame) -> DataFrame:
     """Joins accepted in order of links (then nearer, then lower ids), each side of a node used once: `id1`, `id2` signed, `num_link`, `gap`.
 

@@ -117,6 +117,11 @@ def drop_blocked(pairs: DataFrame, blocked: DataFrame) -> DataFrame:
     return pairs.withColumns({"_a": lo, "_b": hi}).join(gone, ["_a", "_b"], "left_anti").select(pairs.columns)
 
 
+def shared_pairs(pairs: DataFrame) -> DataFrame:
+    """Pairs with a mate on either of two contigs: `a` < `b`, `n`."""
+    return pairs.where("abs(id1) <> abs(id2)").groupBy(F.least(F.abs("id1"), F.abs("id2")).alias("a"), F.greatest(F.abs("id1"), F.abs("id2")).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def insert_lengths(pairs: DataFrame) -> DataFrame:
     """Insert lengths of pairs that face each other on one contig."""
     return pairs.where("id1 = -id2").select("lib_no", "pair_id", F.abs("id1").alias("contig_id"), (F.abs(F.col("place1") - F.col("place2")) + 1).alias("insert_len"))

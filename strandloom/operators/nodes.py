@@ -61,6 +61,18 @@ def overlap_links(overlaps: DataFrame) -> DataFrame:
     return rows.groupBy("id1", "id2").agg((-F.max("overlap")).alias("gap"))
 
 
+def end_overlaps(overlap_rows: DataFrame, parts: DataFrame) -> DataFrame:
+    """Overlaps (as links) between the contigs at the facing ends of two scaffolds: signed scaffolds |a| < |b|, `overlap`."""
+    w = Window.partitionBy("scaffold_id")
+    up, down = w.orderBy(*ORDER), w.orderBy(*[F.desc(c) for c in ORDER])
+    at = parts.select("scaffold_id", "contig_ref", F.row_number().over(up).alias("i"), F.row_number().over(down).alias("j"))
+    node = lambda s, cond: at.where(cond).select((F.col("scaffold_id") * s).alias("node"), (F.col("contig_ref") * s).alias("c"))
+    right, left = node(1, "j = 1").unionByName(node(-1, "i = 1")), node(1, "i = 1").unionByName(node(-1, "j = 1"))
+    both = overlap_rows.select("id1", "id2", "gap").unionByName(overlap_rows.select((-F.col("id2")).alias("id1"), (-F.col("id1")).alias("id2"), "gap"))
+    rows = both.join(right.select(F.col("node").alias("a"), F.col("c").alias("id1")), "id1").join(left.select(F.col("node").alias("b"), F.col("c").alias("id2")), "id2")
+    return rows.where("abs(a) < abs(b)").select("a", "b", (-F.col("gap")).alias("overlap"))
+
+
 def edges_with_overlaps(grouped: DataFrame, overlaps: DataFrame) -> DataFrame:
     """Edges of links and overlaps together: `num_link` counts links only, an overlap gives the gap and `is_overlap`."""
     o = overlap_links(overlaps).withColumnRenamed("gap", "_o")

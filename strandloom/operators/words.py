@@ -123,6 +123,23 @@ def end_overlaps(contigs: DataFrame) -> DataFrame:
     return rows.groupBy((F.col("a") * F.col("sa")).alias("a"), (F.col("b") * F.col("sb")).alias("b")).agg(F.max("n").cast("bigint").alias("overlap"))
 
 
+def linked_overlaps(grouped: DataFrame, contigs: DataFrame, low: int, high: int, mismatch: float) -> DataFrame:
+    """The longest overlap of `low` to `high` bases between the right end of `id1` and the left end of `id2`, of linked pairs only.
+
+    At most a share `mismatch` of the bases may differ; an overlap with an N in the second contig is none; null where there is none.
+    """
+    two = contigs.select("contig_id", "bases", F.explode(F.array(F.lit(1), F.lit(-1))).alias("s")).select((F.col("contig_id") * F.col("s")).alias("id"), F.when(F.col("s") > 0, F.col("bases")).otherwise(revcomp(F.col("bases"))).alias("t"))
+    ends = two.select("id", F.expr(f"right(t, {high})").alias("tail"), F.expr(f"left(t, {high})").alias("head"))
+    rows = grouped.select("id1", "id2").join(ends.select(F.col("id").alias("id1"), "tail"), "id1").join(ends.select(F.col("id").alias("id2"), "head"), "id2")
+    if mismatch:
+        x, y = lambda k: F.split(F.right(F.col("tail"), k), ""), lambda k: F.split(F.left(F.col("head"), k), "")
+        fits = lambda k: F.size(F.filter(F.zip_with(x(k), y(k), lambda p, q: p != q), lambda z: z)) <= mismatch * k
+    else:
+        fits = lambda k: F.right(F.col("tail"), k) == F.left(F.col("head"), k)
+    good = F.filter(F.sequence(F.lit(low), F.lit(high)), lambda k: (k <= F.length("tail")) & (k <= F.length("head")) & fits(k) & ~F.contains(F.left(F.col("head"), k), F.lit("N")))
+    return rows.select("id1", "id2", F.array_max(good).cast("bigint").alias("overlap"))
+
+
 def contained(contigs: DataFrame) -> DataFrame:
     """Contigs of at least 31 bases that lie within a longer one, or equal one of a lower id, on either strand: `contig_id`,
     `within` (lowest such).

@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from strandloom import queries_assembly as qa
 from strandloom.functions.codes import canonical_code, coded_words, word_text
+from strandloom.functions.seq import wrapped
 from strandloom.operators import assembly, graph, layout, mapping, nodes, pruning, stats, words
 from strandloom.plans.shared import cut
 from strandloom.queries_assembly import CONFLICTS, CONTIGS, LIFT, PARTS, RC, READS, VOTES, contigs_of, edges_of, query, reads_of
 from strandloom.queries_graph import ALLELES, alleles_of, conflicts_of
 from strandloom.queries_records import ONCE, _local
-from strandloom.sources.tables import fanned
+from strandloom.sources.tables import fanned, table
 
 WORD_ROWS = lambda source, k: f"(SELECT substr(bases, i, {k}) AS w FROM (SELECT bases, unnest(range(1, length(bases) - {k - 2})) AS i FROM {source}))"
 CANON = lambda w: f"least({w}, {RC(w)})"
@@ -114,3 +115,91 @@ def _once(spark, d):
 @query(f"WITH {PARTS}, {ONCE}, {CONTIGS}, {ALLELES} SELECT a.contig_id, partner, o1.scaffold_id, comp_start, comp_end, is_primary FROM al a JOIN o1 ON a.contig_id = o1.contig_id")
 def placed_alleles(spark, d):
     return alleles_of(spark, d).join(_once(spark, d).select("contig_id", "scaffold_id", "comp_start", "comp_end"), "contig_id")
+
+
+# Alleles, sequences and libraries once more.
+PAIR_SHARED = "sr AS (SELECT least(abs(id1), abs(id2)) AS a, greatest(abs(id1), abs(id2)) AS b, count(*) AS n FROM q WHERE abs(id1) <> abs(id2) GROUP BY 1, 2)"
+PAIR_EVIDENCE2 = f"""{qa.PAIRS}, {CONTIGS}, {PAIR_SHARED}, {ALLELES}, sd AS (SELECT a AS block, a AS contig, 0 AS hp FROM pr UNION ALL SELECT a, b, 1 FROM pr), be AS (SELECT least(u.block, w.block) AS x, greatest(u.block, w.block) AS y, CAST(sum(CASE WHEN u.hp = w.hp THEN n ELSE 0 END) AS BIGINT) AS parallel,
+    CAST(sum(CASE WHEN u.hp <> w.hp THEN n ELSE 0 END) AS BIGINT) AS crossed FROM sr JOIN sd u ON sr.a = u.contig JOIN sd w ON sr.b = w.contig AND u.block <> w.block GROUP BY 1, 2)"""
+
+
+@query(f"WITH {PAIR_EVIDENCE2} SELECT * FROM be")
+def pair_block_evidence(spark, d):
+    return graph.block_evidence(words.end_partners(contigs_of(spark, d), both=False), mapping.shared_pairs(qa.pairs_of(spark, d)))
+
+
+@query()
+def phased_blocks_all_evidence(spark, d):
+    both = qa.block_evidence(spark, d).unionByName(pair_block_evidence(spark, d)).groupBy("x", "y").agg(F.sum("parallel").alias("parallel"), F.sum("crossed").alias("crossed"))
+    return graph.phase_blocks(cut(both))
+
+
+@query()
+def contracted_all_libraries(spark, d):
+    return nodes.contract(cut(graph.edges(qa.links_of_all_libraries(spark, d))), contigs_of(spark, d))
+
+
+@query(f"""WITH RECURSIVE cs0 AS ({qa.ORACLE['cross_structures']}) SELECT src, l1 AS "left", CASE WHEN accepted = 'parallel' THEN r1 ELSE r2 END AS "right" FROM cs0 WHERE accepted IS NOT NULL UNION ALL SELECT src, l2, CASE WHEN accepted = 'parallel' THEN r2 ELSE r1 END FROM cs0 WHERE accepted IS NOT NULL""")
+def crosses_resolved(spark, d):
+    return graph.resolved(qa.cross_structures(spark, d))
+
+
+@query(f"""WITH {CONTIGS}, {ALLELES}, o AS (SELECT contig_id, max(is_primary) AS p FROM al GROUP BY 1), z AS (SELECT *, CASE WHEN p THEN 'primary_bubble' WHEN NOT p THEN 'secondary_bubble' ELSE 'non_bubble' END AS class FROM c LEFT JOIN o USING (contig_id))
+    SELECT class, '>' || class || contig_id || '_len' || len || '_cov' || cov || chr(10) || rtrim(regexp_replace(bases, '(.{{80}})', '\\1' || chr(10), 'g'), chr(10)) AS value FROM z WHERE bases <> ''""")
+def class_fasta(spark, d):
+    c = contigs_of(spark, d)
+    rows = c.join(pruning.classes(c, alleles_of(spark, d)).select("contig_id", "class"), "contig_id")
+    head = F.concat("class", F.col("contig_id").cast("string"), F.lit("_len"), F.col("len").cast("string"), F.lit("_cov"), F.col("cov").cast("string"))
+    return rows.where("bases <> ''").select("class", F.concat(F.lit(">"), head, F.lit("\n"), wrapped(F.col("bases"))).alias("value"))
+
+
+@query(f"WITH RECURSIVE b0 AS ({qa.ORACLE['broken_contigs']}), {CONTIGS} SELECT contig_id, piece_no, substr(bases, piece_start + 1, piece_end - piece_start) AS bases FROM b0 JOIN c USING (contig_id)")
+def broken_contig_sequences(spark, d):
+    from strandloom.queries_records import broken_contigs
+
+    rows = broken_contigs(spark, d).join(contigs_of(spark, d).select("contig_id", "bases"), "contig_id")
+    return rows.select("contig_id", "piece_no", F.expr("substring(bases, cast(piece_start + 1 as int), cast(piece_end - piece_start as int))").alias("bases"))
+
+
+@query(f"WITH f0 AS ({qa.ORACLE['insert_figures']}) SELECT lib_no, kind, CAST(floor(coalesce(mean, nullif(avg_ins, 0)) + 0.5) AS INT) AS avg_ins, CAST(floor(coalesce(deviation, nullif(sd_ins, 0)) + 0.5) AS INT) AS sd_ins, read_len, mean IS NOT NULL AS is_measured FROM libraries LEFT JOIN f0 USING (lib_no)")
+def updated_libraries(spark, d):
+    f = qa.insert_figures(spark, d).select("lib_no", "mean", "deviation")
+    whole = lambda m, old: F.floor(F.coalesce(m, F.nullif(old, F.lit(0)).cast("double")) + 0.5).cast("int").alias(old)
+    return table(spark, d, "libraries").join(f, "lib_no", "left").select("lib_no", "kind", whole("mean", "avg_ins"), whole("deviation", "sd_ins"), "read_len", F.col("mean").isNotNull().alias("is_measured"))
+
+
+@query(f"WITH n0 AS ({qa.ORACLE['insert_normalised']}), m AS (SELECT lib_no, sum(normalised * value) / sum(normalised) AS m FROM n0 GROUP BY 1) SELECT lib_no, round(max(m), 4) AS mean, round(sqrt(sum(normalised * pow(value - m, 2)) / sum(normalised)), 4) AS deviation FROM n0 JOIN m USING (lib_no) GROUP BY 1")
+def insert_figures_normalised(spark, d):
+    h = cut(qa.insert_normalised(spark, d))
+    m = h.groupBy("lib_no").agg((F.sum(F.col("normalised") * F.col("value")) / F.sum("normalised")).alias("m"))
+    sd = F.sqrt(F.sum(F.col("normalised") * F.pow(F.col("value") - F.col("m"), 2)) / F.sum("normalised"))
+    return h.join(m, "lib_no").groupBy("lib_no").agg(F.round(F.max("m"), 4).alias("mean"), F.round(sd, 4).alias("deviation"))
+
+
+@query(f"WITH {qa.ALIGN}, {qa.DEPTH}, {CONTIGS}, lg AS (SELECT name FROM c WHERE name IN (SELECT t_name FROM seg) ORDER BY len DESC, contig_id LIMIT 1) SELECT seg.* FROM seg JOIN lg ON t_name = name")
+def longest_contig_depth(spark, d):
+    seg = cut(qa.physical_coverage(spark, d))
+    named = contigs_of(spark, d).join(seg.select(F.col("t_name").alias("name")).distinct(), "name", "left_semi")
+    one = named.orderBy(F.desc("len"), "contig_id").limit(1).select(F.col("name").alias("t_name"))
+    return seg.join(F.broadcast(one), "t_name", "left_semi")  # one row
+
+
+SIGNED = f"{qa.LONG}, tx AS (SELECT contig_id AS id, bases AS t FROM c UNION ALL SELECT -contig_id, {RC('bases')} FROM c)"
+
+
+@query(f"WITH {SIGNED} SELECT id1, id2, CAST(list_max(list_filter(range(10, 31), lambda k: right(x.t, k) = left(y.t, k) AND NOT contains(left(y.t, k), 'N') AND k <= length(x.t) AND k <= length(y.t))) AS BIGINT) AS overlap FROM gl JOIN tx x ON id1 = x.id JOIN tx y ON id2 = y.id")
+def short_overlaps_of_links(spark, d):
+    return words.linked_overlaps(graph.group_links(qa.long_links_of(spark, d)), contigs_of(spark, d), 10, 30, 0.0)
+
+
+@query(f"WITH {SIGNED} SELECT id1, id2, CAST(list_max(list_filter(range(20, 101), lambda k: k <= length(x.t) AND k <= length(y.t) AND hamming(right(x.t, k), left(y.t, k)) <= 0.05 * k AND NOT contains(left(y.t, k), 'N'))) AS BIGINT) AS overlap FROM gl JOIN tx x ON id1 = x.id JOIN tx y ON id2 = y.id WHERE length(x.t) >= 100 AND length(y.t) >= 100")
+def similar_overlaps_of_links(spark, d):
+    c = contigs_of(spark, d).where("len >= 100")
+    return words.linked_overlaps(graph.group_links(qa.long_links_of(spark, d)), c, 20, 100, 0.05)
+
+
+@query(f"""WITH RECURSIVE o0 AS ({qa.ORACLE['overlap_links']}), {PARTS}, {ONCE}, ed AS (SELECT scaffold_id, contig_ref, row_number() OVER (PARTITION BY scaffold_id ORDER BY part_no, comp_start, comp_end, contig_ref) AS i, row_number() OVER (PARTITION BY scaffold_id ORDER BY part_no DESC, comp_start DESC, comp_end DESC, contig_ref DESC) AS j FROM p),
+    en AS (SELECT scaffold_id AS node, contig_ref AS c FROM ed WHERE j = 1 UNION ALL SELECT -scaffold_id, -contig_ref FROM ed WHERE i = 1), st3 AS (SELECT scaffold_id AS node, contig_ref AS c FROM ed WHERE i = 1 UNION ALL SELECT -scaffold_id, -contig_ref FROM ed WHERE j = 1), bo4 AS (SELECT id1, id2, gap FROM o0 UNION ALL SELECT -id2, -id1, gap FROM o0)
+    SELECT en.node AS a, st3.node AS b, -gap AS overlap FROM bo4 JOIN en ON id1 = en.c JOIN st3 ON id2 = st3.c WHERE abs(en.node) < abs(st3.node)""")
+def scaffold_end_overlaps(spark, d):
+    return nodes.end_overlaps(nodes.overlap_links(words.end_overlaps(contigs_of(spark, d))), qa.parts_of(spark, d))
