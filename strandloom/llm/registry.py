@@ -100,11 +100,17 @@ _SPANS = f"""WITH {_TEXT}, w AS (SELECT DISTINCT contig_id, i - 1 AS p, substr(b
     sp AS (SELECT contig_id, min(p) AS span_start, max(p) + 100 AS span_end FROM r GROUP BY contig_id, gr)"""
 ORACLE = {
     "p1_found": _PIECES,
+    "p1_fragments": _PIECES.replace("SELECT scaffold_id, CAST(piece_no AS INT) AS piece_no, a AS piece_start, b AS piece_end FROM w", """, nm AS (SELECT scaffold_id, max(coalesce(regexp_extract(name, '^\\s*>?\\s*(\\S+)', 1), '')) AS word FROM scaffolds x JOIN s USING (scaffold_id)
+        WHERE upper(regexp_replace(x.seq, '\\s', '', 'g')) = s.b GROUP BY 1) SELECT w.scaffold_id, CAST(piece_no AS INT) AS piece_no, word || ':::fragment_' || piece_no AS name, a AS piece_start, w.b AS piece_end, substr(s.b, a + 1, w.b - a) AS seq FROM w JOIN s USING (scaffold_id) JOIN nm USING (scaffold_id)"""),
     "p3_found": f"{_SPANS} SELECT * FROM sp",
     "p3_shared_share": f"""{_SPANS}, ln AS (SELECT contig_id, max(length(regexp_replace(coalesce(seq, ''), '\\s', '', 'g'))) AS bases FROM contigs WHERE contig_id IS NOT NULL GROUP BY 1), gt AS (SELECT contig_id, sum(span_end - span_start) AS sb, count(*) AS n FROM sp GROUP BY 1)
         SELECT contig_id, bases, CAST(coalesce(sb, 0) AS BIGINT) AS shared_bases, coalesce(n, 0) AS n_spans, CASE WHEN bases > 0 THEN round(coalesce(sb, 0) / bases, 6) ELSE 0.0 END AS share FROM ln LEFT JOIN gt USING (contig_id)""",
     "p4_found": f"""WITH {_TEXT}, w AS (SELECT DISTINCT contig_id, substr(b, i, 16) AS t FROM (SELECT contig_id, b, unnest(range(1, length(b) - 14)) AS i FROM c) WHERE NOT contains(substr(b, i, 16), 'N')), n AS (SELECT contig_id, count(*) AS n FROM w GROUP BY 1),
         o AS (SELECT x.contig_id AS a, y.contig_id AS b, count(*) AS o FROM w x JOIN w y ON x.t = y.t AND x.contig_id < y.contig_id GROUP BY 1, 2) SELECT a AS contig_a, b AS contig_b FROM o JOIN n p ON a = p.contig_id JOIN n q ON b = q.contig_id WHERE 5 * o >= 3 * (p.n + q.n - o)""",
+    "p4_groups": f"""WITH RECURSIVE {_TEXT}, d AS (SELECT contig_id, max(b) AS b FROM c WHERE b <> '' GROUP BY 1), r AS (SELECT b, min(contig_id) AS rep FROM d GROUP BY 1), w AS (SELECT DISTINCT rep, substr(b, i, 16) AS t FROM (SELECT rep, b, unnest(range(1, length(b) - 14)) AS i FROM r) WHERE NOT contains(substr(b, i, 16), 'N')),
+        n AS (SELECT rep, count(*) AS n FROM w GROUP BY 1), o AS (SELECT x.rep AS a, y.rep AS b, count(*) AS o FROM w x JOIN w y ON x.t = y.t AND x.rep < y.rep GROUP BY 1, 2), l AS (SELECT a, b FROM o JOIN n p ON a = p.rep JOIN n q ON b = q.rep WHERE 5 * o >= 3 * (p.n + q.n - o)), e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+        rc AS (SELECT DISTINCT a AS node, a AS fin FROM e UNION SELECT rc.node, e.b FROM rc JOIN e ON rc.fin = e.a), g AS (SELECT node, min(fin) AS label FROM rc GROUP BY 1), dg AS (SELECT a, count(*) AS n FROM e GROUP BY 1)
+        SELECT contig_id, rep AS class_id, coalesce(label, rep) AS group_id, coalesce(dg.n, 0) AS n_links FROM d JOIN r USING (b) LEFT JOIN g ON rep = node LEFT JOIN dg ON rep = a""",
     "p2_key_frequency": _FREQUENCY,
     "p2_found": f"SELECT hash_key, mark FROM ({_FREQUENCY}) WHERE mark IS NOT NULL",
     "p2_key_ngrams": f"""WITH x AS (SELECT contig_id, hash_key AS t1, lead(hash_key) OVER (PARTITION BY contig_id ORDER BY pos_offset) AS t2 FROM {_USABLE}) SELECT t1, NULL::BIGINT AS t2, count(*) AS n, count(DISTINCT contig_id) AS n_records FROM x GROUP BY 1
