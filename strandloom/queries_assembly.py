@@ -49,11 +49,11 @@ def hits_of(spark, d):
 
 
 def votes_of(spark, d):
-    return mapping.seed_votes(reads_of(spark, d), mapping.capped_index(table(spark, d, "kmer_index")))
+    return mapping.capped_votes(reads_of(spark, d), table(spark, d, "kmer_index"))
 
 
 def mapped_of(spark, d):
-    return mapping.map_reads(votes_of(spark, d))
+    return mapping.placed_once(votes_of(spark, d))
 
 
 def pairs_of(spark, d):
