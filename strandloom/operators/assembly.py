@@ -7,11 +7,11 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandloom.functions.codes import canonical_code, coded_words, reversed_code, word_text
+from strandloom.functions.codes import canonical_code, coded_words, dealt_words, reversed_code, run_words, runs, word_text
 from strandloom.functions.seq import revcomp
 from strandloom.operators import graph, words
-from strandloom.plans.shared import cut
-from strandloom.sources.tables import fanned
+from strandloom.plans.shared import cut, settings
+from strandloom.sources.tables import fanned, partitions
 
 
 def unitigs(counts: DataFrame, k: int = 21) -> DataFrame:
@@ -119,15 +119,28 @@ def next_words(steps: DataFrame, accuracy: float = 8.0) -> DataFrame:
 
 
 def filling_votes(gaps: DataFrame, scaffolds: DataFrame, read_set: DataFrame, anchor: int = 20) -> DataFrame:
-    """Every text that a read shows between the anchors of a gap: `scaffold_id`, `gap_no`, `filling`, `n_reads`."""
+    """Every text that a read shows between the anchors of a gap: `scaffold_id`, `gap_no`, `filling`, `n_reads`.
+
+    Reads are shuffled as runs of words; the text is fetched for those that hold a left anchor, once for all gaps that have it. Kept
+    in the shared folder.
+    """
     text = scaffolds.select("scaffold_id", "bases")
     flank = gaps.where(f"left_flank >= {anchor} AND right_flank >= {anchor}").join(text, "scaffold_id").select(
         "scaffold_id", "gap_no", F.expr(f"substring(bases, cast(gap_start - {anchor} + 1 as int), {anchor})").alias("bases"), F.expr(f"substring(bases, cast(gap_end + 1 as int), {anchor})").alias("right_anchor"))
-    left = coded_words(flank, ["scaffold_id", "gap_no", "right_anchor"], anchor).select("scaffold_id", "gap_no", "right_anchor", "code")
-    both = fanned(read_set.select("bases")).select(F.explode(F.array("bases", revcomp(F.col("bases")))).alias("bases")).withColumn("r", F.col("bases"))
-    at = coded_words(both, ["r"], anchor).select("r", "at", "code")
-    hits = left.join(at, "code").withColumn("rest", F.expr(f"substring(r, at + {anchor} + 1)")).withColumn("p", F.instr("rest", F.col("right_anchor"))).where("p > 0")
-    return hits.groupBy("scaffold_id", "gap_no", F.expr("substring(rest, 1, p - 1)").alias("filling")).agg(F.count(F.lit(1)).alias("n_reads"))
+    key, n = ["lib_no", "pair_id", "mate"], partitions(read_set.sparkSession)
+    left = dealt_words(coded_words(flank.select("bases").distinct(), [], anchor).select("code"), [], anchor).repartition(n, "part")
+    at = run_words(runs(fanned(read_set, "pair_id", "mate"), key, anchor).repartition(n, "part"), key, anchor)
+    # The anchor on either strand of the read; a word that is its own reverse complement stands on both.
+    strands = F.when(F.col("_own"), F.array(F.lit(1), F.lit(-1))).when(F.col("same") == F.col("_same"), F.array(F.lit(1))).otherwise(F.array(F.lit(-1)))
+    found = at.join(left.hint("merge"), ["part", "code"]).select(*key, "at", "back", F.explode(strands).alias("strand"))
+    found = found.select(*key, "strand", F.when(F.col("strand") > 0, F.col("at")).otherwise(F.col("back")).alias("at"))
+    r = F.when(F.col("strand") > 0, F.col("bases")).otherwise(revcomp(F.col("bases")))
+    hits = found.join(read_set.select(*key, "bases"), key).select(F.substring(r, F.col("at") + 1, F.lit(anchor)).alias("bases"), F.substring(r, F.col("at") + (anchor + 1), F.length("bases")).alias("rest"))
+    # What does not hold the right anchor leaves where the two meet; gaps with the same two anchors are one until then.
+    both = hits.join(flank.select("bases", "right_anchor").distinct().hint("merge"), "bases").withColumn("p", F.instr("rest", F.col("right_anchor"))).where("p > 0")
+    votes = both.groupBy("bases", "right_anchor", F.expr("substring(rest, 1, p - 1)").alias("filling")).agg(F.count(F.lit(1)).alias("n_reads"))
+    with settings(read_set.sparkSession, spark__sql__requireAllClusterKeysForCoPartition="false"):
+        return cut(flank.join(votes.hint("merge"), ["bases", "right_anchor"]).select("scaffold_id", "gap_no", "filling", "n_reads"))
 
 
 def closed_gaps(votes: DataFrame, least: int = 3, rate: float = 0.75) -> DataFrame:

@@ -346,7 +346,7 @@ CLOSED = f"""{VOTES2}, tt AS (SELECT scaffold_id, gap_no, sum(n_reads) AS n FROM
 
 def _closed(spark, d, least=3):
     s = qa.scaffolds_of(spark, d)
-    return assembly.closed_gaps(cut(assembly.filling_votes(layout.gap_table(s), s, reads_of(spark, d))), least)
+    return assembly.closed_gaps(assembly.filling_votes(layout.gap_table(s), s, reads_of(spark, d)), least)
 
 
 @query(f"WITH {CLOSED} SELECT * FROM clo WHERE n_reads >= 3")

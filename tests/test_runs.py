@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from strandloom import queries_assembly as qa
 from strandloom.functions.codes import canonical_code, coded_words, run_words, runs
-from strandloom.operators import mapping
+from strandloom.operators import assembly, mapping
 
 SF = "/root/testdata/sf0.001"
 
@@ -44,3 +44,29 @@ def test_no_broadcast_of_words(spark):
     votes = qa.votes_of(spark, SF)
     assert "Broadcast" not in votes._jdf.queryExecution().executedPlan().toString()
     assert votes.count() > 0
+
+
+def test_filling_votes_on_both_strands(spark):
+    """Also of an anchor that is its own reverse complement; no text of a read goes with every word, and no word is broadcast."""
+    rnd = random.Random(5)
+    new = lambda n: "".join(rnd.choices("ACGT", k=n))
+    turn = lambda s: s.translate(str.maketrans("ACGT", "TGCA"))[::-1]
+    half = new(10)
+    lefts, rights, fills = [new(20), new(20), half + turn(half), "A" * 20], [new(20) for _ in range(4)], ["", new(30), new(7), new(12)]
+    scaffolds = [(i + 1, new(40) + a + "N" * 15 + b + new(40)) for i, (a, b) in enumerate(zip(lefts, rights))]
+    gaps = [(i + 1, 1, 60, 75, 60, 60) for i in range(4)]
+    texts = [new(9) + a + f + b + new(5) for a, f, b in zip(lefts, fills, rights) for _ in range(3)] + [new(30) + half + turn(half) + new(30), "A" * 60, "A" * 40 + fills[3] + rights[3]]
+    reads = [(1, i, 1, turn(t) if i % 2 else t) for i, t in enumerate(texts)]
+    want = {}
+    for i, (a, b) in enumerate(zip(lefts, rights)):
+        for *_, t in reads:
+            for r in (t, turn(t)):
+                for at in range(len(r) - 19):
+                    p = r.find(b, at + 20)
+                    if r[at : at + 20] == a and p >= 0:
+                        want[i + 1, 1, r[at + 20 : p]] = want.get((i + 1, 1, r[at + 20 : p]), 0) + 1
+    got = assembly.filling_votes(
+        spark.createDataFrame(gaps, "scaffold_id long, gap_no long, gap_start long, gap_end long, left_flank long, right_flank long"), spark.createDataFrame(scaffolds, "scaffold_id long, bases string"),
+        spark.createDataFrame(reads, "lib_no int, pair_id long, mate int, bases string"))
+    assert {tuple(r)[:3]: r.n_reads for r in got.collect()} == want and len(want) > 4
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
