@@ -2,11 +2,14 @@
 
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from strandloom import queries_assembly as qa
 from strandloom.functions.codes import canonical_code, coded_words, run_words, runs
 from strandloom.operators import assembly, mapping
+from strandloom.registry import QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -70,3 +73,9 @@ def test_filling_votes_on_both_strands(spark):
         spark.createDataFrame(reads, "lib_no int, pair_id long, mate int, bases string"))
     assert {tuple(r)[:3]: r.n_reads for r in got.collect()} == want and len(want) > 4
     assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["contact_map"])
+def test_words_are_made_once(spark, name):
+    """Reads are placed once, in the shared folder; what follows makes no words again and broadcasts none."""
+    assert "MapInArrow" not in QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
