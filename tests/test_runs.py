@@ -3,7 +3,6 @@
 import random
 
 import pytest
-
 from pyspark.sql import functions as F
 
 from strandloom import queries_assembly as qa
@@ -75,7 +74,7 @@ def test_filling_votes_on_both_strands(spark):
     assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["contact_map"])
+@pytest.mark.parametrize("name", ["contact_map", "insert_histogram"])
 def test_words_are_made_once(spark, name):
     """Reads are placed once, in the shared folder; what follows makes no words again and broadcasts none."""
     assert "MapInArrow" not in QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
