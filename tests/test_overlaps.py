@@ -3,9 +3,13 @@
 import random
 
 import numpy as np
+import pytest
 
 from strandloom.functions import rolling
 from strandloom.operators import words
+from strandloom.registry import QUERIES
+
+SF = "/root/testdata/sf0.001"
 
 turn = lambda s: s.translate(str.maketrans("ACGT", "TGCA"))[::-1]
 
@@ -63,3 +67,12 @@ def test_hashes_of_ends_as_of_stretches(spark):
     back = {(r.side, r.tail, r.n): r.hash for r in rolling.end_stretches(spark.createDataFrame([(1, turn(text))], "contig_id long, bases string"), full, 31).collect()}
     heads = {(s, n): h for (s, tail, n), h in got.items() if not tail}
     assert len(heads) == 2 * 270 and heads == {(-s, n): h for (s, tail, n), h in back.items() if not tail}
+
+
+@pytest.mark.parametrize("name", ["thin_edges_dropped_keeping_overlaps"])
+def test_no_words_of_contigs_are_made(spark, monkeypatch, name):
+    def fail(*_, **__):
+        raise AssertionError("words of contigs")
+
+    monkeypatch.setattr(words, "coded_words", fail)
+    assert {"src", "dst"} & set(QUERIES[name](spark, SF).columns)
