@@ -69,7 +69,7 @@ def test_hashes_of_ends_as_of_stretches(spark):
     assert len(heads) == 2 * 270 and heads == {(-s, n): h for (s, tail, n), h in back.items() if not tail}
 
 
-@pytest.mark.parametrize("name", ["thin_edges_dropped_keeping_overlaps"])
+@pytest.mark.parametrize("name", ["thin_edges_dropped_keeping_overlaps", "unique_overlap_paths"])
 def test_no_words_of_contigs_are_made(spark, monkeypatch, name):
     def fail(*_, **__):
         raise AssertionError("words of contigs")
