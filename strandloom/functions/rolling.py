@@ -107,6 +107,19 @@ def filter_of(hashes: DataFrame, n: int) -> np.ndarray:
     return out
 
 
+def held(rows: DataFrame, column: str, table: np.ndarray) -> DataFrame:
+    """The rows whose long `column` falls where the filter `table` of `filter_of` has a bit: all of those it was made of, and few others."""
+    shared, types = rows.sparkSession.sparkContext.broadcast(table), rows.schema  # 16 MB at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, shift = shared.value, np.uint64(64 - (len(shared.value) * 8).bit_length() + 1)
+        for batch in batches:
+            s = mixed(batch.column(column).to_numpy().view(np.uint64)) >> shift
+            yield batch.filter(pa.array(((bits[s >> np.uint64(3)] >> (s & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)))
+
+    return rows.mapInArrow(run, types)
+
+
 def end_stretches(seqs: DataFrame, table: np.ndarray, k: int) -> DataFrame:
     """Stretches from an end of a sequence (`contig_id`, `bases`) that may be an overlap by their inner bases: `contig_id`, `side`,
     `tail`, `n`, `hash`.

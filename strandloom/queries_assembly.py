@@ -32,6 +32,15 @@ def contigs_of(spark, d):
     return src.contig_set(table(spark, d, "contigs"))
 
 
+def lengths_of(spark, d):
+    return src.contig_lengths(table(spark, d, "contigs"))
+
+
+def overlaps_of(spark, d):
+    rows = table(spark, d, "contigs").where("contig_id IS NOT NULL")
+    return words.end_overlaps(src.deliveries(rows), lambda keep: src.contig_set(keep(rows)))
+
+
 def scaffolds_of(spark, d):
     return src.scaffold_set(table(spark, d, "scaffolds"))
 
@@ -547,7 +556,7 @@ def allele_similarity(spark, d):
     rt AS (SELECT *, right(t, 31) AS w FROM sg WHERE length(t) >= 31 AND NOT contains(right(t, 31), 'N')) SELECT x.id * x.s AS a, y.id * y.s AS b, CAST(max(y.ofs + 30) AS BIGINT) AS overlap FROM rt x JOIN st y ON x.w = y.w
     AND ((x.s = 1 AND y.s = 1 AND x.id <> y.id) OR (x.s <> y.s AND x.id < y.id)) AND y.ofs + 30 <= length(x.t) AND right(x.t, y.ofs + 30) = left(y.t, y.ofs + 30) GROUP BY 1, 2""")
 def end_overlaps(spark, d):
-    return words.end_overlaps(contigs_of(spark, d))
+    return overlaps_of(spark, d)
 
 
 @query(f"""WITH {ENDS}, f AS (SELECT contig_id, bases, len FROM c WHERE len >= 31), hs AS (SELECT contig_id AS host, bases AS hb, len FROM c WHERE bases <> '' UNION ALL SELECT contig_id, {RC('bases')}, len FROM c WHERE bases <> '')

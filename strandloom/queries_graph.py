@@ -186,12 +186,12 @@ ALL_EDGES = f"""{LONG}, {OVERLAPS}, gg AS (SELECT id1, id2, coalesce(num_link, 0
 
 
 def all_edges_of(spark, d):
-    return cut(nodes.edges_with_overlaps(graph.group_links(qa.long_links_of(spark, d)), words.end_overlaps(contigs_of(spark, d))))
+    return cut(nodes.edges_with_overlaps(graph.group_links(qa.long_links_of(spark, d)), qa.overlaps_of(spark, d)))
 
 
 @query(f"WITH {CONTIGS}, {OVERLAPS} SELECT id1, id2, -n AS gap FROM ol")
 def overlap_links(spark, d):
-    return nodes.overlap_links(words.end_overlaps(contigs_of(spark, d)))
+    return nodes.overlap_links(qa.overlaps_of(spark, d))
 
 
 @query(f"WITH {ALL_EDGES} SELECT * FROM ae")

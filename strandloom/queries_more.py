@@ -202,4 +202,4 @@ def similar_overlaps_of_links(spark, d):
     en AS (SELECT scaffold_id AS node, contig_ref AS c FROM ed WHERE j = 1 UNION ALL SELECT -scaffold_id, -contig_ref FROM ed WHERE i = 1), st3 AS (SELECT scaffold_id AS node, contig_ref AS c FROM ed WHERE i = 1 UNION ALL SELECT -scaffold_id, -contig_ref FROM ed WHERE j = 1), bo4 AS (SELECT id1, id2, gap FROM o0 UNION ALL SELECT -id2, -id1, gap FROM o0)
     SELECT en.node AS a, st3.node AS b, -gap AS overlap FROM bo4 JOIN en ON id1 = en.c JOIN st3 ON id2 = st3.c WHERE abs(en.node) < abs(st3.node)""")
 def scaffold_end_overlaps(spark, d):
-    return nodes.end_overlaps(nodes.overlap_links(words.end_overlaps(contigs_of(spark, d))), qa.parts_of(spark, d))
+    return nodes.end_overlaps(nodes.overlap_links(qa.overlaps_of(spark, d)), qa.parts_of(spark, d))

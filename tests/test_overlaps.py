@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from strandloom.functions import rolling
 from strandloom.operators import words
@@ -76,3 +77,22 @@ def test_no_words_of_contigs_are_made(spark, monkeypatch, name):
 
     monkeypatch.setattr(words, "coded_words", fail)
     assert {"src", "dst"} & set(QUERIES[name](spark, SF).columns)
+
+
+def test_text_is_fetched_for_candidates_only(spark):
+    """Deliveries of an id that don't count make no overlaps, and contigs without candidates don't have their text shuffled."""
+    rnd = random.Random(24)
+    new = lambda n: "".join(rnd.choices("ACGT", k=n))
+    x, y = new(40), new(45)
+    long_ = {1: new(300) + x, 2: x + new(300), 3: new(300) + "N" + x[10:], 4: y + new(200), **{i: new(250) for i in range(10, 400)}}
+    rows = [*long_.items(), (3, new(100) + x), (5, new(60) + y), (5, new(120)), (1, long_[1])]
+    df, got = spark.createDataFrame(rows, "contig_id long, bases string"), []
+
+    def chosen(keep):
+        got.append(keep(df).select("contig_id").distinct().count())
+        return keep(df).groupBy("contig_id").agg(F.max_by("bases", F.length("bases")).alias("bases"))
+
+    want = _slow({**long_, 5: rows[-2][1]})
+    out = words.end_overlaps(df, chosen).collect()
+    assert (1, 2, 40) in want and {tuple(r) for r in out} == want and len(out) == len(want)
+    assert len(got) == 1 and 2 <= got[0] < 50
