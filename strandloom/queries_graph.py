@@ -213,7 +213,7 @@ def homo_edges_dropped(spark, d):
 @query(f"""WITH {ALL_EDGES}, gd AS (SELECT * FROM ae WHERE NOT is_overlap), o2 AS (SELECT a.src, a.direction, b.dst, b.orient * a.orient AS orient, max(a.gap + c.len + b.gap) AS longest, min(a.gap + c.len + b.gap) AS shortest, count(*) AS n FROM ae a JOIN ae b ON a.dst = b.src AND b.direction = a.direction * a.orient
     AND a.is_overlap AND b.is_overlap JOIN c ON a.dst = c.contig_id WHERE a.src <> b.dst GROUP BY 1, 2, 3, 4) SELECT gd.src, gd.direction, gd.dst, gd.num_link, gd.gap AS link_gap, CAST(shortest AS BIGINT) AS path_gap FROM gd JOIN o2 USING (src, direction, dst, orient) WHERE n = 1""")
 def unique_overlap_paths(spark, d):
-    return nodes.unique_paths(all_edges_of(spark, d), contigs_of(spark, d))
+    return nodes.unique_paths(all_edges_of(spark, d), qa.lengths_of(spark, d))
 
 
 # Scaffolds as nodes.

@@ -96,3 +96,11 @@ def test_text_is_fetched_for_candidates_only(spark):
     out = words.end_overlaps(df, chosen).collect()
     assert (1, 2, 40) in want and {tuple(r) for r in out} == want and len(out) == len(want)
     assert len(got) == 1 and 2 <= got[0] < 50
+
+
+def test_lengths_of_contigs_without_their_text(spark):
+    from strandloom.queries_assembly import contigs_of, lengths_of
+
+    assert sorted(lengths_of(spark, SF).collect()) == sorted(contigs_of(spark, SF).select("contig_id", "len").collect())
+    plan = lengths_of(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
