@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -206,29 +209,60 @@ def assembled_gaps(gaps: DataFrame, scaffolds: DataFrame, local: DataFrame, read
     """Gaps closed by a path of words of their local reads: `scaffold_id`, `gap_no`, `filling`.
 
     The words of both strands of a gap's reads, and of its flanks, are its graph; a word leads on where exactly one word of at least
-    `least` occurrences follows. All gaps are walked at once by pointer doubling: a round doubles the bases each word knows ahead, so
-    that 2^rounds bases are crossed in `rounds` joins. A gap is closed if the walk from the last k bases of the left flank meets the
-    first k bases of the right one.
+    `least` occurrences follows. A gap is closed if the walk from the last k bases of the left flank meets the first k bases of the
+    right one within 2^rounds bases. The distinct words of a gap are sorted in one task, which looks up what follows.
     """
-    text = scaffolds.select("scaffold_id", "bases")
+    text, key = scaffolds.select("scaffold_id", "bases"), ["scaffold_id", "gap_no"]
     flank = gaps.where(f"left_flank >= {k} AND right_flank >= {k}").join(text, "scaffold_id").select(
-        "scaffold_id", "gap_no", F.expr(f"substring(bases, cast(gap_start - {k} + 1 as int), {k})").alias("l"), F.expr(f"substring(bases, cast(gap_end + 1 as int), {k})").alias("r"))
-    reads = local.join(read_set.select("lib_no", "pair_id", "mate", "bases"), ["lib_no", "pair_id", "mate"]).select("scaffold_id", "gap_no", "bases")
-    own = coded_words(fanned(reads), ["scaffold_id", "gap_no"], k, both=True).select("scaffold_id", "gap_no", "code")
-    ends = lambda c: coded_words(flank.select("scaffold_id", "gap_no", F.col(c).alias("bases")), ["scaffold_id", "gap_no"], k).select("scaffold_id", "gap_no", "code")
-    left, right = cut(ends("l")), cut(ends("r"))
-    nodes = own.unionByName(left).unionByName(right).groupBy("scaffold_id", "gap_no", "code").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    nodes = cut(nodes)
-    mask = (1 << (2 * (k - 1))) - 1
-    key = ["scaffold_id", "gap_no"]
-    head = nodes.select(*key, F.shiftright("code", 2).alias("j"), F.col("code").alias("to"))
-    step = nodes.select(*key, F.col("code").bitwiseAND(F.lit(mask)).alias("j"), F.col("code").alias("at")).join(head, [*key, "j"]).groupBy(*key, "at").agg(F.count(F.lit(1)).alias("c"), F.max("to").alias("to")).where("c = 1 AND at <> to")
-    # The right flank's word ends a walk: it leads nowhere.
-    stop = right.select(*key, F.col("code").alias("at"))
-    step = step.join(stop, [*key, "at"], "left_anti").select(*key, "at", "to", F.substring(word_text(F.col("to"), k), k, 1).alias("t"))
-    step = cut(step)
-    for _ in range(rounds):
-        far = step.select(*key, F.col("at").alias("to"), F.col("to").alias("_to"), F.col("t").alias("_t"))
-        step = cut(step.join(far, [*key, "to"], "left").select(*key, "at", F.coalesce("_to", "to").alias("to"), F.concat("t", F.coalesce("_t", F.lit(""))).alias("t")))
-    got = left.withColumnRenamed("code", "at").join(step, [*key, "at"]).join(right.select(*key, F.col("code").alias("to")), [*key, "to"])
-    return got.where(F.length("t") >= k).select(*key, F.expr(f"substring(t, 1, length(t) - {k})").alias("filling"))
+        *key, F.expr(f"substring(bases, cast(gap_start - {k} + 1 as int), {k})").alias("l"), F.expr(f"substring(bases, cast(gap_end + 1 as int), {k})").alias("r"))
+    flank = cut(flank)
+    reads = local.join(read_set.select("lib_no", "pair_id", "mate", "bases"), ["lib_no", "pair_id", "mate"]).select(*key, "bases")
+    own = coded_words(fanned(reads, *key), key, k, both=True).select(*key, "code")
+    ends = lambda c: coded_words(flank.select(*key, F.col(c).alias("bases")), key, k).select(*key, "code")
+    left, right = ends("l"), ends("r")
+    nodes = own.unionByName(left).unionByName(right).groupBy(*key, "code").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    kinds = [df.select(*key, F.lit(kind).alias("kind"), "code") for kind, df in enumerate((left, right, nodes))]
+    rows = kinds[0].unionByName(kinds[1]).unionByName(kinds[2]).repartition(partitions(read_set.sparkSession), *key).sortWithinPartitions(*key, "kind", "code")
+    types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    return rows.mapInArrow(lambda batches: _walked(batches, k, 1 << rounds), f"scaffold_id {types['scaffold_id']}, gap_no {types['gap_no']}, filling string")
+
+
+def _walked(batches: Iterator[pa.RecordBatch], k: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Walks of at most `most` steps through the words of each gap, of rows in the order of gap, `kind` (0 left, 1 right, 2 any) and `code`."""
+    gap, ends, held = None, {}, []
+
+    def walk() -> str | None:
+        if len(ends) < 2 or not held:
+            return None
+        nodes, at, out = np.concatenate(held), ends[0], []
+        i = np.searchsorted(nodes, at)
+        if i == len(nodes) or nodes[i] != at:
+            return None
+        while at != ends[1] and len(out) < most:
+            first = (at & ((1 << 2 * (k - 1)) - 1)) << 2
+            a, b = np.searchsorted(nodes, [first, first + 4])
+            if b - a != 1 or nodes[a] == at:
+                return None
+            at = int(nodes[a])
+            out.append("ACGT"[at & 3])
+        return "".join(out[: len(out) - k]) if at == ends[1] and len(out) >= k else None
+
+    def found(schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+        if (text := walk()) is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([gap[0]], schema.field(0).type), pa.array([gap[1]], schema.field(1).type), pa.array([text])], ["scaffold_id", "gap_no", "filling"])
+
+    schema = None
+    for batch in batches:
+        schema = batch.schema
+        s, g, kind, code = (batch.column(c).to_numpy() for c in range(4))
+        begin = np.flatnonzero(np.concatenate([[len(s) > 0], (s[1:] != s[:-1]) | (g[1:] != g[:-1]) | (kind[1:] != kind[:-1])]))
+        for a, b in zip(begin, [*begin[1:], len(s)]):
+            if (s[a], g[a]) != gap:
+                yield from found(schema)
+                gap, ends, held = (s[a], g[a]), {}, []
+            if kind[a] < 2:
+                ends[int(kind[a])] = int(code[a])
+            elif len(ends) == 2:
+                held.append(code[a:b].copy())
+    if schema is not None:
+        yield from found(schema)
