@@ -215,14 +215,13 @@ DEPLETION = f"""{CELLS}, id AS (SELECT distance, n / cells AS mean FROM (SELECT
     gb AS (SELECT scaffold_id, unnest(range(1, nb)) AS boundary FROM bi WHERE nb >= 2), dp AS (SELECT scaffold_id, boundary, round(sum(CASE WHEN x / k < mean THEN (x / k - mean) * (x / k - mean) / mean ELSE 0 END), 6) AS depletion FROM (SELECT gb.scaffold_id, boundary, k, mean, coalesce((SELECT sum(n) FROM cm WHERE cm.scaffold_id = gb.scaffold_id AND j - i = k AND i < boundary AND j >= boundary), 0) AS x FROM gb, id2) GROUP BY 1, 2)"""
 
 
-def _depletion(spark, d):
-    cells, bins = _cells(spark, d)
+def _depletion(cells, bins):
     return evidence.depletion(cells, coverage.ideal_contact(cells, bins.select("len"), 500), bins)
 
 
 @query(f"WITH {DEPLETION} SELECT * FROM dp")
 def contact_depletion(spark, d):
-    return _depletion(spark, d)
+    return _depletion(*_cells(spark, d))
 
 
 PEAKS = f"""{DEPLETION}, pr2 AS (SELECT *, lag(depletion) OVER (PARTITION BY scaffold_id ORDER BY boundary) AS pv FROM dp), pn2 AS (SELECT *, lead(depletion) OVER (PARTITION BY scaffold_id ORDER BY boundary) AS nx FROM pr2 WHERE pv IS NULL OR pv <> depletion), pk2 AS (SELECT scaffold_id, boundary, depletion FROM pn2 WHERE depletion > pv AND depletion > nx AND depletion > 0.01)"""
@@ -230,13 +229,14 @@ PEAKS = f"""{DEPLETION}, pr2 AS (SELECT *, lag(depletion) OVER (PARTITION BY sca
 
 @query(f"WITH {PEAKS} SELECT * FROM pk2")
 def contact_change_peaks(spark, d):
-    return evidence.signal_peaks(_depletion(spark, d), "scaffold_id", "boundary", "depletion", 0.01)
+    return evidence.signal_peaks(_depletion(*_cells(spark, d)), "scaffold_id", "boundary", "depletion", 0.01)
 
 
 @query(f"WITH {PEAKS}, {SEPARATION.replace(CELLS + ', ', '')} SELECT scaffold_id, boundary, depletion FROM pk2 JOIN se USING (scaffold_id, boundary) WHERE evident")
 def contact_breaks(spark, d):
-    peaks = evidence.signal_peaks(_depletion(spark, d), "scaffold_id", "boundary", "depletion", 0.01)
-    return peaks.join(evidence.separation(*_cells(spark, d)).where("evident").select("scaffold_id", "boundary"), ["scaffold_id", "boundary"])
+    cells, bins = _cells(spark, d)
+    peaks = evidence.signal_peaks(_depletion(cells, bins), "scaffold_id", "boundary", "depletion", 0.01)
+    return peaks.join(evidence.separation(cells, bins).where("evident").select("scaffold_id", "boundary"), ["scaffold_id", "boundary"])
 
 
 @query(f"WITH {SEPARATION} SELECT p.scaffold_id, part_no, comp_start FROM p JOIN se ON p.scaffold_id = se.scaffold_id AND CAST(floor(comp_start / 500 + 0.5) AS BIGINT) = boundary WHERE before IS NOT NULL AND NOT evident")
