@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions.codes import canonical_code, coded_words, dealt_words, reversed_code, run_words, runs, word_text
+from strandloom.functions.pieces import joint_ends, pieces
 from strandloom.functions.seq import revcomp
-from strandloom.operators import graph, words
+from strandloom.operators import graph
 from strandloom.plans.shared import cut, settings
 from strandloom.sources.tables import fanned, partitions
 
@@ -20,29 +21,81 @@ from strandloom.sources.tables import fanned, partitions
 def unitigs(counts: DataFrame, k: int = 21) -> DataFrame:
     """Unbranched stretches of a word graph with their text: `unitig` (code of the lowest word), `bases`, `n_words`, `coverage` (6 digits).
 
-    Joined words are chained by pointer doubling (`graph.chains`); each word then adds its last base to its stretch. A ring is opened at
-    its lowest word. The text is read on the strand on which it is lower.
+    Words are joined to pieces within tasks (`pieces`), pieces by `joined`. A ring is opened at its lowest word. The text is read
+    on the strand on which it is lower.
     """
-    joins = words.straight_joins(counts, k).where("x <> y")
+    return _spelled(joined(cut(pieces(counts, k)), k), k)
+
+
+def joined(units: DataFrame, k: int = 21) -> DataFrame:
+    """`units` (as of `pieces`) with those joined that meet at a joint alone, one on either side. Kept in the shared folder."""
+    meet = _meetings(units, k).where("x <> y")
     # Codes may be 0, which has no sign: chains work on codes + 1.
-    named = joins.select("x", "y", "x_out", "y_out").select((F.when(F.col("x_out"), F.col("x") + 1).otherwise(-F.col("x") - 1)).alias("id1"), (F.when(F.col("y_out"), -F.col("y") - 1).otherwise(F.col("y") + 1)).alias("id2"))
-    chain = graph.chains(cut(named))
-    at = counts.join(chain.select((F.col("node") - 1).alias("code"), "chain", "place", "sign"), "code", "left")
-    at = at.select("code", "n", F.coalesce("chain", F.col("code") + 1).alias("chain"), F.coalesce("place", F.lit(1)).alias("place"), F.coalesce("sign", F.lit(1)).alias("sign"))
-    text = word_text(F.when(F.col("sign") > 0, F.col("code")).otherwise(reversed_code(F.col("code"), k)), k)
-    rows = at.select("code", "n", "chain", F.struct("place", F.when(F.col("place") == 1, text).otherwise(F.substring(text, k, 1)).alias("t")).alias("p"))
-    got = rows.groupBy("chain").agg(F.min("code").alias("unitig"), F.sort_array(F.collect_list("p")).alias("ps"), F.count(F.lit(1)).alias("n_words"), F.round(F.avg("n"), 6).alias("coverage"))
-    bases = F.array_join(F.transform("ps", lambda p: p["t"]), "")
-    return got.select("unitig", bases.alias("bases"), "n_words", "coverage").select("unitig", F.least("bases", revcomp(F.col("bases"))).alias("bases"), "n_words", "coverage")
+    named = meet.select((F.when(F.col("x_side") == "R", F.col("x") + 1).otherwise(-F.col("x") - 1)).alias("id1"), (F.when(F.col("y_side") == "R", -F.col("y") - 1).otherwise(F.col("y") + 1)).alias("id2"))
+    at = units.join(_paths(named).withColumn("unitig", F.col("node") - 1), "unitig", "left")
+    at = at.select("unitig", "n_words", "total", F.coalesce("chain", F.col("unitig") + 1).alias("chain"), F.coalesce("place", F.lit(1)).alias("place"), F.when(F.col("sign") < 0, revcomp(F.col("bases"))).otherwise(F.col("bases")).alias("t"))
+    part = F.struct("place", F.when(F.col("place") == 1, F.col("t")).otherwise(F.expr(f"substring(t, {k})")).alias("t"))
+    got = at.groupBy("chain").agg(F.min("unitig").alias("unitig"), F.sort_array(F.collect_list(part)).alias("ps"), F.sum("n_words").alias("n_words"), F.sum("total").alias("total"))
+    return cut(got.select("unitig", F.array_join(F.transform("ps", lambda p: p["t"]), "").alias("bases"), "n_words", "total"))
+
+
+def _paths(joins: DataFrame) -> DataFrame:
+    """`node`, `chain`, `place`, `sign` as `graph.chains` has them, but that `chain` is the end with the lower id; in a third of the jobs.
+
+    Every state (a node on a strand) knows the one its walk back has come to, three times as far in each round; those at an end go
+    no further. Every round brings some state of each longer walk to its end, so that a round that brings none leaves rings only.
+    """
+    heads = [("id2", "id1"), ("id1", None), (-F.col("id1"), -F.col("id2")), (-F.col("id2"), None)]
+    ends = F.array(*[F.struct((F.col(s) if isinstance(s, str) else s).alias("s"), (F.lit(None).cast("bigint") if b is None else F.col(b) if isinstance(b, str) else b).alias("prev")) for s, b in heads])
+    back = cut(joins.select(F.explode(ends).alias("e")).select("e.*").groupBy("s").agg(F.max("prev").alias("prev")))
+    state, before = back.select("s", "prev", F.when(F.col("prev").isNull(), 0).otherwise(1).cast("bigint").alias("dist"), F.when(F.col("prev").isNull(), F.col("s")).alias("root")), None
+    while True:
+        far = state.select(F.col("s").alias("at"), F.col("prev").alias("_p"), F.col("dist").alias("_d"), F.col("root").alias("_r"))
+        for _ in range(2):
+            # Those at an end meet themselves, so that no key is shared by many.
+            at = state.select(F.coalesce("prev", "s").alias("at"), "s", F.col("prev").isNull().alias("ended"), "dist", "root")
+            state = at.join(far, "at").select("s", F.when(~F.col("ended"), F.col("_p")).alias("prev"), (F.col("dist") + F.when(F.col("ended"), 0).otherwise(F.col("_d"))).alias("dist"), F.coalesce("root", "_r").alias("root"))
+        state = cut(state)
+        n = state.where("prev IS NOT NULL").count()
+        if n in (0, before):
+            break
+        before = n
+    strand = lambda up: F.max(F.when(F.col("s") > 0 if up else F.col("s") < 0, F.struct("root", "dist")))
+    both = state.where("prev IS NULL").groupBy(F.abs("s").alias("node")).agg(strand(True).alias("u"), strand(False).alias("d"))
+    up = F.abs("u.root") < F.abs("d.root")
+    pick = lambda c: F.when(up, F.col("u." + c)).otherwise(F.col("d." + c))
+    paths = both.select("node", F.abs(pick("root")).alias("chain"), (pick("dist") + 1).alias("place"), F.when(up, 1).otherwise(-1).alias("sign"))
+    if not n:
+        return paths
+    # Of a join and its turned twin one.
+    ring = back.where("prev + s < 0").join(state.where("prev IS NOT NULL").select("s"), "s", "left_semi")
+    return paths.unionByName(graph.chains(cut(ring.select(F.col("prev").alias("id1"), F.col("s").alias("id2")))))
+
+
+def _meetings(units: DataFrame, k: int) -> DataFrame:
+    """Ends that are alone with each other at their joint: `x`, `x_side`, `y`, `y_side`; all heads of a joint that is its own reverse complement are `same`."""
+    one = lambda same, c: F.max(F.when(F.col("same") == same, F.col(c)))
+    at = unitig_ends(units, k).groupBy("joint").agg(
+        F.count_if("same").alias("_a"), F.count_if(~F.col("same")).alias("_b"), one(True, "unitig").alias("x"), one(True, "side").alias("x_side"), one(False, "unitig").alias("y"), one(False, "side").alias("y_side"))
+    return at.where("_a = 1 AND _b = 1").select("x", "x_side", "y", "y_side")
+
+
+def _covered(units: DataFrame) -> DataFrame:
+    return units.select("unitig", "bases", "n_words", F.round(F.col("total") / F.col("n_words"), 6).alias("coverage"))
+
+
+def _spelled(units: DataFrame, k: int) -> DataFrame:
+    """`units` as `unitigs` gives them: rings, whose ends meet each other, are turned to begin with their lowest word, as it is."""
+    rings = _meetings(units, k).where("x = y").select(F.col("x").alias("unitig"), F.lit(True).alias("ring"))
+    low = units.join(rings, "unitig", "left").withColumn("w", F.when(F.col("ring"), word_text(F.col("unitig"), k)))
+    low = low.withColumn("t", F.when(F.col("ring") & ~F.contains("bases", F.col("w")), revcomp(F.col("bases"))).otherwise(F.col("bases"))).withColumn("p", F.expr("instr(t, w)"))
+    text = F.when(F.col("ring"), F.expr(f"concat(substring(t, p), substring(t, {k}, p - 1))")).otherwise(F.col("t"))
+    return _covered(low.withColumn("bases", text)).withColumn("bases", F.least("bases", revcomp(F.col("bases"))))
 
 
 def unitig_ends(units: DataFrame, k: int = 21) -> DataFrame:
     """The joints of k - 1 bases at both ends of every unitig: `unitig`, `side` (L, R), `joint`, `same`; both sides as heads at their joint."""
-    ends = F.array(F.struct(F.lit("L").alias("side"), F.expr(f"substring(bases, 1, {k - 1})").alias("w")), F.struct(F.lit("R").alias("side"), revcomp(F.expr(f"right(bases, {k - 1})")).alias("w")))
-    rows = units.select("unitig", F.explode(ends).alias("e")).select("unitig", "e.side", F.col("e.w").alias("bases"))
-    coded = coded_words(rows, ["unitig", "side"], k - 1)
-    joint = canonical_code(F.col("code"), k - 1)
-    return coded.select("unitig", "side", joint.alias("joint"), (joint == F.col("code")).alias("same"))
+    return joint_ends(units, k)
 
 
 def unitig_tips(units: DataFrame, k: int = 21, ratio: float = 0.5) -> DataFrame:
@@ -78,20 +131,31 @@ def weak_unitigs(units: DataFrame, length: int, coverage: float) -> DataFrame:
     return units.where((F.length("bases") < length) & (F.col("coverage") < coverage))
 
 
-def clean_words(counts: DataFrame, k: int = 21, rounds: int = 20) -> DataFrame:
-    """Word counts without the words of tips and of the weaker arm of collapsing bubbles, again and again until nothing is cut.
+def cleaned_unitigs(counts: DataFrame, k: int = 21) -> DataFrame:
+    """`unitigs` without tips and the weaker arm of collapsing bubbles, again and again until nothing is cut."""
+    return _spelled(_cleaned(counts, k), k)
+
 
-    Cutting joins what was branched, so that the graph is built anew each round, in the shared folder; at most `rounds` rounds.
+def _cleaned(counts: DataFrame, k: int) -> DataFrame:
+    """The cleaned graph, as `joined` gives it.
+
+    Cutting joins what was branched at the cut's ends. Words are joined once; each round works on the unitigs of the one before, in
+    the shared folder. A round that goes on has cut something, so that they end.
     """
-    for _ in range(rounds):
-        units = cut(unitigs(counts, k))
-        arms = unitig_bubbles(units, k).where("collapses").select(F.when(F.col("kept") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("unitig"))
-        gone = cut(unitig_tips(units, k).select("unitig").unionByName(arms).distinct())
+    units = joined(cut(pieces(counts, k)), k)
+    while True:
+        now = _covered(units)
+        arms = unitig_bubbles(now, k).where("collapses").select(F.when(F.col("kept") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("unitig"))
+        gone = cut(unitig_tips(now, k).select("unitig").unionByName(arms).distinct())
         if gone.isEmpty():
-            break
-        lost = coded_words(units.join(gone, "unitig", "left_semi"), [], k).select(canonical_code(F.col("code"), k).alias("code")).distinct()
-        counts = cut(counts.join(lost, "code", "left_anti").select("code", "n"))
-    return counts
+            return units
+        units = joined(cut(units.join(gone, "unitig", "left_anti")), k)
+
+
+def clean_words(counts: DataFrame, k: int = 21) -> DataFrame:
+    """The word counts that `cleaned_unitigs` are made of."""
+    left = coded_words(_cleaned(counts, k), [], k).select(canonical_code(F.col("code"), k).alias("code"))
+    return cut(counts.join(left, "code", "left_semi").select("code", "n"))
 
 
 def log_join(cutoff: Column | int, coverage: Column, length: Column, large: Column, small: Column, most: int = 64) -> Column:

@@ -311,7 +311,7 @@ def weak_unitigs(spark, d):
 
 @query()
 def cleaned_unitigs(spark, d):
-    return assembly.unitigs(assembly.clean_words(_counts(spark, d)))
+    return assembly.cleaned_unitigs(_counts(spark, d))
 
 
 FIGURES = f"{READS}, {CONTIGS}, fg AS (SELECT sum(length(bases)) / (SELECT sum(len) FROM c) AS coverage, avg(length(bases)) AS length FROM r)"
