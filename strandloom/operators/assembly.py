@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandloom.functions.codes import canonical_code, coded_words, dealt_words, reversed_code, run_words, runs, word_text
+from strandloom.functions.codes import canonical_code, coded_words, dealt_words, run_words, runs, word_text
 from strandloom.functions.pieces import joint_ends, pieces
 from strandloom.functions.seq import revcomp
 from strandloom.operators import graph
