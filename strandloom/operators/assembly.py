@@ -269,12 +269,13 @@ def local_word_counts(local: DataFrame, read_set: DataFrame, k: int = 24) -> Dat
     return per.groupBy("scaffold_id", "gap_no").agg(F.count(F.lit(1)).alias("n_words"), F.sum("n").alias("total")).join(n, ["scaffold_id", "gap_no"])
 
 
-def assembled_gaps(gaps: DataFrame, scaffolds: DataFrame, local: DataFrame, read_set: DataFrame, k: int = 24, least: int = 1, rounds: int = 8) -> DataFrame:
+def assembled_gaps(gaps: DataFrame, scaffolds: DataFrame, local: DataFrame, read_set: DataFrame, k: int = 24, least: int = 1, rounds: int | None = 8) -> DataFrame:
     """Gaps closed by a path of words of their local reads: `scaffold_id`, `gap_no`, `filling`.
 
     The words of both strands of a gap's reads, and of its flanks, are its graph; a word leads on where exactly one word of at least
     `least` occurrences follows. A gap is closed if the walk from the last k bases of the left flank meets the first k bases of the
-    right one within 2^rounds bases. The distinct words of a gap are sorted in one task, which looks up what follows.
+    right one, with `rounds` within 2^rounds bases only; without (None) however far that is, until it ends or goes round in a ring. The
+    distinct words of a gap are sorted in one task, which looks up what follows.
     """
     text, key = scaffolds.select("scaffold_id", "bases"), ["scaffold_id", "gap_no"]
     flank = gaps.where(f"left_flank >= {k} AND right_flank >= {k}").join(text, "scaffold_id").select(
@@ -288,11 +289,11 @@ def assembled_gaps(gaps: DataFrame, scaffolds: DataFrame, local: DataFrame, read
     kinds = [df.select(*key, F.lit(kind).alias("kind"), "code") for kind, df in enumerate((left, right, nodes))]
     rows = kinds[0].unionByName(kinds[1]).unionByName(kinds[2]).repartition(partitions(read_set.sparkSession), *key).sortWithinPartitions(*key, "kind", "code")
     types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    return rows.mapInArrow(lambda batches: _walked(batches, k, 1 << rounds), f"scaffold_id {types['scaffold_id']}, gap_no {types['gap_no']}, filling string")
+    return rows.mapInArrow(lambda batches: _walked(batches, k, None if rounds is None else 1 << rounds), f"scaffold_id {types['scaffold_id']}, gap_no {types['gap_no']}, filling string")
 
 
-def _walked(batches: Iterator[pa.RecordBatch], k: int, most: int) -> Iterator[pa.RecordBatch]:
-    """Walks of at most `most` steps through the words of each gap, of rows in the order of gap, `kind` (0 left, 1 right, 2 any) and `code`."""
+def _walked(batches: Iterator[pa.RecordBatch], k: int, most: int | None) -> Iterator[pa.RecordBatch]:
+    """Walks (of at most `most` steps, if that is given) through the words of each gap, of rows in the order of gap, `kind` (0 left, 1 right, 2 any) and `code`."""
     gap, ends, held = None, {}, []
 
     def walk() -> str | None:
@@ -302,13 +303,18 @@ def _walked(batches: Iterator[pa.RecordBatch], k: int, most: int) -> Iterator[pa
         i = np.searchsorted(nodes, at)
         if i == len(nodes) or nodes[i] != at:
             return None
-        while at != ends[1] and len(out) < most:
+        mark, far = at, 1  # a walk that meets its mark again goes round; the mark moves on at each doubling of the steps
+        while at != ends[1] and (most is None or len(out) < most):
             first = (at & ((1 << 2 * (k - 1)) - 1)) << 2
             a, b = np.searchsorted(nodes, [first, first + 4])
             if b - a != 1 or nodes[a] == at:
                 return None
             at = int(nodes[a])
+            if at == mark:
+                return None
             out.append("ACGT"[at & 3])
+            if len(out) == far:
+                mark, far = at, 2 * far
         return "".join(out[: len(out) - k]) if at == ends[1] and len(out) >= k else None
 
     def found(schema: pa.Schema) -> Iterator[pa.RecordBatch]:

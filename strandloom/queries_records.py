@@ -384,4 +384,4 @@ def gap_local_reads(spark, d):
 @query()
 def gaps_assembled(spark, d):
     s = qa.scaffolds_of(spark, d)
-    return assembly.assembled_gaps(cut(layout.gap_table(s)), s, cut(_local(spark, d)), reads_of(spark, d))
+    return assembly.assembled_gaps(cut(layout.gap_table(s)), s, cut(_local(spark, d)), reads_of(spark, d), rounds=None)

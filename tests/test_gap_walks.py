@@ -3,6 +3,7 @@
 import random
 from collections import defaultdict
 
+from strandloom import queries_records
 from strandloom.operators import assembly
 
 turn = lambda s: s.translate(str.maketrans("ACGT", "TGCA"))[::-1]
@@ -47,3 +48,22 @@ def test_walks_against_words_in_a_dict_without_rounds(spark, monkeypatch):
     want = _slow(scaffolds, gaps, reads)
     assert {tuple(r) for r in got} == want and len(got) == len(want)
     assert {s for s, *_ in want} == {1, 2, 3, 4, 5} and len(cuts) < 3
+
+
+def test_query_walks_gaps_of_any_length(spark, monkeypatch):
+    """Fillings of 233 bases and more were left out, as a walk ended after 256 steps. A walk that goes round ends as well."""
+    rnd, scaffolds, reads, own = random.Random(9), {}, {}, []
+    new = lambda n: "".join(rnd.choices("ACGT", k=n))
+    turned = new(70)
+    for s, filling in enumerate([new(231), new(233), new(300), new(5000), turned * 3], 1):
+        left, right = new(60), new(60)
+        scaffolds[s] = left + "N" * 30 + right
+        text = left + filling + right if s < 5 else left + filling
+        reads[s, 1] = [text[i : i + 80] for i in range(0, len(text) - 79, 5)] + [text[-80:]]
+        own += [(1, 10_000 * s + i, 1, r, s) for i, r in enumerate(reads[s, 1])]
+    monkeypatch.setattr(queries_records.qa, "scaffolds_of", lambda *_: spark.createDataFrame(list(scaffolds.items()), "scaffold_id long, bases string"))
+    monkeypatch.setattr(queries_records, "reads_of", lambda *_: spark.createDataFrame([r[:4] for r in own], "lib_no int, pair_id long, mate int, bases string"))
+    monkeypatch.setattr(queries_records, "_local", lambda *_: spark.createDataFrame([(r[4], 1, *r[:3]) for r in own], "scaffold_id long, gap_no int, lib_no int, pair_id long, mate int"))
+    got = [tuple(r) for r in queries_records.gaps_assembled(spark, "").collect()]
+    want = _slow(scaffolds, [(s, 1, 60, 90) for s in scaffolds], reads, 10_000)
+    assert len(got) == len(want) and set(got) == want and {s for s, *_ in want} == {1, 2, 3, 4}
